@@ -14,7 +14,7 @@ def _with_ancestors(folders: DataFrame, repo: str) -> DataFrame:
     path = F.col("_folder")
     depth = F.size(F.split(path, "/"))
     return folders.filter(path != "").withColumn("depth", F.explode(F.sequence(F.lit(1), depth))).withColumn(
-        "dir_path", F.substring_index(path, "/", F.col("depth"))
+        "dir_path", F.call_function("substring_index", path, F.lit("/"), F.col("depth"))
     )
 
 

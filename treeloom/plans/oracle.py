@@ -104,7 +104,7 @@ worded AS (
   FROM lined),
 line_start AS (
   SELECT {keys}, li, line, n_lines, len(string_split(line, ' ')) AS n_toks,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY {keys} ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY {keys} ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_at
   FROM lined),
 tok_start AS (
   SELECT *, coalesce(sum(length(tok) + 1) OVER (PARTITION BY {keys}, li ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col
@@ -124,11 +124,11 @@ all_nodes AS (
     length(string_split(text, chr(10))[-1]) AS end_col, 0 AS start_off, length(text) AS end_off, text = '' AS is_leaf, 0 AS closes
   FROM conversations
   UNION ALL
-  SELECT conv_id, turn, line_id, 1, 2, li - 1, 'line', 'document', NULL, li, 0, li, length(line), at, at + length(line), false, 0
+  SELECT conv_id, turn, line_id, 1, 2, li - 1, 'line', 'document', NULL, li, 0, li, length(line), line_at, line_at + length(line), false, 0
   FROM line_ids
   UNION ALL
   SELECT t.conv_id, t.turn, l.line_id + t.j, l.line_id, 3, t.j - 1, 'token', 'line', t.tok, t.li, t.col, t.li, t.col + length(t.tok),
-    l.at + t.col, l.at + t.col + length(t.tok), true,
+    l.line_at + t.col, l.line_at + t.col + length(t.tok), true,
     CASE WHEN t.j = t.n_toks THEN CASE WHEN t.li = t.n_lines THEN 2 ELSE 1 END ELSE 0 END
   FROM tok_start t JOIN line_ids l ON t.conv_id = l.conv_id AND t.turn = l.turn AND t.li = l.li)
 """
@@ -352,10 +352,10 @@ def oracle_sql() -> dict[str, str]:
         "renest_json": r"""WITH l AS (SELECT conv_id, turn, text, string_split(text, chr(10)) AS ls FROM conversations WHERE text <> ''),
             li AS (SELECT conv_id, turn, text, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
             tk AS (SELECT conv_id, turn, i, line, unnest(string_split(line, ' ')) AS t, generate_subscripts(string_split(line, ' '), 1) AS j FROM li),
-            at AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY conv_id, turn, i ORDER BY j
+            spots AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY conv_id, turn, i ORDER BY j
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM tk),
             tj AS (SELECT conv_id, turn, i, any_value(line) AS line, string_agg('{"type":"token","isNamed":true,"range":{"start":{"line":' || i || ',"col":' || c
-              || '},"end":{"line":' || i || ',"col":' || (c + length(t)) || '}},"text":' || to_json(t) || '}', ',' ORDER BY j) AS js FROM at GROUP BY 1, 2, 3),
+              || '},"end":{"line":' || i || ',"col":' || (c + length(t)) || '}},"text":' || to_json(t) || '}', ',' ORDER BY j) AS js FROM spots GROUP BY 1, 2, 3),
             lj AS (SELECT conv_id, turn, string_agg('{"type":"line","isNamed":true,"range":{"start":{"line":' || i || ',"col":0},"end":{"line":' || i
               || ',"col":' || length(line) || '}},"children":[' || js || ']}', ',' ORDER BY i) AS js FROM tj GROUP BY 1, 2)
             SELECT c.conv_id, c.turn, 0::BIGINT AS part, CASE WHEN c.text = ''
