@@ -36,9 +36,24 @@ def _array(value: Column, path: str = "$") -> Column:
     return F.try_variant_get(value, path, "array<variant>")
 
 
-def _steps(tree: Column) -> Column:
-    """At least as many steps as the tree has levels: one per bracket that opens."""
-    return F.sequence(F.lit(1), F.regexp_count(F.to_json(tree), F.lit(r"[\[{]")) + 1)
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
+
+
+# A walk takes as many steps as its tree has levels, which is not known beforehand. Steps come
+# in rounds of doubling length and a round is empty once nothing is left to visit, so any
+# depth is reached and at most about twice the steps needed are taken.
+_ROUNDS = [8, 8] + [2**k for k in range(4, 27)]
+
+
+def _until_done(start: Column, step) -> Column:
+    """Apply ``step`` to a state until its ``front`` is empty."""
+
+    def round_(state: Column, size: Column) -> Column:
+        steps = F.when(F.size(state["front"]) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), size))
+        return F.aggregate(steps, state, lambda s, _: F.when(F.size(s["front"]) == 0, s).otherwise(step(s)))
+
+    return F.aggregate(F.array(*[F.lit(r) for r in _ROUNDS]), start, round_)
 
 
 def _kind(value: Column) -> Column:
@@ -46,41 +61,47 @@ def _kind(value: Column) -> Column:
 
 
 def _breadth_first(tree: Column, named_only: bool, anchors: list[str]) -> Column:
-    """Every node as (path, up, anchor, value); ``up`` and ``anchor`` are places in the result."""
+    """Every node as (path, up, anchor, kind, value); ``up`` and ``anchor`` are places in the
+    result."""
 
     def node(path, up, anchor, value):
-        return F.struct(path.alias("path"), up.alias("up"), anchor.alias("anchor"), value.alias("value"))
+        return F.struct(
+            path.alias("path"), up.alias("up"), anchor.alias("anchor"), _kind(value).alias("kind"), value.alias("value")
+        )
 
     marked = F.array(*[F.lit(k) for k in anchors]) if anchors else None
 
     def children(parent: Column, at: Column) -> Column:
         kids = F.filter(
             F.coalesce(_array(parent["value"], "$.children"), F.array().cast("array<variant>")),
-            lambda c: ~F.is_variant_null(c),
+            _is_object,
         )
         if named_only:
             kids = F.filter(kids, lambda c: F.coalesce(F.try_variant_get(c, "$.isNamed", "boolean"), F.lit(True)))
         anchor = parent["anchor"]
         if marked is not None:
-            anchor = F.when(F.array_contains(marked, _kind(parent["value"])), at).otherwise(anchor)
+            anchor = F.when(F.array_contains(marked, parent["kind"]), at).otherwise(anchor)
         return F.transform(kids, lambda c, i: node(F.concat(parent["path"], F.array(i)), at, anchor, c))
 
-    def step(state: Column, _: Column) -> Column:
+    def step(state: Column) -> Column:
         width = F.size(state["seen"])
-        grown = F.struct(
+        return F.struct(
             F.concat(state["seen"], state["front"]).alias("seen"),
             F.flatten(F.transform(state["front"], lambda n, i: children(n, width + i))).alias("front"),
         )
-        return F.when(F.size(state["front"]) == 0, state).otherwise(grown)
 
     root = F.array(node(F.array().cast("array<int>"), F.lit(None).cast("int"), F.lit(None).cast("int"), tree))
     nothing = F.filter(root, lambda n: F.lit(False))
     start = F.struct(nothing.alias("seen"), root.alias("front"))
-    return F.aggregate(_steps(tree), start, step, lambda state: state["seen"])
+    return _until_done(start, step)["seen"]
 
 
-def _in_preorder(seen: Column) -> Column:
-    """Breadth-first nodes numbered in preorder, parents and anchors renumbered alike."""
+def _in_preorder(seen: Column, read) -> Column:
+    """Breadth-first nodes numbered in preorder, parents and anchors renumbered alike.
+
+    ``read`` takes what is wanted from a node here, so that the rows made from it do
+    not each carry a copy of their whole subtree.
+    """
 
     def numbered(seen: Column) -> Column:
         by_path = F.array_sort(F.transform(seen, lambda n, b: F.struct(n["path"].alias("path"), b.alias("b"))))
@@ -104,8 +125,9 @@ def _in_preorder(seen: Column) -> Column:
                 F.coalesce(F.get(s["path"], F.size(s["path"]) - 1), F.lit(0)).alias("ordinal"),
                 (after <= depth).alias("is_leaf"),
                 F.when(after <= depth, depth - after).otherwise(0).alias("closes"),
-                _kind(F.get(seen, n["up"])["value"]).alias("parent_kind"),
-                n["value"].alias("value"),
+                n["kind"].alias("kind"),
+                F.get(seen, n["up"])["kind"].alias("parent_kind"),
+                read(n).alias("own"),
             )
 
         return F.transform(sorted_, row)
@@ -113,10 +135,15 @@ def _in_preorder(seen: Column) -> Column:
     return let(seen, numbered)
 
 
-def _walked(trees: DataFrame, tree: str, keys: tuple[str, ...], named_only: bool, anchors: list[str]) -> DataFrame:
+def _walked(trees: DataFrame, tree: str, keys: tuple[str, ...], read, named_only=False, anchors=()) -> DataFrame:
     whole = trees.filter(F.col(tree).isNotNull())
-    seen = _breadth_first(F.col(tree), named_only, anchors)
-    return whole.select(*keys, F.explode(_in_preorder(seen)).alias("_n")).select(*keys, "_n.*")
+    seen = _breadth_first(F.col(tree), named_only, list(anchors))
+    return whole.select(*keys, F.explode(_in_preorder(seen, read)).alias("_n")).select(*keys, "_n.*")
+
+
+# Numbers are read as bigint, the type they are stored in: any other would be cast one by one.
+_NODE_DDL = "struct<isNamed: boolean, fieldName: string, text: string, range: struct<{}>>"
+_POINT_DDL = "struct<line: bigint, col: bigint>"
 
 
 def json_nodes(
@@ -127,12 +154,24 @@ def json_nodes(
     named_only: bool = False,
 ) -> DataFrame:
     """Flatten JSON syntax trees of any dialect; ``named_only`` skips an unnamed node whole."""
-    rows = _walked(trees, tree, keys, named_only, [])
-    value = F.col("value")
-
-    def at(path: str, kind: str) -> Column:
-        return F.try_variant_get(value, path, kind)
-
+    by_offset = dialect == "offsets"
+    point = "bigint" if by_offset else _POINT_DDL
+    ddl = _NODE_DDL.format(f"start: {point}, end: {point}")
+    rows = _walked(trees, tree, keys, lambda n: F.try_variant_get(n["value"], "$", ddl), named_only)
+    own = F.col("own")
+    kind = F.col("kind")
+    start, end = own["range"]["start"], own["range"]["end"]
+    shift = LINE_SHIFT[dialect]
+    spans = (
+        {"start_off": start, "end_off": end}
+        if by_offset
+        else {
+            "start_line": start["line"] + shift,
+            "start_col": start["col"],
+            "end_line": end["line"] + shift,
+            "end_col": end["col"],
+        }
+    )
     return as_nodes(
         rows,
         list(keys),
@@ -142,19 +181,14 @@ def json_nodes(
         depth=F.col("depth"),
         ordinal=F.col("ordinal"),
         closes=F.col("closes"),
-        kind=_kind(value),
+        kind=kind,
         parent_kind=F.col("parent_kind"),
-        is_named=at("$.isNamed", "boolean"),
-        field_name=at("$.fieldName", "string"),
-        text=F.when(F.col("is_leaf"), at("$.text", "string")),
-        start_line=at("$.range.start.line", "int") + LINE_SHIFT[dialect],
-        start_col=at("$.range.start.col", "int"),
-        end_line=at("$.range.end.line", "int") + LINE_SHIFT[dialect],
-        end_col=at("$.range.end.col", "int"),
-        start_off=at("$.range.start", "int"),
-        end_off=at("$.range.end", "int"),
+        is_named=own["isNamed"],
+        field_name=own["fieldName"],
+        text=F.when(F.col("is_leaf"), own["text"]),
         is_leaf=F.col("is_leaf"),
-        is_error=_kind(value) == ERROR_KIND,
+        is_error=kind == ERROR_KIND,
+        **spans,
     )
 
 
@@ -171,68 +205,75 @@ def outline(
     The ancestor is carried down the walk and a node's name is read from its own children,
     so the outline needs neither a join nor a shuffle.
     """
-    rows = _walked(trees, tree, keys, False, list(class_by_kind))
     classes = F.create_map(*[F.lit(x) for pair in class_by_kind.items() for x in pair])
-    value = F.col("value")
+    ddl = f"struct<start: {_POINT_DDL}, end: {_POINT_DDL}>"
 
-    def first_text(wanted) -> Column:
-        kids = F.coalesce(_array(value, "$.children"), F.array().cast("array<variant>"))
-        return F.transform(F.filter(kids, wanted), lambda c: F.try_variant_get(c, "$.text", "string"))
+    def read(node: Column) -> Column:
+        value, kind = node["value"], node["kind"]
 
-    named = first_text(lambda c: F.try_variant_get(c, "$.fieldName", "string") == NAME_FIELD)
-    identifiers = first_text(lambda c: _kind(c).isin(identifier_kinds))
+        def first_text(wanted) -> Column:
+            kids = F.coalesce(_array(value, "$.children"), F.array().cast("array<variant>"))
+            return F.transform(F.filter(kids, wanted), lambda c: F.try_variant_get(c, "$.text", "string"))
+
+        declared = F.struct(
+            classes[kind].alias("class"),
+            first_text(lambda c: F.try_variant_get(c, "$.fieldName", "string") == NAME_FIELD).alias("named"),
+            first_text(lambda c: _kind(c).isin(identifier_kinds)).alias("identifiers"),
+            F.try_variant_get(value, "$.range", ddl).alias("range"),
+        )
+        return F.when(kind.isin(list(class_by_kind)), declared)
+
+    rows = _walked(trees, tree, keys, read, anchors=tuple(class_by_kind)).filter(F.col("own").isNotNull())
+    own = F.col("own")
     name = (
-        F.when(F.size(named) > 0, F.get(named, F.lit(0)))
-        .when(F.size(identifiers) > 0, F.get(identifiers, F.lit(0)))
+        F.when(F.size(own["named"]) > 0, F.get(own["named"], F.lit(0)))
+        .when(F.size(own["identifiers"]) > 0, F.get(own["identifiers"], F.lit(0)))
         .otherwise(NO_NAME)
     )
-
-    def at(path: str) -> Column:
-        return F.try_variant_get(value, path, "int")
-
-    return rows.filter(_kind(value).isin(list(class_by_kind))).select(
+    start, end = own["range"]["start"], own["range"]["end"]
+    return rows.select(
         *keys,
         "node_id",
         F.col("anchor_id").alias("outline_parent_id"),
-        classes[_kind(value)].alias("class"),
+        own["class"].alias("class"),
         name.alias("name"),
-        (at("$.range.start.line") + line_shift).alias("start_line"),
-        at("$.range.start.col").alias("start_col"),
-        (at("$.range.end.line") + line_shift).alias("end_line"),
-        at("$.range.end.col").alias("end_col"),
+        (start["line"] + line_shift).cast("int").alias("start_line"),
+        start["col"].cast("int").alias("start_col"),
+        (end["line"] + line_shift).cast("int").alias("end_line"),
+        end["col"].cast("int").alias("end_col"),
     )
 
 
-# One step of the plain-object walk, as SQL because it nests lambdas four deep.
-# An array under `children` is walked item by item; otherwise every object below a key other
-# than `parent` counts, and an array below a key steps straight to its items.
-_CONTAINER = (
-    "(try_variant_get({0}, '$', 'struct<>') IS NOT NULL"
-    " OR try_variant_get({0}, '$', 'array<variant>') IS NOT NULL)"
-)
-_BELOW = f"""
-filter(
-  coalesce(
-    try_variant_get(v, '$.children', 'array<variant>'),
-    flatten(transform(
-      coalesce(
-        map_values(map_filter(try_variant_get(v, '$', 'map<string,variant>'), (k, _) -> k <> 'parent')),
-        try_variant_get(v, '$', 'array<variant>')),
-      x -> coalesce(try_variant_get(x, '$', 'array<variant>'), array(x))))),
-  x -> {_CONTAINER.format("x")})
-"""
+def _is_container(value: Column) -> Column:
+    return _is_object(value) | _array(value).isNotNull()
+
+
+def _below(node: Column) -> Column:
+    """Nodes one level below in the plain-object walk: the objects and arrays of ``children``
+    if that is an array, else every object below a key other than ``parent``, where an array
+    below a key stands for its items."""
+    fields = F.try_variant_get(node, "$", "map<string,variant>")
+    values = F.coalesce(F.map_values(F.map_filter(fields, lambda k, _: k != "parent")), _array(node))
+    items = F.flatten(F.transform(values, lambda v: F.coalesce(_array(v), F.array(v))))
+    return F.filter(F.coalesce(_array(node, "$.children"), items), _is_container)
 
 
 def object_tree_stats(trees: DataFrame, tree: str = "tree", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Node count and depth of any JSON value, counting its objects and arrays as nodes."""
-    walk = f"""
-    aggregate(
-      sequence(1, regexp_count(to_json({tree}), '[\\\\[{{]') + 1),
-      named_struct('nodes', 0L, 'depth', 0, 'front', filter(array({tree}), x -> {_CONTAINER.format("x")})),
-      (s, _) -> if(size(s.front) = 0, s, named_struct(
-        'nodes', s.nodes + size(s.front),
-        'depth', s.depth + 1,
-        'front', flatten(transform(s.front, v -> {_BELOW})))),
-      s -> named_struct('nodes', s.nodes, 'max_depth', s.depth))
-    """
-    return trees.select(*keys, F.expr(walk).alias("_s")).select(*keys, "_s.nodes", "_s.max_depth")
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("nodes"),
+        F.lit(0).alias("depth"),
+        F.filter(F.array(F.col(tree)), _is_container).alias("front"),
+    )
+
+    def step(state: Column) -> Column:
+        return F.struct(
+            (state["nodes"] + F.size(state["front"])).alias("nodes"),
+            (state["depth"] + 1).alias("depth"),
+            F.flatten(F.transform(state["front"], _below)).alias("front"),
+        )
+
+    walked = _until_done(start, step)
+    return trees.select(*keys, let(walked, lambda s: F.struct(s["nodes"], s["depth"])).alias("_s")).select(
+        *keys, F.col("_s.nodes").alias("nodes"), F.col("_s.depth").alias("max_depth")
+    )

@@ -92,42 +92,40 @@ def syntax_json(text: Column) -> Column:
     the others are unnamed leaves, and the first token names its line, except in every fifth.
     """
 
-    def point(line: Column, col: Column, side: str) -> Column:
-        return F.struct(line.alias("line"), col.alias("col")).alias(side)
-
-    def leaf(kind: Column, named: bool, token: Column, line: Column, col: Column, field: Column) -> Column:
-        return F.struct(
-            kind.alias("type"),
-            F.lit(named).alias("isNamed"),
-            field.alias("fieldName"),
-            F.struct(point(line, col, "start"), point(line, col + F.char_length(token), "end")).alias("range"),
-            token.alias("text"),
+    def span(line: Column, begin: Column, end: Column) -> Column:
+        at = line.cast("string")
+        return F.concat(
+            F.lit('"range":{"start":{"line":'), at, F.lit(',"col":'), begin.cast("string"),
+            F.lit('},"end":{"line":'), at, F.lit(',"col":'), end.cast("string"), F.lit("}}"),
         )
 
-    no_field = F.lit(None).cast("string")
+    def leaf(head: Column, token: Column, line: Column, j: Column) -> Column:
+        escaped = F.to_json(F.struct(token.alias("text")))
+        return F.concat(head, span(line, j, j + F.char_length(token)), F.lit(","), F.substring(escaped, 2, 1 << 30))
 
     def token_node(token: Column, j: Column, line: Column) -> Column:
-        first_kind = F.when(line % 5 == 0, "word").otherwise("identifier")
-        first_field = F.when((line % 3 != 0) & (line % 5 != 0), "name")
-        inner = F.to_json(leaf(F.lit("identifier"), True, token, line, j, no_field))
-        span = F.to_json(F.struct(point(line, j, "start"), point(line, j + F.char_length(token), "end")))
-        method = F.concat(
-            F.lit('{"type":"method_definition","isNamed":true,"range":'), span, F.lit(',"children":['), inner, F.lit("]}")
+        first = (
+            F.when(line % 5 == 0, '{"type":"word","isNamed":true,')
+            .when(line % 3 == 0, '{"type":"identifier","isNamed":true,')
+            .otherwise('{"type":"identifier","isNamed":true,"fieldName":"name",')
         )
-        return (
-            F.when(j == 0, F.to_json(leaf(first_kind, True, token, line, j, first_field)))
-            .when(j % 2 == 1, method)
-            .otherwise(F.to_json(leaf(F.lit("punct"), False, token, line, j, no_field)))
+        head = (
+            F.when(j == 0, first)
+            .when(j % 2 == 1, '{"type":"identifier","isNamed":true,')
+            .otherwise('{"type":"punct","isNamed":false,')
         )
+        own = leaf(head, token, line, j)
+        method = F.concat(
+            F.lit('{"type":"method_definition","isNamed":true,'), span(line, j, j + F.char_length(token)),
+            F.lit(',"children":['), own, F.lit("]}"),
+        )
+        return F.when(j % 2 == 1, method).otherwise(own)
 
     def line_node(line: Column, i: Column) -> Column:
         kind = pick(["ERROR", "class_declaration", "expression_statement", "interface_declaration"], i + 1)
         tokens = F.transform(F.split(line, " ", -1), lambda t, j: token_node(t, j, i + 1))
-        span = F.to_json(
-            F.struct(point(i + 1, F.lit(0), "start"), point(i + 1, F.char_length(line), "end"))
-        )
         return F.concat(
-            F.lit('{"type":"'), kind, F.lit('","isNamed":true,"range":'), span,
+            F.lit('{"type":"'), kind, F.lit('","isNamed":true,'), span(i + 1, F.lit(0), F.char_length(line)),
             F.lit(',"children":['), F.array_join(tokens, ","), F.lit("]}"),
         )
 
