@@ -15,24 +15,40 @@ FIELDS = [
 ]
 
 
+def line_tree_sizes(files: DataFrame, text: str = "content") -> DataFrame:
+    """Add ``nodes`` and ``max_depth`` of each file's line tree, where the nodes themselves are
+    not wanted. Every line feed adds a line and a token, every blank a token."""
+    body = F.col(text)
+    full = body.isNotNull() & (body != "")
+    feeds = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit("")))
+    blanks = F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit("")))
+    return files.withColumn(
+        "nodes", F.when(full, 3 + 2 * feeds + blanks).otherwise(1).cast("bigint")
+    ).withColumn("max_depth", F.when(full, 3).otherwise(1))
+
+
 def line_nodes(files: DataFrame, text: str = "content", keys: tuple[str, ...] = ("repo", "file_path")) -> DataFrame:
     """Node table of each file's lines and tokens. Narrow: no row leaves its partition."""
     body = F.col(text)
     present = F.when(body.isNull() | (body == ""), F.array().cast("array<string>")).otherwise(lines(body))
-    split = files.select(*keys, present.alias("_lines")).select(
-        *keys, "_lines", F.transform("_lines", lambda l: F.split(l, " ", -1)).alias("_words")
-    )
+    split = files.select(
+        *keys, present.alias("_lines"), F.coalesce(F.char_length(body), F.lit(0)).alias("_chars")
+    ).select(*keys, "_lines", "_chars", F.transform("_lines", lambda l: F.split(l, " ", -1)).alias("_words"))
+    last = F.size("_lines") - 1
+    # What the root needs is taken here, so that no whole array is copied beside every line.
     placed = split.select(
         *keys,
         "_lines",
         "_words",
+        "_chars",
+        F.size("_lines").alias("_count"),
+        F.coalesce(F.char_length(F.get("_lines", last)), F.lit(0)).alias("_tail"),
         starts_of(F.transform("_words", lambda w: F.size(w) + 1)).alias("_first"),
         starts_of(F.transform("_lines", lambda l: F.char_length(l) + 1)).alias("_line_at"),
         starts_of(
             F.flatten(F.transform("_words", lambda w: F.transform(w, lambda t: F.char_length(t) + 1)))
         ).alias("_token_at"),
     )
-    last = F.size("_lines") - 1
 
     def line(text: Column, i: Column) -> Column:
         first, words = F.get("_first", i), F.get("_words", i)
@@ -49,9 +65,9 @@ def line_nodes(files: DataFrame, text: str = "content", keys: tuple[str, ...] =
 
     per_line = placed.select(
         *keys,
-        F.size("_lines").alias("_count"),
-        F.char_length(F.get("_lines", last)).alias("_tail"),
-        F.coalesce(F.get("_line_at", last), F.lit(0)).alias("_tail_at"),
+        "_count",
+        "_tail",
+        "_chars",
         F.posexplode_outer(F.transform("_lines", line)).alias("_i", "_l"),
     )
     l = F.col("_l")
@@ -72,9 +88,9 @@ def line_nodes(files: DataFrame, text: str = "content", keys: tuple[str, ...] =
         start_line=one,
         start_col=zero,
         end_line=F.greatest(F.col("_count"), one),
-        end_col=F.coalesce(F.col("_tail"), zero),
+        end_col=F.col("_tail"),
         start_off=zero,
-        end_off=F.col("_tail_at") + F.coalesce(F.col("_tail"), zero),
+        end_off=F.col("_chars"),
         is_leaf=F.col("_count") == 0,
     )
     line_node = node(

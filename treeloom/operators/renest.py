@@ -2,7 +2,7 @@
 
 Each node writes its own piece of text: a comma if it follows a sibling, its fields, and as
 many closing brackets as ``closes`` says. Pieces in ``node_id`` order are the document. So a
-document of any size is a sort, and only pieces that fit a stated size are joined together.
+document of any size is a sort, and only a stated number of pieces are joined together.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, parent_path
 from .directories import dir_tree
-from .ordering import running_total
 
-PART_CHARS = 8 * 1024 * 1024
+PART_NODES = 20_000
 
 
 def _range(offsets: bool) -> Column:
@@ -54,30 +53,21 @@ def json_fragments(nodes: DataFrame, keys: list[str], offsets: bool = False) ->
     )
 
 
-def _joined(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("node_id", "fragment")))
-    return pieces.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(ordered, lambda p: p["fragment"]), "").alias("json")
-    )
-
-
 def nested_json(
-    nodes: DataFrame, keys: list[str], offsets: bool = False, part_chars: int = PART_CHARS
+    nodes: DataFrame, keys: list[str], offsets: bool = False, part_nodes: int = PART_NODES
 ) -> DataFrame:
     """Nested JSON per file as (keys, part, json).
 
-    A file up to ``part_chars`` is part 0, whole. A longer one comes in parts of about that
-    size which, one after the other, are the document; none is ever in memory as a whole.
+    A file of up to ``part_nodes`` nodes is part 0, whole. A larger one comes in parts which,
+    one after the other, are the document. Node numbers say which part a piece belongs to, so
+    one shuffle does it, a huge file is shared by many tasks, and none holds it as a whole.
     """
-    pieces = json_fragments(nodes, keys, offsets).withColumn("_size", F.length("fragment").cast("bigint"))
-    sizes = pieces.groupBy(*keys).agg(F.sum("_size").alias("_all"))
-    long = sizes.filter(F.col("_all") > part_chars).select(*keys)
-    short_ones = pieces.join(long, keys, "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    long_ones = running_total(pieces.join(long, keys, "left_semi"), keys, ["node_id"], "_size", "_upto").withColumn(
-        "part", F.floor((F.col("_upto") - F.col("_size")) / part_chars)
+    pieces = json_fragments(nodes, keys, offsets).withColumn(
+        "part", F.floor((F.col("node_id") - 1) / part_nodes)
     )
-    return _joined(short_ones.select(*keys, "part", "node_id", "fragment"), keys).unionByName(
-        _joined(long_ones.select(*keys, "part", "node_id", "fragment"), keys)
+    ordered = F.array_sort(F.collect_list(F.struct("node_id", "fragment")))
+    return pieces.groupBy(*keys, "part").agg(
+        F.array_join(F.transform(ordered, lambda p: p["fragment"]), "").alias("json")
     )
 
 

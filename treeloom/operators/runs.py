@@ -21,33 +21,34 @@ def number_runs(runs: DataFrame) -> DataFrame:
     return numbered(runs, ["repo", "engine"], ["ts", "run_id"], "run_no")
 
 
-def _reported(numbered_runs: DataFrame, engine: str, prefix: str) -> DataFrame:
-    shown = {
-        "files": F.col("files").cast("double"),
-        "loc": F.col("loc").cast("double"),
-        "nodes": F.col("nodes").cast("double"),
-        "max_depth": F.col("max_depth").cast("double"),
-        "parse_sec": seconds(F.col("parse_ns")),
-        "total_sec": seconds(F.col("total_ns")),
-        "peak_rss_mb": megabytes(F.col("rss_bytes")),
-        "peak_heap_mb": megabytes(F.col("heap_bytes")),
-    }
-    return numbered_runs.filter(F.col("engine") == engine).select(
-        "repo", "run_no", *[shown[m].alias(prefix + m) for m in METRICS]
-    )
-
-
 def pair_runs(runs: DataFrame, left: str = "generic", right: str = "native") -> DataFrame:
     """The n-th run of one engine beside the n-th run of the other; both sides are kept and
     ``missing_side`` names the engine without a partner.
 
-    The key includes the run number, so a repository with very many runs stays spread out.
+    Two runs meet in one aggregation, not in a join of the table with itself, and its key
+    includes the run number, so a repository with very many runs stays spread out.
     """
+    shown = F.struct(
+        F.col("files").cast("double").alias("files"),
+        F.col("loc").cast("double").alias("loc"),
+        F.col("nodes").cast("double").alias("nodes"),
+        F.col("max_depth").cast("double").alias("max_depth"),
+        seconds(F.col("parse_ns")).alias("parse_sec"),
+        seconds(F.col("total_ns")).alias("total_sec"),
+        megabytes(F.col("rss_bytes")).alias("peak_rss_mb"),
+        megabytes(F.col("heap_bytes")).alias("peak_heap_mb"),
+    )
     placed = number_runs(runs.filter(F.col("engine").isin(left, right)))
-    a = _reported(placed, left, "a_").withColumn("_a", F.lit(True))
-    b = _reported(placed, right, "b_").withColumn("_b", F.lit(True))
+    side = lambda engine: F.max(F.when(F.col("engine") == engine, shown))
+    pairs = placed.groupBy("repo", "run_no").agg(side(left).alias("_a"), side(right).alias("_b"))
     missing = F.when(F.col("_a").isNull(), left).when(F.col("_b").isNull(), right)
-    return a.join(b, ["repo", "run_no"], "full_outer").withColumn("missing_side", missing).drop("_a", "_b")
+    return pairs.select(
+        "repo",
+        "run_no",
+        missing.alias("missing_side"),
+        *[F.col(f"_a.{m}").alias(f"a_{m}") for m in METRICS],
+        *[F.col(f"_b.{m}").alias(f"b_{m}") for m in METRICS],
+    )
 
 
 def engine_compare(runs: DataFrame, left: str = "generic", right: str = "native") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import url_path
 from ..functions.text import line_count, lines
+from ..operators.files import with_language, with_line_count
+from ..operators.line_trees import line_tree_sizes
 from ..sources.layout import spread
 
 # `.es` is left out on purpose: its label falls back to the extension.
@@ -54,15 +56,9 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measured_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with lines, and nodes and depth of their line trees."""
-    from ..operators.files import with_language, with_line_count
-    from ..operators.line_trees import line_nodes
-    from ..operators.tree_stats import tree_stats
-
-    files = spread(document_files(spark, sf_dir))
-    keys = ["repo", "file_path", "ext", "parse_ns", "loc"]
-    nodes = line_nodes(with_line_count(files), "content", tuple(keys))
-    return with_language(tree_stats(nodes, keys), LANGUAGE_LABELS)
+    """Documents with language, lines, and nodes and depth of their line trees."""
+    files = with_line_count(line_tree_sizes(document_files(spark, sf_dir)))
+    return with_language(files.drop("content"), LANGUAGE_LABELS)
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
