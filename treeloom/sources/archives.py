@@ -61,7 +61,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     (path, i.filename, n, i.is_dir(), i.header_offset, i.compress_size, i.file_size, i.compress_type, None)
                     for n, i in enumerate(found)
                 ]
-            except (OSError, zipfile.BadZipFile) as problem:
+            except (OSError, ValueError, EOFError, zipfile.BadZipFile) as problem:
                 rows = [(path, None, 0, False, None, None, None, None, f"{type(problem).__name__}: {problem}")]
             for begin in range(0, len(rows), 50_000):
                 yield pd.DataFrame(rows[begin : begin + 50_000], columns=columns)
@@ -106,7 +106,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         data = _entry_bytes(handle, int(e.offset), int(e.packed), int(e.method), e.entry_path)
                         rows.append((path, e.entry_path, data.decode("utf-8", "replace"), None))
                         held += len(data)
-                    except (OSError, ValueError, zlib.error, struct.error, RuntimeError) as problem:
+                    except (OSError, ValueError, EOFError, RuntimeError, zlib.error, struct.error, zipfile.BadZipFile) as problem:
                         rows.append((path, e.entry_path, None, f"{type(problem).__name__}: {problem}"))
                     if held >= BATCH_BYTES:
                         yield pd.DataFrame(rows, columns=columns)
