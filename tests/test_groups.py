@@ -117,3 +117,17 @@ def test_dispatch_drops_what_has_no_builder(spark):
     df = spark.createDataFrame([("r", "a", ".txt", "x y"), ("r", "b", ".bin", "z")], "repo string, file_path string, ext string, content string")
     nodes = Dialects().register("lines", [".txt"], lambda f: line_nodes(f, keys=("repo", "file_path"))).nodes(df)
     assert {r.file_path for r in nodes.collect()} == {"a"}
+
+
+def test_written_pieces_are_the_document(spark, tmp_path):
+    from treeloom.sinks.writers import write_fragments
+
+    names = [("r", f"d{i % 7}/f{i}.py") for i in range(300)]
+    f = spark.createDataFrame(names, "repo string, file_path string").selectExpr("*", "'{}' ast", "cast(null as string) error")
+    run = spark.range(1).selectExpr("'r' repo", "'t' timestamp", "'{}' benchmark")
+    write_fragments(renest.response_fragments(f, run), ["repo", "place"], str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out" / "repo=r").glob("part-*"))
+    body = json.loads("".join(p.read_text() for p in parts))
+    folders = body["nodes"][0]["children"]
+    assert [d["name"] for d in folders] == [f"d{i}" for i in range(7)]
+    assert {c["filePath"] for d in folders for c in d["children"]} == {n for _, n in names}

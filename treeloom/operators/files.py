@@ -72,13 +72,26 @@ def language_stats(files: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 
 def language_rollup(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per language and in total (``is_total``), rounded after summing at both levels."""
+    """Per language and in total (``is_total``), rounded after summing at both levels.
+
+    Files are merged per language first, so grouping twice handles one row per language.
+    """
     keys = keys or []
-    sets = [[*keys, "language"], list(keys)]
-    grouped = files.groupingSets(sets, *keys, "language").agg(
-        F.grouping("language").cast("int").alias("is_total"), *_totals()
+    merged = files.groupBy(*keys, "language").agg(
+        F.count("*").alias("_files"),
+        F.sum("loc").alias("_loc"),
+        F.sum("nodes").alias("_nodes"),
+        F.max("max_depth").alias("_depth"),
+        F.sum("parse_ns").alias("_ns"),
+    )
+    return merged.groupingSets([[*keys, "language"], list(keys)], *keys, "language").agg(
+        F.grouping("language").cast("int").alias("is_total"),
+        F.sum("_files").alias("files"),
+        F.sum("_loc").alias("loc"),
+        F.coalesce(F.sum("_nodes"), F.lit(0)).cast("bigint").alias("nodes"),
+        F.coalesce(F.max("_depth"), F.lit(0)).cast("int").alias("max_depth"),
+        seconds(F.coalesce(F.sum("_ns"), F.lit(0))).alias("parse_sec"),
     )
-    return grouped
 
 
 def status_counts(files: DataFrame, keys: list[str] | None = None) -> DataFrame:

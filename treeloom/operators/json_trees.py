@@ -136,9 +136,9 @@ def _in_preorder(seen: Column, read) -> Column:
 
 
 def _walked(trees: DataFrame, tree: str, keys: tuple[str, ...], read, named_only=False, anchors=()) -> DataFrame:
-    whole = trees.filter(F.col(tree).isNotNull())
-    seen = _breadth_first(F.col(tree), named_only, list(anchors))
-    return whole.select(*keys, F.explode(_in_preorder(seen, read)).alias("_n")).select(*keys, "_n.*")
+    # Not a filter: pushed below the projection that parses, it would parse every text twice.
+    seen = F.when(F.col(tree).isNotNull(), _breadth_first(F.col(tree), named_only, list(anchors)))
+    return trees.select(*keys, F.explode(_in_preorder(seen, read)).alias("_n")).select(*keys, "_n.*")
 
 
 # Numbers are read as bigint, the type they are stored in: any other would be cast one by one.

@@ -251,6 +251,21 @@ dirs AS (
   FROM up)
 """
 
+RESPONSE = rf"""WITH {PAGE_PATHS},
+            d AS (SELECT DISTINCT dir_path AS path, coalesce(parent_path, '') AS above, name FROM dirs),
+            f AS (SELECT folder || '/' || page_id || '.html' AS path, folder AS above, page_id || '.html' AS name, page_id, loc FROM paths),
+            e AS (SELECT path, above, name, true AS is_dir, NULL AS page_id, NULL AS loc FROM d
+              UNION ALL SELECT path, above, name, false, page_id, loc FROM f),
+            n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY above ORDER BY name) = 1 THEN '' ELSE ',' END AS comma,
+              '0:' || replace(path, '/', '/0:') AS spot FROM e)
+            SELECT 'web' AS repo, spot AS place, comma || CASE WHEN is_dir
+                THEN '{{"type":"directory","name":"' || name || '","filePath":"' || path || '","children":['
+              WHEN page_id % 9 = 0 THEN '{{"type":"file","name":"' || name || '","filePath":"' || path || '","error":"unreadable"}}'
+              ELSE '{{"type":"file","name":"' || name || '","filePath":"' || path || '","ast":{{"loc":' || loc || '}}}}' END AS fragment FROM n
+            UNION ALL SELECT 'web', spot || '/1:', ']}}' FROM n WHERE is_dir
+            UNION ALL SELECT 'web', '', '{{"nodes":[{{"type":"directory","name":"web","filePath":"","children":['
+            UNION ALL SELECT 'web', '1:', ']}}],"timestamp":"2024-01-01T00:00:00.000Z","benchmark":{{"files":' || count(*) || ',"loc":' || sum(loc)::BIGINT || '}}}}' FROM paths"""
+
 DUMPED = """
 lines AS (
   SELECT source AS repo, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
@@ -363,20 +378,8 @@ def oracle_sql() -> dict[str, str]:
               ELSE '{"type":"document","isNamed":true,"range":{"start":{"line":1,"col":0},"end":{"line":' || len(string_split(c.text, chr(10)))
               || ',"col":' || length(string_split(c.text, chr(10))[-1]) || '}},"children":[' || lj.js || ']}' END AS json
             FROM conversations c LEFT JOIN lj USING (conv_id, turn)""",
-        "response_body": rf"""WITH {PAGE_PATHS},
-            d AS (SELECT DISTINCT dir_path AS path, coalesce(parent_path, '') AS above, name FROM dirs),
-            f AS (SELECT folder || '/' || page_id || '.html' AS path, folder AS above, page_id || '.html' AS name, page_id, loc FROM paths),
-            e AS (SELECT path, above, name, true AS is_dir, NULL AS page_id, NULL AS loc FROM d
-              UNION ALL SELECT path, above, name, false, page_id, loc FROM f),
-            n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY above ORDER BY name) = 1 THEN '' ELSE ',' END AS comma,
-              '0:' || replace(path, '/', '/0:') AS spot FROM e)
-            SELECT 'web' AS repo, spot AS place, comma || CASE WHEN is_dir
-                THEN '{{"type":"directory","name":"' || name || '","filePath":"' || path || '","children":['
-              WHEN page_id % 9 = 0 THEN '{{"type":"file","name":"' || name || '","filePath":"' || path || '","error":"unreadable"}}'
-              ELSE '{{"type":"file","name":"' || name || '","filePath":"' || path || '","ast":{{"loc":' || loc || '}}}}' END AS fragment FROM n
-            UNION ALL SELECT 'web', spot || '/1:', ']}}' FROM n WHERE is_dir
-            UNION ALL SELECT 'web', '', '{{"nodes":[{{"type":"directory","name":"web","filePath":"","children":['
-            UNION ALL SELECT 'web', '1:', ']}}],"timestamp":"2024-01-01T00:00:00.000Z","benchmark":{{"files":' || count(*) || ',"loc":' || sum(loc)::BIGINT || '}}}}' FROM paths""",
+        "response_body": RESPONSE,
+        "snapshot_json": f"SELECT repo, count(*)::BIGINT AS pieces, sum(length(fragment))::BIGINT AS chars FROM ({RESPONSE}) GROUP BY repo",
         "status_counts": f"""WITH s AS (SELECT CASE event_type WHEN 'error' THEN 'raw' WHEN 'signup' THEN 'error' ELSE 'ok' END AS status,
               CASE event_type WHEN 'error' THEN 2 ELSE 1 END AS loc, CASE WHEN event_type <> 'error' THEN 1 END AS nodes,
               CASE WHEN event_type <> 'error' THEN 1 END AS max_depth,

@@ -204,8 +204,8 @@ def renest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renest.nested_json(nodes, ["conv_id", "turn"])
 
 
-def response_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the answer for one site; `path` is the piece's place, spelled out."""
+def _response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer for one site of all pages, as ordered pieces."""
     pages = b.page_files(spark, sf_dir)
     answer = pages.select(
         "repo",
@@ -218,7 +218,20 @@ def response_body(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"),
         F.to_json(F.struct("files", "loc")).alias("benchmark"),
     )
-    pieces = renest.response_fragments(answer, run)
+    return renest.response_fragments(answer, run)
+
+
+def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer written as nested JSON text, in order, and measured when read back."""
+    folder = fresh_folder(spark, "snapshot-json")
+    writers.write_fragments(_response(spark, sf_dir), ["repo", "place"], folder)
+    back = spark.read.text(folder)
+    return back.groupBy("repo").agg(F.count("*").alias("pieces"), F.sum(F.length("value")).alias("chars"))
+
+
+def response_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the answer for one site; `path` is the piece's place, spelled out."""
+    pieces = _response(spark, sf_dir)
     path = F.array_join(F.transform("place", lambda s: F.concat(s["after"].cast("string"), F.lit(":"), s["name"])), "/")
     return pieces.select("repo", path.alias("place"), "fragment")
 
@@ -442,6 +455,7 @@ def queries() -> dict[str, Query]:
         "scan_archives": scan_archives,
         "scan_tree": scan_tree,
         "snapshot_write": snapshot_write,
+        "snapshot_json": snapshot_json,
         "stream_ingest": stream_ingest,
         "stream_history": stream_history,
     }

@@ -23,8 +23,10 @@ def _mode(batch_id: int | None) -> str:
 
 
 def write_snapshot(nodes: DataFrame, folder: str, batch_id: int | None = None) -> None:
-    """Node table by engine and repository; a repository's nodes stay spread over files."""
-    nodes.write.mode(_mode(batch_id)).partitionBy("engine", "repo").parquet(_batch(folder, batch_id))
+    """Node table by engine and repository. Rows are gathered by folder first so that small
+    repositories get few files, and a large one is split over as many tasks as it needs."""
+    gathered = nodes.hint("rebalance", "engine", "repo")
+    gathered.write.mode(_mode(batch_id)).partitionBy("engine", "repo").parquet(_batch(folder, batch_id))
 
 
 def write_dumps(files: DataFrame, folder: str) -> None:

@@ -120,9 +120,12 @@ def entry_contents(entries: DataFrame) -> DataFrame:
     go to different tasks."""
     wanted = entries.filter(~F.col("is_dir") & F.col("error").isNull())
     chunk = F.floor(F.col("ordinal") / ENTRIES_PER_CHUNK)
+    # The number is given because these rows are small but their contents are not: partitions
+    # merged by the size of the rows would leave the reading to a few tasks.
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         wanted.withColumn("_chunk", chunk)
-        .repartition("archive", "_chunk")
+        .repartition(tasks, "archive", "_chunk")
         .sortWithinPartitions("archive", "offset")
         .select("archive", "entry_path", "offset", "packed", "method")
         .mapInPandas(_read, CONTENT_DDL)
