@@ -24,12 +24,14 @@ def test_row_numbers_of_a_group_spread_over_ranges(spark):
     assert got == expected
 
 
-def test_exact_median(spark):
+def test_exact_summary(spark):
     source = random.Random(7)
-    rows = [(f"g{source.randrange(3)}", source.randrange(40)) for _ in range(501)] + [("one", 9), ("two", 1), ("two", 4)]
+    rows = [(f"g{source.randrange(3)}", source.randrange(40)) for _ in range(501)] + [("one", 9), ("two", 1), ("two", 4), ("two", None)]
     df = spark.createDataFrame(rows, "g string, v bigint").repartition(6)
-    got = {r.g: r.m for r in ordering.exact_median(df, ["g"], "v", "m").collect()}
-    assert got == {g: statistics.median(v for k, v in rows if k == g) for g in {k for k, _ in rows}}
+    for r in ordering.exact_summary(df, ["g"], "v").collect():
+        values = [v for k, v in rows if k == r.g and v is not None]
+        assert (r.n, int(r.total), int(r.squares), r.least, r.most, r.median) == (
+            len(values), sum(values), sum(v * v for v in values), min(values), max(values), statistics.median(values))
 
 
 def run_rows(spark, rows):

@@ -15,12 +15,15 @@ from ..functions.text import trimmed
 from .node_table import as_nodes, let
 
 KEYS = ("repo", "file_path")
+# Strings beyond this length are not read by Spark's JSON reader.
+LARGE_TEXT = 20_000_000
 
 
 def parse_or_raw(files: DataFrame, text: str = "content") -> DataFrame:
     """Read tree dumps: ``tree`` where the text is JSON, else the trimmed text as ``raw_dump``.
 
-    A dump whose root only carries an error message is reported by ``status``.
+    A dump whose root only carries an error message is reported by ``status``, and so is one
+    that looks like JSON but is beyond what Spark can hold as one value.
     """
     tree = F.try_parse_json(text)
     parsed = files.withColumn("tree", tree)
@@ -28,7 +31,9 @@ def parse_or_raw(files: DataFrame, text: str = "content") -> DataFrame:
     rootless = F.coalesce(F.try_variant_get("tree", "$.type", "string"), F.try_variant_get("tree", "$.kind", "string")).isNull()
     return parsed.withColumn("raw_dump", F.when(F.col("tree").isNull(), trimmed(F.col(text)))).withColumn(
         "status",
-        F.when(F.col("tree").isNull(), "raw").when(message.isNotNull() & rootless, "error").otherwise("ok"),
+        F.when(F.col("tree").isNull() & (F.octet_length(text) > LARGE_TEXT) & F.rlike(text, F.lit(r"^\s*[{\[]")), "too_large")
+        .when(F.col("tree").isNull(), "raw")
+        .when(message.isNotNull() & rootless, "error").otherwise("ok"),
     )
 
 

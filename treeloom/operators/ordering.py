@@ -8,15 +8,18 @@ came before it in its group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import durable
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``amount`` up to and including this row of its group.
+def running_total(
+    df: DataFrame, keys: list[str], order: list[str], amount: str, name: str, total: str | None = None
+) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` up to and including this row of its group, and on
+    request ``total``: the sum over the whole group.
 
     ``order`` must end in a column unique within the group. The ranges are fixed by a
     checkpoint: drawn again after a lost executor they could differ between the two uses.
@@ -25,16 +28,20 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str,
         df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn("_range", F.spark_partition_id())
     )
     # One row per group and range: at most groups + ranges rows, however large a group is.
-    totals = ranged.groupBy(*keys, "_range").agg(F.sum(amount).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "_range").agg(F.sum(amount).alias("_amount")).select(
+        *keys,
+        "_range",
+        F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias("_before"),
+        F.sum("_amount").over(group).alias("_whole"),
+    )
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.sum(amount).over(inside))
-    return (
-        local.join(offsets, [*keys, "_range"])
-        .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_range", "_local", "_before")
-    )
+    placed = local.join(offsets, [*keys, "_range"]).withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
+    if total is not None:
+        placed = placed.withColumn(total, F.col("_whole").cast("bigint"))
+    return placed.drop("_range", "_local", "_before", "_whole")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -43,27 +50,29 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return ones.drop("_one")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Exact median of an integer or date-like column per group; an even group takes the mean of
-    its middle two.
+def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact n, total, squares, least, most and median of a whole-number column per group; an
+    even group's median is the mean of its middle two.
 
-    Equal values are merged before anything is ordered, and no group is held in memory.
+    Equal values are merged before anything is ordered, no group is held in memory, and the
+    sums are exact, so nothing depends on the order of rows.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    placed = running_total(counted, keys, [value], "_n", "_upto")
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    low = F.floor((F.col("_size") + 1) / 2)
-    high = F.floor((F.col("_size") + 2) / 2)
-    after = F.col("_upto") - F.col("_n")
-    holds_low = (after < low) & (low <= F.col("_upto"))
-    holds_high = (after < high) & (high <= F.col("_upto"))
-    return (
-        placed.join(sizes, keys)
-        .filter(holds_low | holds_high)
-        .groupBy(*keys)
-        .agg(
-            (
-                (F.max(F.when(holds_low, F.col(value))) + F.max(F.when(holds_high, F.col(value)))) / F.lit(2.0)
-            ).alias(name)
-        )
+    placed = running_total(counted, keys, [value], "_n", "_upto", "_size")
+    v, n, upto = F.col(value), F.col("_n"), F.col("_upto")
+    # The wide type keeps sums of squares exact.
+    wide = v.cast("decimal(13,0)")
+    times = n.cast("decimal(12,0)")
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((upto - n < position) & (position <= upto), v))
+
+    middle = at(F.floor((F.col("_size") + 1) / 2)) + at(F.floor((F.col("_size") + 2) / 2))
+    return placed.groupBy(*keys).agg(
+        F.sum(n).alias("n"),
+        F.sum(wide * times).alias("total"),
+        F.sum(wide * wide * times).alias("squares"),
+        F.min(v).alias("least"),
+        F.max(v).alias("most"),
+        (middle / F.lit(2.0)).alias("median"),
     )

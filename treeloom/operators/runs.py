@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import megabytes, rounded, seconds, whole_millis
-from .ordering import exact_median, numbered
+from .ordering import exact_summary, numbered
 
 METRICS = ["files", "loc", "nodes", "max_depth", "parse_sec", "total_sec", "peak_rss_mb", "peak_heap_mb"]
 
@@ -79,33 +79,24 @@ def run_stats(runs: DataFrame, keys: tuple[str, ...] = ("repo", "engine")) -> Da
 
     Sums of milliseconds and of their squares are exact integers; only the last step is not.
     """
-    timed = runs.filter(F.col("parse_ns").isNotNull()).withColumn("_ms", whole_millis(F.col("parse_ns")))
-    n, total = F.col("runs"), F.col("_sum")
-    spread = F.sqrt((n * F.col("_squares") - total * total).cast("double")) / n
-    ms = F.col("_ms").cast("decimal(13,0)")
-    moments = timed.groupBy(*keys).agg(
-        F.count("*").cast("bigint").alias("runs"),
-        F.sum(ms).alias("_sum"),
-        F.sum(ms * ms).alias("_squares"),
-        F.min("_ms").alias("_least"),
-        F.max("_ms").alias("_most"),
-    )
-    middle = exact_median(timed, list(keys), "_ms", "_median")
+    timed = runs.select(*keys, whole_millis(F.col("parse_ns")).alias("_ms"))
+    n, total = F.col("n").cast("decimal(12,0)"), F.col("total").cast("decimal(19,0)")
+    spread = F.sqrt((n * F.col("squares").cast("decimal(26,0)") - total * total).cast("double")) / F.col("n")
 
     def sec(ms: Column) -> Column:
         return rounded(ms / F.lit(1000.0), 4)
 
     return (
-        moments.filter(n > 1)
-        .join(middle, list(keys))
+        exact_summary(timed, list(keys), "_ms")
+        .filter(F.col("n") > 1)
         .select(
             *keys,
-            "runs",
-            sec(total.cast("double") / n).alias("mean_sec"),
+            F.col("n").alias("runs"),
+            sec(F.col("total").cast("double") / F.col("n")).alias("mean_sec"),
             sec(spread).alias("std_sec"),
-            sec(F.col("_median")).alias("median_sec"),
-            sec(F.col("_least")).alias("min_sec"),
-            sec(F.col("_most")).alias("max_sec"),
+            sec(F.col("median")).alias("median_sec"),
+            sec(F.col("least")).alias("min_sec"),
+            sec(F.col("most")).alias("max_sec"),
         )
     )
 
