@@ -109,12 +109,18 @@ def response_fragments(files: DataFrame, runs: DataFrame) -> DataFrame:
         .when(F.col("ast").isNotNull(), F.concat(comma, body, F.lit(',"ast":'), F.col("ast"), F.lit("}")))
         .otherwise(F.concat(comma, F.col("_known")))
     )
-    opened = (
+
+    def piece(at: Column, fragment: Column) -> Column:
+        return F.struct(at.alias("place"), fragment.alias("fragment"))
+
+    opening = piece(place(F.col("path")), text)
+    closing = piece(place(F.col("path"), 1), F.lit("]}"))
+    inside = (
         entries.join(first, ["repo", "_above"])
         .withColumn("_known", known)
-        .select("repo", place(F.col("path")).alias("place"), text.alias("fragment"))
+        .select("repo", F.explode(F.when(F.col("is_dir"), F.array(opening, closing)).otherwise(F.array(opening))).alias("_p"))
+        .select("repo", "_p.place", "_p.fragment")
     )
-    closed = dirs.select("repo", place(F.col("path"), 1).alias("place"), F.lit("]}").alias("fragment"))
     root = F.to_json(F.struct(F.lit("directory").alias("type"), F.col("repo").alias("name"), F.lit("").alias("filePath")))
     head = runs.withColumn("_root", root).select(
         "repo",
@@ -128,4 +134,4 @@ def response_fragments(files: DataFrame, runs: DataFrame) -> DataFrame:
             F.lit(']}],"timestamp":"'), F.col("timestamp"), F.lit('","benchmark":'), F.col("benchmark"), F.lit("}")
         ).alias("fragment"),
     )
-    return opened.unionByName(closed).unionByName(head).unionByName(tail)
+    return inside.unionByName(head).unionByName(tail)

@@ -98,7 +98,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows: list[tuple] = []
         held = 0
-        for path, entries in batch.groupby("archive", sort=False):
+        unread = batch[batch["error"].notna()]
+        rows.extend((e.archive, e.entry_path, None, e.error) for e in unread.itertuples(index=False))
+        for path, entries in batch[batch["error"].isna()].groupby("archive", sort=False):
             system, plain = open_path(path)
             with system.open_input_file(plain) as handle:
                 for e in entries.itertuples(index=False):
@@ -117,8 +119,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def entry_contents(entries: DataFrame) -> DataFrame:
     """Text of each entry. Neighbouring entries are read together, and chunks of one archive
-    go to different tasks."""
-    wanted = entries.filter(~F.col("is_dir") & F.col("error").isNull())
+    go to different tasks. Archives that could not be listed pass through with their error."""
+    wanted = entries.filter(~F.col("is_dir"))
     chunk = F.floor(F.col("ordinal") / ENTRIES_PER_CHUNK)
     # The number is given because these rows are small but their contents are not: partitions
     # merged by the size of the rows would leave the reading to a few tasks.
@@ -127,7 +129,7 @@ def entry_contents(entries: DataFrame) -> DataFrame:
         wanted.withColumn("_chunk", chunk)
         .repartition(tasks, "archive", "_chunk")
         .sortWithinPartitions("archive", "offset")
-        .select("archive", "entry_path", "offset", "packed", "method")
+        .select("archive", "entry_path", "offset", "packed", "method", "error")
         .mapInPandas(_read, CONTENT_DDL)
     )
 
@@ -138,13 +140,10 @@ def archive_to_files(archives: DataFrame, extensions: list[str] | None = None) -
     An archive that cannot be opened is kept as one row with status ``error``.
     """
     entries = archive_entries(archives)
-    kept = entries.filter(F.col("error").isNull() & ~is_pruned(F.regexp_replace("entry_path", "/$", "")))
+    wanted = ~is_pruned(F.regexp_replace("entry_path", "/$", ""))
     if extensions is not None:
-        kept = kept.filter(extension(F.col("entry_path")).isin(extensions))
-    broken = entries.filter(F.col("error").isNotNull()).select(
-        "archive", "entry_path", F.lit(None).cast("string").alias("content"), "error"
-    )
-    every = entry_contents(kept).unionByName(broken)
+        wanted = wanted & extension(F.col("entry_path")).isin(extensions)
+    every = entry_contents(entries.filter(F.col("error").isNotNull() | wanted))
     return every.select(
         without_zip(base_name(F.col("archive"))).alias("repo"),
         F.col("entry_path").alias("file_path"),
