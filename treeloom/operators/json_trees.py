@@ -46,9 +46,9 @@ def _is_object(value: Column) -> Column:
 
 
 # A walk takes as many steps as its tree has levels, which is not known beforehand. Steps come
-# in rounds of doubling length and a round is empty once nothing is left to visit, so any
-# depth is reached and at most about twice the steps needed are taken.
-_ROUNDS = [8, 8] + [2**k for k in range(4, 27)]
+# in rounds of growing length and a round is empty once nothing is left to visit. Every step
+# and every round copies what was visited, so the first rounds are short and rounds are few.
+_ROUNDS = [6, 10, 16, 32, 64, 512, 8192, 2**20]
 
 
 def _until_done(start: Column, step) -> Column:
@@ -259,8 +259,15 @@ def _below(node: Column) -> Column:
     below a key stands for its items."""
     fields = F.try_variant_get(node, "$", "map<string,variant>")
     values = F.coalesce(F.map_values(F.map_filter(fields, lambda k, _: k != "parent")), _array(node))
-    items = F.flatten(F.transform(values, lambda v: F.coalesce(_array(v), F.array(v))))
-    return F.filter(F.coalesce(_array(node, "$.children"), items), _is_container)
+    nothing = F.array().cast("array<variant>")
+
+    def standing(v: Column) -> Column:
+        within = F.filter(F.coalesce(_array(v), nothing), _is_container)
+        return F.when(_is_object(v), F.array(v)).otherwise(within)
+
+    return F.coalesce(
+        F.filter(_array(node, "$.children"), _is_container), F.flatten(F.transform(values, standing))
+    )
 
 
 def object_tree_stats(trees: DataFrame, tree: str = "tree", keys: tuple[str, ...] = KEYS) -> DataFrame:
