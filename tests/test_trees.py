@@ -4,7 +4,6 @@ import json
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from treeloom.fixed_values import OUTLINE_CLASS_BY_KIND
 from treeloom.operators import dump_trees, json_trees, line_trees, markup_trees, renest, tree_stats
@@ -35,7 +34,7 @@ CLASS = {
             "range": {"start": {"line": 1, "col": 0}, "end": {"line": 8, "col": 1}},
             "children": [
                 {"type": "class", "isNamed": False, "text": "class"},
-                leaf("identifier", "Rectangle", fieldName="name"),
+                leaf("identifier", "Shape", fieldName="name"),
                 {
                     "type": "class_body",
                     "isNamed": True,
@@ -112,7 +111,7 @@ def test_named_only_skips_the_subtree(spark):
 def test_outline(spark):
     rows = json_trees.outline(parsed(spark, CLASS), OUTLINE_CLASS_BY_KIND).orderBy("node_id").collect()
     assert [(r["class"], r["name"], r["outline_parent_id"]) for r in rows] == [
-        ("CLASS", "Rectangle", None), ("METHOD", "area", 2), ("METHOD", "anonymous", 2), ("METHOD", "y", None)]
+        ("CLASS", "Shape", None), ("METHOD", "area", 2), ("METHOD", "anonymous", 2), ("METHOD", "y", None)]
     assert (rows[0].start_line, rows[0].end_line, rows[0].end_col) == (1, 8, 1)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import base_name, parent_path
 
 
-def _with_ancestors(folders: DataFrame, repo: str) -> DataFrame:
+def _with_ancestors(folders: DataFrame) -> DataFrame:
     """Each folder row once per folder on its way to the root, itself included."""
     path = F.col("_folder")
     depth = F.size(F.split(path, "/"))
@@ -25,7 +25,7 @@ def dir_tree(
     folders = files.select(repo, parent_path(F.col(path)).alias("_folder"))
     if empty_dirs is not None:
         folders = folders.unionByName(empty_dirs.select(repo, F.col("dir_path").alias("_folder")))
-    listed = _with_ancestors(folders.distinct(), repo)
+    listed = _with_ancestors(folders.distinct())
     return (
         listed.select(repo, "dir_path", "depth")
         .distinct()
@@ -45,7 +45,7 @@ def dir_rollup(files: DataFrame, repo: str = "repo", path: str = "file_path") ->
         F.count("*").alias("_files"), F.sum("loc").alias("_loc")
     )
     return (
-        _with_ancestors(own, repo)
+        _with_ancestors(own)
         .groupBy(repo, "dir_path")
         .agg(F.sum("_files").alias("files"), F.sum("_loc").alias("loc"))
     )

@@ -214,7 +214,7 @@ def constructor_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as constructor dumps, four blanks a level; one in seven has no constructor."""
     d = spread(table(spark, sf_dir, "documents"))
 
-    def line(text: Column, i: Column) -> Column:
+    def line(_: Column, i: Column) -> Column:
         head = F.when(F.col("doc_id") % 7 == 0, "args=[").when(i % 2 == 0, "value=Expr(").otherwise("body=[")
         return F.concat(F.repeat(F.lit("    "), (i % 5).cast("int")), head)
 
