@@ -11,8 +11,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Word patterns of the contracts, as what separates words.
 BLANKS = r"[\x20\x09-\x0D]+"
 NON_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# A side is broadcast only when counted at no more than this many rows.
+# A side is broadcast only when counted at no more than this many rows and bytes.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +44,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has no more than ``rows`` rows; a larger one is left
-    to a shuffled join. ``df`` should be stored: it is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, width: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``rows`` rows, and no more than
+    ``BROADCAST_BYTES`` bytes in its wide columns, whose bytes in a row ``width`` gives; a
+    larger one is left to a shuffled join. ``df`` should be stored: it is counted."""
+    n, wide = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if width is None else width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and wide <= BROADCAST_BYTES else df
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``chosen`` (doc_id, key_: the text's
+    XXH64). A missing id equals a missing id."""
+    keys = stored(chosen.select(F.col("doc_id").alias("id_"), F.col("key_").alias("other_")).distinct(), "chosen")
+    same = docs[id_col].eqNullSafe(keys["id_"]) & (F.xxhash64(docs[text_col]) == keys["other_"])
+    return docs.join(small(keys), same, "left_semi")
 
 
 def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
