@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bit_planes import op4_bit_planes
+from .bk_trees import op7_bk_trees
+from .ngram_ratio import op5_ngram_ratio
+from .phrase_index import op9_phrase_index
+from .piece_counts import op10_piece_counts
+from .two_fit import op6_two_fit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,4 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op4_bit_planes": op4_bit_planes,
+        "op5_ngram_ratio": op5_ngram_ratio,
+        "op6_two_fit": op6_two_fit,
+        "op7_bk_trees": op7_bk_trees,
+        "op9_phrase_index": op9_phrase_index,
+        "op10_piece_counts": op10_piece_counts,
     }
