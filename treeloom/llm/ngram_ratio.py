@@ -13,15 +13,16 @@ it bad. With no trusted document at all every n-gram scores 0. An empty table gi
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, rows_of, small, stored, table, words
+from .shared import BLANKS, constant_array, small, stored, table, words
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 SMOOTHING = 1.0
 # Mean score, in thousandths of a nat, that a document must reach.
-THRESHOLD = -500
+THRESHOLD = -320
 WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -87,44 +88,37 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return marked.filter((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)).select("trusted_")
 
 
-def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, weight: 1000 ln(trusted / raw) of every bucket that occurs, smoothed."""
+def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """1000 ln(trusted / raw) of every bucket, smoothed. The counts of all documents meet in
+    one row for each bucket, so what reaches the driver never grows."""
     trusted = stored(trusted_ids(labels), "trusted")
     marked = docs.select(id_col, text_col).join(small(trusted), F.col(id_col) == F.col("trusted_"), "left")
-    each = marked.select(
-        F.col("trusted_").isNotNull().cast("int").alias("t"), F.explode(grams(words(F.col(text_col), BLANKS))).alias("bucket")
-    )
-    counts = stored(each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t")), "grams")
-    n, t = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    share = lambda c, total: (F.col(c) + SMOOTHING) / F.lit(total + SMOOTHING * BUCKETS)
-    weight = F.round(1000 * F.log(share("t", t) / share("n", n))).cast("bigint") if t else F.lit(0).cast("bigint")
-    return counts.select("bucket", weight.alias("weight"))
-
-
-def judged(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, key_ (of the text), the base counts, base_failed, score (thousandths) and kept,
-    for each row of ``docs`` (doc_id, text)."""
-    base = base_counts(docs.select("doc_id", "text")).withColumn("key_", F.xxhash64("text"))
-    score = stored(weights(docs, labels), "weights")
-    own = ["doc_id", "key_", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    # A last null gram marks each row, so that repeated rows and texts without words stay.
-    marked = F.concat(grams(F.col("words_")), F.array(F.lit(None).cast("int")))
-    spread = base.select(*own, F.explode(marked).alias("bucket"))
-    # At most BUCKETS rows, whatever the corpus.
-    summed = spread.join(F.broadcast(score), "bucket", "left").groupBy(*own).agg(
-        F.sum("weight").alias("total_"), F.count("bucket").alias("grams_"), F.count_if(F.col("bucket").isNull()).alias("copies_")
-    )
-    mean = F.floor(F.coalesce("total_", F.lit(0)) / F.greatest("grams_", F.lit(1)))
-    each = F.explode(F.array_repeat(F.lit(0), F.col("copies_").cast("int"))).alias("copy_")
-    verdict = ~F.col("base_failed") & (mean >= threshold)
-    return summed.select(*own, mean.alias("score"), verdict.alias("kept"), each).drop("copy_")
-
-
-def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows_of(docs, judged(plain, labels).filter("kept"), id_col, text_col)
+    # Words are a column of their own before they are used: a lambda would split the text anew for each word.
+    cut = marked.select(F.col("trusted_").isNotNull().cast("int").alias("t"), words(F.col(text_col), BLANKS).alias("words_"))
+    each = cut.select("t", F.explode(grams(F.col("words_"))).alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toPandas()
+    n, t = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    n[counts["bucket"]], t[counts["bucket"]] = counts["n"], counts["t"]
+    if not t.any():
+        return [0] * BUCKETS
+    trusted_share = (t + SMOOTHING) / (t.sum() + SMOOTHING * BUCKETS)
+    raw_share = (n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)
+    return np.rint(1000 * np.log(trusted_share / raw_share)).astype(int).tolist()
+
+
+def judged(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD
+) -> DataFrame:
+    """``docs`` with the base counts, base_failed, score (thousandths) and kept. The statistics
+    are those of all of ``docs``; each verdict is worked out within its row."""
+    table_ = constant_array(weights(docs, labels, id_col, text_col))
+    base = base_counts(docs, id_col, text_col).withColumn("grams_", grams(F.col("words_")))
+    total = F.aggregate("grams_", F.lit(0).cast("bigint"), lambda acc, g: acc + F.get(table_, g))
+    mean = F.floor(total / F.greatest(F.size("grams_"), F.lit(1)))
+    scored = base.withColumn("score", mean).drop("words_", "grams_")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def op5_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key_")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(docs, table(spark, sf_dir, "labels")).drop("text")

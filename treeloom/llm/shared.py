@@ -52,6 +52,12 @@ def small(df: DataFrame, width: Column | None = None, rows: int = BROADCAST_ROWS
     return F.broadcast(df) if n <= rows and wide <= BROADCAST_BYTES else df
 
 
+def constant_array(values: list[int]) -> Column:
+    """An array of whole numbers as one constant of the plan. Its length must have a bound that
+    does not depend on the corpus."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose id and text are among ``chosen`` (doc_id, key_: the text's
     XXH64). A missing id equals a missing id."""
