@@ -97,28 +97,34 @@ def _key(band: int, least: Column) -> Column:
     return F.xxhash64(F.lit(band), least)
 
 
+def _least(shingles: Column, first: Column | int, width: int, band: int) -> Column:
+    """The MinHash value of a band over ``width`` shingles from position ``first`` (from 1)."""
+    return F.array_min(F.transform(F.slice(shingles, first, width), lambda h: _key(band, h)))
+
+
 def text_windows(df: DataFrame) -> DataFrame:
     """Replace shingles_ by key and place: every shingle by itself, and the bands of every
     window of two blocks. A block's MinHash is computed once for the two windows it is in."""
     s = F.col("shingles_")
     rest = [c for c in df.columns if c != "shingles_"]
     count = F.floor(F.size(s) / BLOCK).cast("int")
-    blocks = F.sequence(F.lit(0), count - 1)
-    for b in range(BANDS):
-        least = F.transform(
-            blocks, lambda j, b=b: F.array_min(F.transform(F.slice(s, j * BLOCK + 1, BLOCK), lambda h: _key(b, h)))
-        )
-        df = df.withColumn(f"band{b}_", F.when(count >= 2, least).otherwise(F.array().cast("array<bigint>")))
-    singles = F.transform(s, lambda h, i: F.struct(h.alias("key"), i.alias("place")))
-    parts = [singles]
-    for b in range(BANDS):
-        m = F.col(f"band{b}_")
+    none = F.array().cast("array<bigint>")
+
+    def blocks(band: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), count - 1), lambda j: _least(s, j * BLOCK + 1, BLOCK, band))
+        return F.when(count >= 2, each).otherwise(none)
+
+    def windows(band: int) -> Column:
+        m = F.col(f"band{band}_")
         ends = F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0)))
-        parts.append(
-            F.transform(ends, lambda h, j, b=b, m=m: F.struct(_key(b, F.least(F.get(m, j), h)).alias("key"), (j * BLOCK).alias("place")))
-        )
+        key = lambda h, j: _key(band, F.least(F.get(m, j), h)).alias("key")
+        return F.transform(ends, lambda h, j: F.struct(key(h, j), (j * BLOCK).alias("place")))
+
+    banded = df.withColumns({f"band{b}_": blocks(b) for b in range(BANDS)})
+    singles = F.transform(s, lambda h, i: F.struct(h.alias("key"), i.alias("place")))
+    parts = [singles, *[windows(b) for b in range(BANDS)]]
     every = F.concat(*[p.cast("array<struct<key:bigint,place:int>>") for p in parts])
-    return df.select(*rest, F.explode(every).alias("at_")).select(*rest, "at_.key", "at_.place")
+    return banded.select(*rest, F.explode(every).alias("at_")).select(*rest, "at_.key", "at_.place")
 
 
 def template_windows(templates: DataFrame) -> DataFrame:
@@ -130,8 +136,8 @@ def template_windows(templates: DataFrame) -> DataFrame:
     long = whole.filter(F.size(s) >= LONG).select("template", "shingles_", F.explode(F.sequence(F.lit(0), F.size(s) - width)).alias("place"))
     out = single.select("key", "place", "template")
     for b in range(BANDS):
-        least = F.array_min(F.transform(F.slice(s, F.col("place") + 1, width), lambda h, b=b: _key(b, h)))
-        out = out.unionByName(long.select(_key(b, least).alias("key"), "place", "template"))
+        key = _key(b, _least(s, F.col("place") + 1, width, b))
+        out = out.unionByName(long.select(key.alias("key"), "place", "template"))
     return out.distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bit_planes import op4_bit_planes
 from .bk_trees import op7_bk_trees
+from .co_training import op8_co_training
 from .license_scan import op2_license_scan
 from .ngram_ratio import op5_ngram_ratio
 from .phrase_index import op9_phrase_index
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op5_ngram_ratio": op5_ngram_ratio,
         "op6_two_fit": op6_two_fit,
         "op7_bk_trees": op7_bk_trees,
+        "op8_co_training": op8_co_training,
         "op9_phrase_index": op9_phrase_index,
         "op10_piece_counts": op10_piece_counts,
     }
