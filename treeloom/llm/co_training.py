@@ -109,8 +109,8 @@ def meta_score(weights: list[int]) -> Column:
 def _weights(known: DataFrame, buckets: Column, size: int) -> list[int]:
     """Naive Bayes weights from rows with good_ (1, 0 or null for unknown): one row for each
     bucket reaches the driver."""
-    each = known.filter(F.col("good_").isNotNull()).select("good_", F.explode(buckets).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.sum("good_").alias("good"), F.count("*").alias("n")).toPandas()
+    each = known.filter(F.col("good_").isNotNull()).select("good_", F.explode_outer(buckets).alias("bucket"))
+    counts = each.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("good_").alias("good"), F.count("*").alias("n")).toPandas()
     good, bad = np.zeros(size), np.zeros(size)
     good[counts["bucket"]] = counts["good"]
     bad[counts["bucket"]] = counts["n"] - counts["good"]

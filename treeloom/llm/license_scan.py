@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import NON_WORDS, ascii_lower, small, stored, table, words
+from .shared import NON_WORDS, ascii_lower, small, stored, table, where_found, words
 
 SHINGLE = 5
 LONG = 12
@@ -124,7 +124,8 @@ def text_windows(df: DataFrame) -> DataFrame:
     singles = F.transform(s, lambda h, i: F.struct(h.alias("key"), i.alias("place")))
     parts = [singles, *[windows(b) for b in range(BANDS)]]
     every = F.concat(*[p.cast("array<struct<key:bigint,place:int>>") for p in parts])
-    return banded.select(*rest, F.explode(every).alias("at_")).select(*rest, "at_.key", "at_.place")
+    # An inner explode would be given a filter on its size, which works all windows out twice.
+    return banded.select(*rest, F.explode_outer(every).alias("at_")).select(*rest, "at_.key", "at_.place")
 
 
 def template_windows(templates: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def license_matches(docs: DataFrame, templates: DataFrame, contained: float = CO
         return F.struct(share.alias("contained"), (-F.greatest(start, F.lit(0))).alias("back"))
 
     best = own.select("doc_id", "license", F.array_max(F.transform("starts", at)).alias("best"))
-    return best.filter(F.col("best.contained") >= contained).select(
+    return where_found(best.withColumn("found_", F.col("best.contained") >= contained), "found_").select(
         "doc_id", "license", F.col("best.contained").alias("contained"), (-F.col("best.back")).cast("bigint").alias("first_word")
     )
 

@@ -95,8 +95,9 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     marked = docs.select(id_col, text_col).join(small(trusted), F.col(id_col) == F.col("trusted_"), "left")
     # Words are a column of their own before they are used: a lambda would split the text anew for each word.
     cut = marked.select(F.col("trusted_").isNotNull().cast("int").alias("t"), words(F.col(text_col), BLANKS).alias("words_"))
-    each = cut.select("t", F.explode(grams(F.col("words_"))).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toPandas()
+    # An inner explode would be given a filter on its size, which works the grams out twice.
+    each = cut.select("t", F.explode_outer(grams(F.col("words_"))).alias("bucket"))
+    counts = each.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toPandas()
     n, t = np.zeros(BUCKETS), np.zeros(BUCKETS)
     n[counts["bucket"]], t[counts["bucket"]] = counts["n"], counts["t"]
     if not t.any():

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import ENDINGS, SETTLED, byte_encoder
-from .shared import stored, table, text_key
+from .shared import stored, table
 
 HEAD = 200_000
 LIMIT = 1024
@@ -56,7 +56,7 @@ def pretoken_rows(docs: DataFrame) -> DataFrame:
     many = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(JAVA_PATTERN), F.lit(0))))
     known = docs.select(
         "doc_id",
-        text_key(F.col("text")).alias("key"),
+        F.xxhash64("text").alias("key"),
         F.octet_length(text).cast("bigint").alias("n_bytes"),
         (F.size(parts) - 1).cast("bigint").alias("specials"),
         F.when(unsettled, F.lit(None)).when(F.instr(text, SPECIAL) > 0, many).otherwise(one).alias("settled"),

@@ -52,6 +52,14 @@ def small(df: DataFrame, width: Column | None = None, rows: int = BROADCAST_ROWS
     return F.broadcast(df) if n <= rows and wide <= BROADCAST_BYTES else df
 
 
+def where_found(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose computed column ``flag`` is true. The row number, which nothing may be
+    pushed below, keeps the filter above the computation: pushed into it, the filter would work
+    out the words anew for every mention of them."""
+    numbered = df.withColumn("row_", F.monotonically_increasing_id())
+    return numbered.filter(F.col(flag) & (F.col("row_") >= 0)).drop("row_")
+
+
 def constant_array(values: list[int]) -> Column:
     """An array of whole numbers as one constant of the plan. Its length must have a bound that
     does not depend on the corpus."""
