@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .shared import BLANKS, constant_array, small, stored, table, words
 
 BUCKETS = 1 << 17
-SMOOTHING = 1.0
+# Occurrences added to every bucket of both multinomials.
+SMOOTHING = 5.0
 # Mean score, in thousandths of a nat, that a document must reach.
-THRESHOLD = -320
+THRESHOLD = -160
 WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -102,9 +103,9 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     n[counts["bucket"]], t[counts["bucket"]] = counts["n"], counts["t"]
     if not t.any():
         return [0] * BUCKETS
-    trusted_share = (t + SMOOTHING) / (t.sum() + SMOOTHING * BUCKETS)
-    raw_share = (n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)
-    return np.rint(1000 * np.log(trusted_share / raw_share)).astype(int).tolist()
+    # Both at the trusted corpus' size, so that a rare n-gram says little either way.
+    expected = n * (t.sum() / n.sum())
+    return np.rint(1000 * np.log((t + SMOOTHING) / (expected + SMOOTHING))).astype(int).tolist()
 
 
 def judged(
