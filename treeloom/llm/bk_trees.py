@@ -79,6 +79,12 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 # BK-trees of many shards at once ---------------------------------------------------------
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits. Counted on unsigned numbers: of a negative one numpy counts the bits of
+    its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+
+
 def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One BK-tree for each shard (``shard`` is sorted): the edges (parent, distance, child),
     ordered by parent and distance. A shard's first member is its root.
@@ -93,7 +99,7 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     parents, steps, children = [], [], []
     while waiting.size:
         node = stands[waiting]
-        step = np.bitwise_count(fp[waiting] ^ fp[node]).astype(np.int64)
+        step = apart(fp[waiting], fp[node])
         order = np.lexsort((waiting, step, node))
         node, step, waiting = node[order], step[order], waiting[order]
         new = np.r_[True, (node[1:] != node[:-1]) | (step[1:] != step[:-1])]
@@ -123,7 +129,7 @@ def linked(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
         node = root[who]
         pairs = []
         while who.size:
-            distance = np.bitwise_count(fp[who] ^ fp[node]).astype(np.int64)
+            distance = apart(fp[who], fp[node])
             near = (distance <= radius) & (node < who)
             pairs.append(np.stack([who[near], node[near]]))
             low = np.searchsorted(edge, node * (BITS + 1) + np.maximum(distance - radius, 0))

@@ -50,6 +50,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+# What can hold an article; the others hold one block of text.
+HOLDS = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 pre li dd dt blockquote figcaption caption legend summary hr option".split())
 ENDS_P = BLOCK - frozenset("tbody td tfoot th thead tr option optgroup caption legend body html".split())
 SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 NEVER = frozenset(
@@ -162,7 +164,7 @@ class _Page:
         if self.fresh and not text.strip():
             return
         if self.fresh:
-            self.blocks.append({"runs": [], "inside": bool(self.open and self.open[-1][3]), "within": [s for _, s, *_ in self.open]})
+            self.blocks.append({"runs": [], "inside": bool(self.open and self.open[-1][3]), "within": [s for t, s, *_ in self.open if t in HOLDS]})
             self.fresh = False
         path = "/".join(t for t, *_ in self.open)
         self.blocks[-1]["runs"].append((path, text, any(t == "a" for t, *_ in self.open)))
