@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from treeloom.fixed_values import OUTLINE_CLASS_BY_KIND
+from treeloom.functions import json_scan
 from treeloom.operators import dump_trees, json_trees, line_trees, markup_trees, renest, tree_stats
 
 KEYS = ["repo", "file_path"]
@@ -158,6 +160,52 @@ def test_deep_tree_beyond_the_first_rounds(spark):
     assert (walked.nodes, walked.max_depth) == (301, 301)
 
 
+@pytest.mark.parametrize("depth", [520, 1500, 5000])
+def test_any_depth(spark, depth):
+    text = '{"type":"n","children":[' * depth + '{"type":"x","text":"t"}' + "]}" * depth
+    trees = json_trees.parse_or_raw(files(spark, text))
+    assert trees.first().status == "ok"
+    row = tree_stats.tree_stats(json_trees.json_nodes(trees), KEYS).first()
+    assert (row.nodes, row.max_depth, row.leaves) == (depth + 1, depth + 1, 1)
+    walked = json_trees.object_tree_stats(trees).first()
+    assert (walked.nodes, walked.max_depth) == (depth + 1, depth + 1)
+
+
+def test_long_text(spark):
+    """One text beyond twenty million characters."""
+    text = '{"type":"n","children":[' + ",".join(['{"type":"x","text":"' + "t" * 200 + '"}'] * 100_000) + "]}"
+    trees = json_trees.parse_or_raw(files(spark, text))
+    assert tree_stats.tree_stats(json_trees.json_nodes(trees), KEYS).first().nodes == 100_001
+
+
+JSON_TEXT = st.text('{}[]:,"\\01-.eE+ntruefalsk \n', max_size=12) | JSON_VALUES.map(json.dumps)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(JSON_TEXT)
+def test_what_is_json(text):
+    def refuse(_):
+        raise ValueError
+
+    try:
+        json.loads(text, parse_constant=refuse)
+        valid = True
+    except ValueError:
+        valid = False
+    assert json_scan.root_of(text)[0] == valid
+
+
+def test_name_that_is_not_a_leaf(spark):
+    tree = {"type": "class_declaration", "children": [
+        {"type": "path", "fieldName": "name", "children": [leaf("identifier", "a"), leaf("dot", "."), leaf("identifier", "b")]}]}
+    assert [r["name"] for r in json_trees.outline(parsed(spark, tree), OUTLINE_CLASS_BY_KIND).collect()] == ["a.b"]
+
+
+def test_roots_that_are_no_trees(spark):
+    read = json_trees.parse_or_raw(files(spark, "5", "[1]", '{"error":"x"}'))
+    assert [r.status for r in read.orderBy("file_path").collect()] == ["no_tree", "no_tree", "error"]
+
+
 def stack_of_tags(tags):
     """Depth and parent of each element by a plain stack."""
     stack, out = [], []

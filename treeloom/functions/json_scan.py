@@ -1,0 +1,323 @@
+"""One linear scan of a JSON text, of any length and depth.
+
+Texts are read token by token with a stack of open containers, so work grows with the length of
+the text alone and no level is ever lost. Whole Arrow batches are scanned at a time.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from json.decoder import scanstring
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+TOKEN = re.compile(
+    r'[ \t\n\r]*+(?:([{}\[\],:])|(")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![0-9A-Za-z_.+-]))'
+)
+
+
+def events(text: str) -> Iterator[tuple[str, str | None, str | None]]:
+    """(what, key, value) for each value and each end: what is one of ``{ [ } ] s v``, a string
+    or another scalar, the latter as written. Raises ValueError if the text is not JSON."""
+    at, stack, key, want = 0, [], None, "value"
+    while True:
+        found = TOKEN.match(text, at)
+        if found is None:
+            if want == "end" and not text[at:].strip(" \t\n\r"):
+                return
+            raise ValueError(at)
+        at = found.end()
+        mark = found[1]
+        if mark is None:
+            if want not in ("value", "first", "key", "first key"):
+                raise ValueError(at)
+            if found[2]:
+                said, at = scanstring(text, at, True)
+                if want in ("key", "first key"):
+                    key, want = said, "colon"
+                    continue
+                yield "s", key, said
+            elif want in ("key", "first key"):
+                raise ValueError(at)
+            else:
+                yield "v", key, found[3]
+        elif mark in "{[":
+            if want not in ("value", "first"):
+                raise ValueError(at)
+            yield mark, key, None
+            stack.append(mark)
+            key, want = None, "first key" if mark == "{" else "first"
+            continue
+        elif mark == ":":
+            if want != "colon":
+                raise ValueError(at)
+            want = "value"
+            continue
+        elif mark == ",":
+            if want != "after":
+                raise ValueError(at)
+            want = "key" if stack[-1] == "{" else "value"
+            key = None
+            continue
+        else:
+            opened = "{" if mark == "}" else "["
+            if not stack or stack[-1] != opened or want not in ("after", "first key" if mark == "}" else "first"):
+                raise ValueError(at)
+            stack.pop()
+            yield mark, None, None
+        key, want = None, "after" if stack else "end"
+
+
+class Node:
+    __slots__ = ("parent", "depth", "own", "spans", "kids")
+
+    def __init__(self, parent: int, depth: int):
+        self.parent, self.depth, self.own, self.spans, self.kids = parent, depth, {}, {}, []
+
+    @property
+    def kind(self) -> str | None:
+        return self.own.get("type", self.own.get("kind"))
+
+
+_OWN = frozenset(("type", "kind", "text", "fieldName", "isNamed"))
+
+
+def tree_nodes(text: str) -> list[Node]:
+    """The nodes of a tree in preorder: the root object, and the objects in a node's children."""
+    nodes: list[Node] = []
+    # Open containers: what each means, and its node. N node, C children, R range, S and E its
+    # ends, X anything else.
+    stack: list[tuple[str, int]] = []
+    for what, key, value in events(text):
+        mean, me = stack[-1] if stack else ("C", -1)
+        if what in "}]":
+            stack.pop()
+        elif what == "{":
+            if mean == "C":
+                nodes.append(Node(me, nodes[me].depth + 1 if me >= 0 else 1))
+                if me >= 0:
+                    nodes[me].kids.append(len(nodes) - 1)
+                stack.append(("N", len(nodes) - 1))
+            elif mean == "N" and key == "range":
+                stack.append(("R", me))
+            elif mean == "R" and key in ("start", "end"):
+                stack.append((key[0].upper(), me))
+            else:
+                stack.append(("X", me))
+        elif what == "[":
+            stack.append(("C" if mean == "N" and key == "children" else "X", me))
+        elif mean == "N" and key in _OWN and value != "null":
+            nodes[me].own[key] = value
+        elif mean == "R" and key in ("start", "end"):
+            nodes[me].spans[key[0].upper()] = value
+        elif mean in "SE" and key in ("line", "col"):
+            nodes[me].spans[mean + key] = value
+        elif not stack:
+            return nodes
+    return nodes
+
+
+def only_named(nodes: list[Node]) -> list[Node]:
+    """The nodes without unnamed ones and all below them, renumbered."""
+    place, kept = {-1: -1}, []
+    for i, node in enumerate(nodes):
+        if node.parent in place and (node.parent < 0 or node.own.get("isNamed") != "false"):
+            place[i] = len(kept)
+            kept.append(node)
+    for node in kept:
+        node.parent = place[node.parent]
+        node.kids = [place[k] for k in node.kids if k in place]
+    return kept
+
+
+def _whole(value: str | None) -> int | None:
+    try:
+        return None if value is None else int(float(value))
+    except (ValueError, OverflowError):
+        return None
+
+
+NODE_STRUCT = T.StructType(
+    [
+        *[T.StructField(n, T.IntegerType()) for n in ("node_id", "parent_id", "depth", "ordinal", "closes")],
+        *[T.StructField(n, T.StringType()) for n in ("kind", "parent_kind")],
+        T.StructField("is_named", T.BooleanType()),
+        *[T.StructField(n, T.StringType()) for n in ("field_name", "text")],
+        *[T.StructField(n, T.LongType()) for n in ("start_line", "start_col", "end_line", "end_col", "start_off", "end_off")],
+        T.StructField("is_leaf", T.BooleanType()),
+    ]
+)
+_SPANS = ("Sline", "Scol", "Eline", "Ecol", "S", "E")
+_TRUTH = {"true": True, "false": False}
+_PLAIN = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _node_rows(nodes: list[Node]) -> Iterator[tuple]:
+    ordinal = {k: i for node in nodes for i, k in enumerate(node.kids)}
+    for i, node in enumerate(nodes):
+        up = nodes[node.parent] if node.parent >= 0 else None
+        leaf = not node.kids
+        after = nodes[i + 1].depth if i + 1 < len(nodes) else 1
+        own = node.own
+        yield (
+            i + 1, node.parent + 1 if up else None, node.depth, ordinal.get(i, 0), node.depth - after if leaf else 0,
+            node.kind, up.kind if up else None, _TRUTH.get(own.get("isNamed")), own.get("fieldName"),
+            own.get("text") if leaf else None, *[_whole(node.spans.get(s)) for s in _SPANS], leaf,
+        )
+
+
+def _listed(rows: list[list[tuple] | None], struct: T.StructType) -> pa.Array:
+    """Lists of structs from tuples, a column at a time."""
+    offsets, total = [0], 0
+    for r in rows:
+        total += len(r or ())
+        offsets.append(total)
+    columns = list(zip(*[t for r in rows if r for t in r])) or [()] * len(struct)
+    fields = [pa.array(c, _PLAIN[f.dataType.simpleString()]) for c, f in zip(columns, struct)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=struct.names))
+
+
+def _nodes_of(texts: pa.Array, keep=lambda nodes: nodes) -> list[list[Node]]:
+    out = []
+    for text in texts.to_pylist():
+        try:
+            out.append(keep(tree_nodes(text)) if text else [])
+        except ValueError:
+            out.append([])
+    return out
+
+
+@F.arrow_udf(T.ArrayType(NODE_STRUCT))
+def all_nodes(texts: pa.Array) -> pa.Array:
+    return _listed([list(_node_rows(n)) for n in _nodes_of(texts)], NODE_STRUCT)
+
+
+@F.arrow_udf(T.ArrayType(NODE_STRUCT))
+def named_nodes(texts: pa.Array) -> pa.Array:
+    return _listed([list(_node_rows(n)) for n in _nodes_of(texts, only_named)], NODE_STRUCT)
+
+
+OUTLINE_STRUCT = T.StructType(
+    [
+        *[T.StructField(n, T.IntegerType()) for n in ("node_id", "outline_parent_id")],
+        *[T.StructField(n, T.StringType()) for n in ("kind", "name")],
+        *[T.StructField(n, T.LongType()) for n in ("start_line", "start_col", "end_line", "end_col")],
+    ]
+)
+
+
+def spelled(nodes: list[Node], at: int) -> str | None:
+    """A node's own text, or that of the leaves below it, in order."""
+    if not nodes[at].kids:
+        return nodes[at].own.get("text")
+    texts, below = [], [at]
+    while below:
+        i = below.pop()
+        if nodes[i].kids:
+            below.extend(reversed(nodes[i].kids))
+        else:
+            texts.append(nodes[i].own.get("text") or "")
+    return "".join(texts)
+
+
+def outline_udf(declared: list[str], name_field: str, identifiers: list[str], no_name: str):
+    """Declarations with their nearest declared ancestor and their names."""
+    kinds, named = frozenset(declared), frozenset(identifiers)
+
+    def rows(nodes: list[Node]) -> Iterator[tuple]:
+        nearest = [-1] * len(nodes)
+        for i, node in enumerate(nodes):
+            if node.parent >= 0:
+                nearest[i] = node.parent if nodes[node.parent].kind in kinds else nearest[node.parent]
+            if node.kind not in kinds:
+                continue
+            by_field = [k for k in node.kids if nodes[k].own.get("fieldName") == name_field]
+            by_kind = [k for k in node.kids if nodes[k].kind in named]
+            name = spelled(nodes, (by_field or by_kind)[0]) if by_field or by_kind else no_name
+            spans = [_whole(node.spans.get(s)) for s in _SPANS[:4]]
+            yield i + 1, nearest[i] + 1 if nearest[i] >= 0 else None, node.kind, name, *spans
+
+    @F.arrow_udf(T.ArrayType(OUTLINE_STRUCT))
+    def outlined(texts: pa.Array) -> pa.Array:
+        return _listed([list(rows(n)) for n in _nodes_of(texts)], OUTLINE_STRUCT)
+
+    return outlined
+
+
+STATUS = T.StructType(
+    [
+        T.StructField("valid", T.BooleanType()),
+        T.StructField("message", T.BooleanType()),  # the root carries an error
+        T.StructField("kind", T.BooleanType()),  # the root has a kind
+        T.StructField("object", T.BooleanType()),  # the root is an object
+    ]
+)
+
+
+def root_of(text: str | None) -> tuple[bool, bool, bool, bool]:
+    depth, seen, is_object = 0, set(), False
+    try:
+        for what, key, value in events(text or ""):
+            if depth == 0:
+                is_object = what == "{"
+            elif depth == 1 and key is not None and what in "sv" and value != "null":
+                seen.add(key)
+            depth += (what in "{[") - (what in "}]")
+    except ValueError:
+        return False, False, False, False
+    return True, is_object and "error" in seen, is_object and bool(seen & {"type", "kind"}), is_object
+
+
+@F.arrow_udf(STATUS)
+def root_status(texts: pa.Array) -> pa.Array:
+    columns = zip(*[root_of(t) for t in texts.to_pylist()])
+    fields = [pa.array(c, pa.bool_()) for c in columns] or [pa.array([], pa.bool_())] * 4
+    return pa.StructArray.from_arrays(fields, names=STATUS.names)
+
+
+def object_sizes(text: str) -> tuple[int, int]:
+    """Nodes and depth of the plain-object walk: objects and arrays are nodes; an object with an
+    array of ``children`` is followed there alone, else below every key but ``parent``; an array
+    below a key, or in an array that is a node, stands for its items."""
+    # Open containers: what (object, array, or an array that stands for its items), the key it
+    # lies under, and nodes and depth below: elsewhere, and in an array of children.
+    stack: list[list] = []
+    total = (0, 0)
+    for what, key, _ in events(text):
+        if what in "{[":
+            above = stack[-1][0] if stack else "root"
+            stands = what == "[" and above in ("{", "[")
+            stack.append(["stands" if stands else what, key, 0, 0, None])
+        elif what in "}]":
+            sort, under, n, depth, children = stack.pop()
+            if sort == "{" and children is not None:
+                n, depth = children
+            if sort != "stands":
+                n, depth = n + 1, depth + 1
+            if not stack:
+                total = n, depth
+            elif stack[-1][0] == "{" and under == "children" and sort == "stands":
+                stack[-1][4] = n, depth
+            elif stack[-1][0] != "{" or under != "parent":
+                stack[-1][2] += n
+                stack[-1][3] = max(stack[-1][3], depth)
+    return total
+
+
+SIZES = T.StructType([T.StructField("nodes", T.LongType()), T.StructField("max_depth", T.IntegerType())])
+
+
+@F.arrow_udf(SIZES)
+def object_sizes_of(texts: pa.Array) -> pa.Array:
+    def sizes(text: str | None) -> tuple[int, int]:
+        try:
+            return object_sizes(text) if text else (0, 0)
+        except ValueError:
+            return 0, 0
+
+    found = [sizes(t) for t in texts.to_pylist()]
+    fields = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32())]
+    return pa.StructArray.from_arrays(fields, names=SIZES.names)

@@ -1,154 +1,41 @@
 """Tree-shaped JSON to a node table, and plain-object statistics of any JSON.
 
-Both walk a tree breadth first inside its own row: the frontier is an array, one step
-replaces it by its children, and steps stop doing work once it is empty. A file's tree is
-never joined to itself, nothing is shuffled, and depth costs no extra Spark jobs.
+A dump is scanned once, inside its own row, whatever its length and depth
+(``functions/json_scan``): nothing is shuffled and a tree is never joined to itself. ``tree``
+columns hold the JSON text; one that is null or not JSON has no nodes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import ERROR_KIND, IDENTIFIER_KINDS, LINE_SHIFT, NAME_FIELD, NO_NAME
+from ..functions import json_scan
 from ..functions.text import trimmed
-from .node_table import as_nodes, let
+from .node_table import as_nodes
 
 KEYS = ("repo", "file_path")
-# Strings beyond this length are not read by Spark's JSON reader.
-LARGE_TEXT = 20_000_000
 
 
 def parse_or_raw(files: DataFrame, text: str = "content") -> DataFrame:
     """Read tree dumps: ``tree`` where the text is JSON, else the trimmed text as ``raw_dump``.
 
-    A dump whose root only carries an error message is reported by ``status``, and so is one
-    that looks like JSON but is beyond what Spark can hold as one value.
+    ``status`` is ``ok``; ``raw`` for text that is not JSON; ``error`` for a dump whose root
+    only carries an error message; ``no_tree`` for JSON that is not an object.
     """
-    tree = F.try_parse_json(text)
-    parsed = files.withColumn("tree", tree)
-    message = F.try_variant_get("tree", "$.error", "string")
-    rootless = F.coalesce(F.try_variant_get("tree", "$.type", "string"), F.try_variant_get("tree", "$.kind", "string")).isNull()
-    return parsed.withColumn("raw_dump", F.when(F.col("tree").isNull(), trimmed(F.col(text)))).withColumn(
-        "status",
-        F.when(F.col("tree").isNull() & (F.octet_length(text) > LARGE_TEXT) & F.rlike(text, F.lit(r"^\s*[{\[]")), "too_large")
-        .when(F.col("tree").isNull(), "raw")
-        .when(message.isNotNull() & rootless, "error").otherwise("ok"),
-    )
-
-
-def _array(value: Column, path: str = "$") -> Column:
-    return F.try_variant_get(value, path, "array<variant>")
-
-
-def _is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "struct<>").isNotNull()
-
-
-# A walk takes as many steps as its tree has levels, which is not known beforehand. Steps come
-# in rounds of growing length and a round is empty once nothing is left to visit. Every step
-# and every round copies what was visited, so the first rounds are short and rounds are few.
-_ROUNDS = [6, 10, 16, 32, 64, 512, 8192, 2**20]
-
-
-def _until_done(start: Column, step) -> Column:
-    """Apply ``step`` to a state until its ``front`` is empty."""
-
-    def round_(state: Column, size: Column) -> Column:
-        steps = F.when(F.size(state["front"]) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), size))
-        return F.aggregate(steps, state, lambda s, _: F.when(F.size(s["front"]) == 0, s).otherwise(step(s)))
-
-    return F.aggregate(F.array(*[F.lit(r) for r in _ROUNDS]), start, round_)
-
-
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$.type", "string"), F.try_variant_get(value, "$.kind", "string"))
-
-
-def _breadth_first(tree: Column, named_only: bool, anchors: list[str]) -> Column:
-    """Every node as (path, up, anchor, kind, value); ``up`` and ``anchor`` are places in the
-    result."""
-
-    def node(path, up, anchor, value):
-        return F.struct(
-            path.alias("path"), up.alias("up"), anchor.alias("anchor"), _kind(value).alias("kind"), value.alias("value")
-        )
-
-    marked = F.array(*[F.lit(k) for k in anchors]) if anchors else None
-
-    def children(parent: Column, at: Column) -> Column:
-        kids = F.filter(
-            F.coalesce(_array(parent["value"], "$.children"), F.array().cast("array<variant>")),
-            _is_object,
-        )
-        if named_only:
-            kids = F.filter(kids, lambda c: F.coalesce(F.try_variant_get(c, "$.isNamed", "boolean"), F.lit(True)))
-        anchor = parent["anchor"]
-        if marked is not None:
-            anchor = F.when(F.array_contains(marked, parent["kind"]), at).otherwise(anchor)
-        return F.transform(kids, lambda c, i: node(F.concat(parent["path"], F.array(i)), at, anchor, c))
-
-    def step(state: Column) -> Column:
-        width = F.size(state["seen"])
-        return F.struct(
-            F.concat(state["seen"], state["front"]).alias("seen"),
-            F.flatten(F.transform(state["front"], lambda n, i: children(n, width + i))).alias("front"),
-        )
-
-    root = F.array(node(F.array().cast("array<int>"), F.lit(None).cast("int"), F.lit(None).cast("int"), tree))
-    nothing = F.filter(root, lambda n: F.lit(False))
-    start = F.struct(nothing.alias("seen"), root.alias("front"))
-    return _until_done(start, step)["seen"]
-
-
-def _in_preorder(seen: Column, read) -> Column:
-    """Breadth-first nodes numbered in preorder, parents and anchors renumbered alike.
-
-    ``read`` takes what is wanted from a node here, so that the rows made from it do
-    not each carry a copy of their whole subtree.
-    """
-
-    def numbered(seen: Column) -> Column:
-        by_path = F.array_sort(F.transform(seen, lambda n, b: F.struct(n["path"].alias("path"), b.alias("b"))))
-        return let(by_path, lambda sorted_: let(_ranks(sorted_), lambda rank: _rows(seen, sorted_, rank)))
-
-    def _ranks(sorted_: Column) -> Column:
-        back = F.array_sort(F.transform(sorted_, lambda s, i: F.struct(s["b"].alias("b"), (i + 1).alias("i"))))
-        return F.transform(back, lambda s: s["i"])
-
-    def _rows(seen: Column, sorted_: Column, rank: Column) -> Column:
-        def row(s: Column, i: Column) -> Column:
-            n = F.get(seen, s["b"])
-            depth = F.size(s["path"]) + 1
-            following = F.get(sorted_, i + 1)
-            after = F.when(following.isNull(), 1).otherwise(F.size(following["path"]) + 1)
-            return F.struct(
-                (i + 1).alias("node_id"),
-                F.get(rank, n["up"]).alias("parent_id"),
-                F.get(rank, n["anchor"]).alias("anchor_id"),
-                depth.alias("depth"),
-                F.coalesce(F.get(s["path"], F.size(s["path"]) - 1), F.lit(0)).alias("ordinal"),
-                (after <= depth).alias("is_leaf"),
-                F.when(after <= depth, depth - after).otherwise(0).alias("closes"),
-                n["kind"].alias("kind"),
-                F.get(seen, n["up"])["kind"].alias("parent_kind"),
-                read(n).alias("own"),
-            )
-
-        return F.transform(sorted_, row)
-
-    return let(seen, numbered)
-
-
-def _walked(trees: DataFrame, tree: str, keys: tuple[str, ...], read, named_only=False, anchors=()) -> DataFrame:
-    # Not a filter: pushed below the projection that parses, it would parse every text twice.
-    seen = F.when(F.col(tree).isNotNull(), _breadth_first(F.col(tree), named_only, list(anchors)))
-    return trees.select(*keys, F.explode(_in_preorder(seen, read)).alias("_n")).select(*keys, "_n.*")
-
-
-# Numbers are read as bigint, the type they are stored in: any other would be cast one by one.
-_NODE_DDL = "struct<isNamed: boolean, fieldName: string, text: string, range: struct<{}>>"
-_POINT_DDL = "struct<line: bigint, col: bigint>"
+    read = files.withColumn("_root", json_scan.root_status(F.col(text)))
+    valid = F.col("_root.valid")
+    return read.select(
+        "*",
+        F.when(valid, F.col(text)).alias("tree"),
+        F.when(~valid, trimmed(F.col(text))).alias("raw_dump"),
+        F.when(~valid, "raw")
+        .when(~F.col("_root.object"), "no_tree")
+        .when(F.col("_root.message") & ~F.col("_root.kind"), "error")
+        .otherwise("ok")
+        .alias("status"),
+    ).drop("_root")
 
 
 def json_nodes(
@@ -159,42 +46,17 @@ def json_nodes(
     named_only: bool = False,
 ) -> DataFrame:
     """Flatten JSON syntax trees of any dialect; ``named_only`` skips an unnamed node whole."""
-    by_offset = dialect == "offsets"
-    point = "bigint" if by_offset else _POINT_DDL
-    ddl = _NODE_DDL.format(f"start: {point}, end: {point}")
-    rows = _walked(trees, tree, keys, lambda n: F.try_variant_get(n["value"], "$", ddl), named_only)
-    own = F.col("own")
-    kind = F.col("kind")
-    start, end = own["range"]["start"], own["range"]["end"]
-    shift = LINE_SHIFT[dialect]
-    spans = (
-        {"start_off": start, "end_off": end}
-        if by_offset
-        else {
-            "start_line": start["line"] + shift,
-            "start_col": start["col"],
-            "end_line": end["line"] + shift,
-            "end_col": end["col"],
-        }
-    )
-    return as_nodes(
-        rows,
-        list(keys),
-        dialect,
-        node_id=F.col("node_id"),
-        parent_id=F.col("parent_id"),
-        depth=F.col("depth"),
-        ordinal=F.col("ordinal"),
-        closes=F.col("closes"),
-        kind=kind,
-        parent_kind=F.col("parent_kind"),
-        is_named=own["isNamed"],
-        field_name=own["fieldName"],
-        text=F.when(F.col("is_leaf"), own["text"]),
-        is_leaf=F.col("is_leaf"),
-        is_error=kind == ERROR_KIND,
-        **spans,
-    )
+    scan = json_scan.named_nodes if named_only else json_scan.all_nodes
+    rows = trees.select(*keys, scan(F.col(tree)).alias("_nodes")).select(*keys, F.explode("_nodes").alias("_n")).select(*keys, "_n.*")
+    given = {f.name: F.col(f.name) for f in json_scan.NODE_STRUCT}
+    lines = ("start_line", "start_col", "end_line", "end_col")
+    absent = lines if dialect == "offsets" else ("start_off", "end_off")
+    for name in absent:
+        del given[name]
+    for name in ("start_line", "end_line"):
+        if name in given:
+            given[name] = given[name] + LINE_SHIFT[dialect]
+    return as_nodes(rows, list(keys), dialect, is_error=F.col("kind") == ERROR_KIND, **given)
 
 
 def outline(
@@ -205,87 +67,25 @@ def outline(
     line_shift: int = 0,
     identifier_kinds: list[str] = IDENTIFIER_KINDS,
 ) -> DataFrame:
-    """Declarations only, each under its nearest declared ancestor.
-
-    The ancestor is carried down the walk and a node's name is read from its own children,
-    so the outline needs neither a join nor a shuffle.
-    """
+    """Declarations only, each under its nearest declared ancestor, named by its own children;
+    a name that is not a leaf is spelled by its leaves. No join and no shuffle."""
+    scan = json_scan.outline_udf(list(class_by_kind), NAME_FIELD, identifier_kinds, NO_NAME)
     classes = F.create_map(*[F.lit(x) for pair in class_by_kind.items() for x in pair])
-    ddl = f"struct<start: {_POINT_DDL}, end: {_POINT_DDL}>"
-
-    def read(node: Column) -> Column:
-        value, kind = node["value"], node["kind"]
-
-        def first_text(wanted) -> Column:
-            kids = F.coalesce(_array(value, "$.children"), F.array().cast("array<variant>"))
-            return F.transform(F.filter(kids, wanted), lambda c: F.try_variant_get(c, "$.text", "string"))
-
-        declared = F.struct(
-            classes[kind].alias("class"),
-            first_text(lambda c: F.try_variant_get(c, "$.fieldName", "string") == NAME_FIELD).alias("named"),
-            first_text(lambda c: _kind(c).isin(identifier_kinds)).alias("identifiers"),
-            F.try_variant_get(value, "$.range", ddl).alias("range"),
-        )
-        return F.when(kind.isin(list(class_by_kind)), declared)
-
-    rows = _walked(trees, tree, keys, read, anchors=tuple(class_by_kind)).filter(F.col("own").isNotNull())
-    own = F.col("own")
-    name = (
-        F.when(F.size(own["named"]) > 0, F.get(own["named"], F.lit(0)))
-        .when(F.size(own["identifiers"]) > 0, F.get(own["identifiers"], F.lit(0)))
-        .otherwise(NO_NAME)
-    )
-    start, end = own["range"]["start"], own["range"]["end"]
+    rows = trees.select(*keys, scan(F.col(tree)).alias("_found")).select(*keys, F.explode("_found").alias("_n")).select(*keys, "_n.*")
     return rows.select(
         *keys,
         "node_id",
-        F.col("anchor_id").alias("outline_parent_id"),
-        own["class"].alias("class"),
-        name.alias("name"),
-        (start["line"] + line_shift).cast("int").alias("start_line"),
-        start["col"].cast("int").alias("start_col"),
-        (end["line"] + line_shift).cast("int").alias("end_line"),
-        end["col"].cast("int").alias("end_col"),
-    )
-
-
-def _is_container(value: Column) -> Column:
-    return _is_object(value) | _array(value).isNotNull()
-
-
-def _below(node: Column) -> Column:
-    """Nodes one level below in the plain-object walk: the objects and arrays of ``children``
-    if that is an array, else every object below a key other than ``parent``, where an array
-    below a key stands for its items."""
-    fields = F.try_variant_get(node, "$", "map<string,variant>")
-    values = F.coalesce(F.map_values(F.map_filter(fields, lambda k, _: k != "parent")), _array(node))
-    nothing = F.array().cast("array<variant>")
-
-    def standing(v: Column) -> Column:
-        within = F.filter(F.coalesce(_array(v), nothing), _is_container)
-        return F.when(_is_object(v), F.array(v)).otherwise(within)
-
-    return F.coalesce(
-        F.filter(_array(node, "$.children"), _is_container), F.flatten(F.transform(values, standing))
+        "outline_parent_id",
+        classes[F.col("kind")].alias("class"),
+        "name",
+        (F.col("start_line") + line_shift).cast("int").alias("start_line"),
+        F.col("start_col").cast("int").alias("start_col"),
+        (F.col("end_line") + line_shift).cast("int").alias("end_line"),
+        F.col("end_col").cast("int").alias("end_col"),
     )
 
 
 def object_tree_stats(trees: DataFrame, tree: str = "tree", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Node count and depth of any JSON value, counting its objects and arrays as nodes."""
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("nodes"),
-        F.lit(0).alias("depth"),
-        F.filter(F.array(F.col(tree)), _is_container).alias("front"),
-    )
-
-    def step(state: Column) -> Column:
-        return F.struct(
-            (state["nodes"] + F.size(state["front"])).alias("nodes"),
-            (state["depth"] + 1).alias("depth"),
-            F.flatten(F.transform(state["front"], _below)).alias("front"),
-        )
-
-    walked = _until_done(start, step)
-    return trees.select(*keys, let(walked, lambda s: F.struct(s["nodes"], s["depth"])).alias("_s")).select(
-        *keys, F.col("_s.nodes").alias("nodes"), F.col("_s.depth").alias("max_depth")
-    )
+    sized = trees.select(*keys, json_scan.object_sizes_of(F.col(tree)).alias("_s"))
+    return sized.select(*keys, "_s.nodes", "_s.max_depth")

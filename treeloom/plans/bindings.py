@@ -138,7 +138,7 @@ def syntax_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         _text(F.col("conv_id")).alias("repo"),
         _text(F.col("turn")).alias("file_path"),
-        F.try_parse_json(syntax_json(F.col("text"))).alias("tree"),
+        syntax_json(F.col("text")).alias("tree"),
     )
 
 
@@ -154,7 +154,7 @@ def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderstatus").alias("repo"),
         _text(F.col("o_orderkey")).alias("file_path"),
-        F.try_parse_json(text).alias("tree"),
+        text.alias("tree"),
     )
 
 
@@ -173,7 +173,7 @@ def object_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(F.lit('{"c":'), length), F.lit("1"), F.repeat(F.lit("}"), length),
         F.lit(',"tree":{"kind":"t","children":[{"kind":"u","range":{"s":{"l":1}}},5,null,[{"z":1}]],"other":{"q":1}}}'),
     )
-    return item.select("l_orderkey", "l_linenumber", "l_partkey", F.try_parse_json(text).alias("tree"))
+    return item.select("l_orderkey", "l_linenumber", "l_partkey", text.alias("tree"))
 
 
 def event_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:

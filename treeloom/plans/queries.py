@@ -107,7 +107,7 @@ def deep_tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_or_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = json_trees.parse_or_raw(b.event_dumps(spark, sf_dir))
-    value = F.try_variant_get("tree", "$.k", "bigint")
+    value = F.get_json_object("tree", "$.k").cast("bigint")
     return read.select("repo", "file_path", value.alias("k"), "raw_dump", "status")
 
 
