@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import ENDINGS, SETTLED, byte_encoder
+from .pretokens import SETTLED, byte_encoder
 from .shared import stored, table
 
-HEAD = 200_000
+HEAD = 300_000
 LIMIT = 1024
 # Fixed value: the special token of the vocabulary.
 SPECIAL = "<|endoftext|>"
 # On settled texts the classes below are the library's.
-JAVA_PATTERN = rf"{ENDINGS}| ?\p{{L}}+| ?\p{{N}}+| ?[^ \t\n\r\p{{L}}\p{{N}}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
+JAVA_PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^ \t\n\r\p{{L}}\p{{N}}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -63,7 +63,8 @@ def pretoken_rows(docs: DataFrame) -> DataFrame:
         library_pretokens(F.when(unsettled, text)).alias("unsettled"),
     )
     tokens = F.concat(F.coalesce("settled", "unsettled"), F.array(F.lit(None).cast("string")))
-    return known.select("doc_id", "key", "n_bytes", "specials", F.explode(tokens).alias("token"))
+    # Never empty; an inner explode would be given a filter on its size, which cuts every text twice.
+    return known.select("doc_id", "key", "n_bytes", "specials", F.explode_outer(tokens).alias("token"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
