@@ -51,7 +51,7 @@ def differences(spark, db, sf_dir: str, name: str) -> str | None:
 if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(contract.queries())
-    spark, db = local_session("8"), connection(sf_dir)
+    spark, db = local_session(os.environ.get("BENCH_CPUS", "8")), connection(sf_dir)
     bad = 0
     for name in names:
         begin = time.time()

@@ -7,7 +7,7 @@ columns hold the JSON text; one that is null or not JSON has no nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import ERROR_KIND, IDENTIFIER_KINDS, LINE_SHIFT, NAME_FIELD, NO_NAME
@@ -38,6 +38,17 @@ def parse_or_raw(files: DataFrame, text: str = "content") -> DataFrame:
     ).drop("_root")
 
 
+def _scanned(scan, tree: str) -> Column:
+    # Two uses keep a text that is made by nested lambdas in a projection of its own: merged
+    # into the call, it would keep the planner from handing the call to Python.
+    return F.when(F.col(tree).isNotNull(), scan(F.col(tree)))
+
+
+def _exploded(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    # An inner explode would be given a filter on its size, which scans every text twice.
+    return found.select(*keys, F.explode_outer("_found").alias("_n")).select(*keys, "_n.*").filter(F.col("node_id").isNotNull())
+
+
 def json_nodes(
     trees: DataFrame,
     tree: str = "tree",
@@ -47,7 +58,7 @@ def json_nodes(
 ) -> DataFrame:
     """Flatten JSON syntax trees of any dialect; ``named_only`` skips an unnamed node whole."""
     scan = json_scan.named_nodes if named_only else json_scan.all_nodes
-    rows = trees.select(*keys, scan(F.col(tree)).alias("_nodes")).select(*keys, F.explode("_nodes").alias("_n")).select(*keys, "_n.*")
+    rows = _exploded(trees.select(*keys, _scanned(scan, tree).alias("_found")), keys)
     given = {f.name: F.col(f.name) for f in json_scan.NODE_STRUCT}
     lines = ("start_line", "start_col", "end_line", "end_col")
     absent = lines if dialect == "offsets" else ("start_off", "end_off")
@@ -71,7 +82,7 @@ def outline(
     a name that is not a leaf is spelled by its leaves. No join and no shuffle."""
     scan = json_scan.outline_udf(list(class_by_kind), NAME_FIELD, identifier_kinds, NO_NAME)
     classes = F.create_map(*[F.lit(x) for pair in class_by_kind.items() for x in pair])
-    rows = trees.select(*keys, scan(F.col(tree)).alias("_found")).select(*keys, F.explode("_found").alias("_n")).select(*keys, "_n.*")
+    rows = _exploded(trees.select(*keys, _scanned(scan, tree).alias("_found")), keys)
     return rows.select(
         *keys,
         "node_id",
@@ -87,5 +98,5 @@ def outline(
 
 def object_tree_stats(trees: DataFrame, tree: str = "tree", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Node count and depth of any JSON value, counting its objects and arrays as nodes."""
-    sized = trees.select(*keys, json_scan.object_sizes_of(F.col(tree)).alias("_s"))
-    return sized.select(*keys, "_s.nodes", "_s.max_depth")
+    sized = trees.select(*keys, _scanned(json_scan.object_sizes_of, tree).alias("_s"))
+    return sized.select(*keys, *[F.coalesce(F.col(f"_s.{c}"), F.lit(0)).alias(c) for c in ("nodes", "max_depth")])
