@@ -2,6 +2,56 @@
 
 from __future__ import annotations
 
+from .phrase_index import WIDTH
+from .shared import LOWER, UPPER
+from .warc_fixity import PAGES
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1 = f"""
+WITH made AS (
+  SELECT page_id, page_id // {PAGES} AS archive,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+    || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+), placed AS (
+  SELECT page_id, archive, encode(record) AS bytes, strlen(record) AS length,
+    coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM made
+), hit AS (SELECT *, page_id % 89 AS kind FROM placed WHERE page_id % 89 IN (11, 23, 37, 53))
+SELECT archive, CASE WHEN kind = 53 THEN "offset" + 17179869184 ELSE "offset" END AS "offset",
+  CASE kind WHEN 37 THEN 'missing' WHEN 53 THEN 'extra' ELSE 'changed' END AS status,
+  CASE WHEN kind <> 53 THEN length END AS left_length,
+  CASE kind WHEN 11 THEN length WHEN 23 THEN length // 2 WHEN 53 THEN length END AS right_length,
+  CASE WHEN kind <> 53 THEN sha256(bytes) END AS left_hash,
+  CASE kind WHEN 11 THEN sha256(bytes[1:length - 1] || encode('X')) WHEN 23 THEN sha256(bytes[1:length // 2]) WHEN 53 THEN sha256(bytes) END AS right_hash
+FROM hit
+"""
+
+OP9 = f"""
+WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT item_id, array_to_string(list_slice(w, i, i + {WIDTH} - 1), ' ') AS said, least(len(w), {WIDTH}) AS n
+  FROM item_words, unnest(generate_series(1, greatest(len(w) - {WIDTH} + 1, 1))) AS s(i) WHERE len(w) > 0
+),
+widths AS (SELECT DISTINCT n FROM windows),
+doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+starts AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS said
+  FROM doc_words, widths, unnest(generate_series(1, len(w) - n + 1)) AS s(i)
+),
+met AS (SELECT DISTINCT doc_id, i, starts.n, item_id FROM starts JOIN windows USING (said, n)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM met, unnest(generate_series(i, i + n - 1)) AS s(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_fixity": OP1, "op9_phrase_index": OP9}
