@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from treeloom.fixed_values import ENGINE_COLUMN
 from treeloom.functions.numbers import iso_millis
 from treeloom.operators import directories, files, ordering, renest, runs
 from treeloom.operators.dispatch import Dialects
@@ -88,9 +89,9 @@ def test_engines_accept_their_own_extensions(spark):
 
 
 def test_run_without_files_writes_no_line(spark):
-    empty = measured(spark).filter("false").withColumn("language", F.lit("x")).withColumn("parser", F.lit("generic"))
+    empty = measured(spark).filter("false").withColumn("language", F.lit("x")).withColumn(ENGINE_COLUMN, F.lit("generic"))
     empty = empty.selectExpr("*", "timestamp'2024-01-01' ts", "0L total_ns", "0L rss_bytes", "0L heap_bytes")
-    assert files.history_rows(files.run_records(empty, ["parser", "repo"])).count() == 0
+    assert files.history_rows(files.run_records(empty, [ENGINE_COLUMN, "repo"])).count() == 0
 
 
 def test_directories(spark):

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from treeloom.fixed_values import ENGINE_COLUMN, HISTORY_DDL
 from treeloom.operators import files, json_trees
 from treeloom.sinks import writers
 from treeloom.sources import archives, trees
@@ -76,10 +77,10 @@ def test_directory_walk(spark, tmp_path):
 
 def records(spark):
     df = spark.createDataFrame([("generic", 'a,"b', ".x", 3), ("generic", 'a,"b', "java", 4), ("native", "c", "java", 1)],
-                               "parser string, repo string, language string, loc bigint")
+                               f"{ENGINE_COLUMN} string, repo string, language string, loc bigint")
     measured = df.selectExpr("*", "loc * 2 nodes", "2 max_depth", "loc * 1000000L parse_ns", "timestamp'2024-01-01 00:00:00.1239' ts",
                              "9000000L total_ns", "1048576L rss_bytes", "524288L heap_bytes")
-    return files.run_records(measured, ["parser", "repo"])
+    return files.run_records(measured, [ENGINE_COLUMN, "repo"])
 
 
 def test_run_and_history_files(spark, tmp_path):
@@ -90,7 +91,7 @@ def test_run_and_history_files(spark, tmp_path):
         writers.write_history(made, history, batch_id=0)
     back = {r.repo: r for r in trees.read_runs(spark, runs).collect()}
     assert back['a,"b'].languages["java"].loc == 4 and back['a,"b'].loc == 7 and back["c"].timestamp == "2024-01-01T00:00:00.123Z"
-    (tmp_path / "history" / "old.csv").write_text("timestamp,parser,repo,language,files,loc,nodes,max_depth,parse_sec,total_sec,peak_rss_mb,peak_heap_mb\n\n"
+    (tmp_path / "history" / "old.csv").write_text(",".join(c.split()[0] for c in HISTORY_DDL.split(", ")) + "\n\n"
                                                     "2023-01-01T00:00:00.000Z,generic,z,java,1,1,1,1,0.1,0.2,1,1\n")
     lines = trees.read_history(spark, history).orderBy("timestamp", "repo", "language").collect()
     assert [(r.repo, r.language, r.parse_sec, r.total_sec) for r in lines] == [
@@ -124,3 +125,20 @@ def test_each_archive_is_ingested_once(spark, landing, tmp_path):
     make_zip(f"{landing}/two.zip", [("b.py", "x", zipfile.ZIP_STORED)])
     ingest.ingest_archives(spark, landing, out, state, summarise)
     assert seen() == [*first, ("two", "ok", 1)]
+
+
+def test_damaged_encrypted_and_vanished_entries(spark, tmp_path):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as archive:
+        archive.writestr("good.js", "fine")
+        archive.writestr("bad.js", "damaged")
+        archive.writestr("locked.js", "secret")
+    data = path.read_bytes().replace(b"damaged", b"dAmaged")
+    path.write_bytes(data)
+    entries = archives.archive_entries(archives.archive_files(spark, str(tmp_path)))
+    flagged = entries.withColumn("flags", F.when(F.col("entry_path") == "locked.js", 1).otherwise(F.col("flags")))
+    read = {r.entry_path: (r.content, r.error) for r in archives.entry_contents(flagged).collect()}
+    assert read["good.js"] == ("fine", None)
+    assert "damaged" in read["bad.js"][1] and "encrypted" in read["locked.js"][1]
+    gone = entries.withColumn("archive", F.concat("archive", F.lit(".gone")))
+    assert all(r.content is None and r.error for r in archives.entry_contents(gone).collect())

@@ -53,7 +53,7 @@ IDENTIFIER_KINDS = ["identifier", "type_identifier"]
 NAME_FIELD = "name"
 NO_NAME = "anonymous"
 
-# Kind of a node the parser could not make sense of.
+# Kind of a node that could not be read.
 ERROR_KIND = "ERROR"
 
 # Per dialect, how many extra nodes a leaf's range object adds (k) and how
@@ -78,14 +78,16 @@ VOID_ELEMENTS = [
 CONSTRUCTOR_LINE = r"[A-Z][a-zA-Z0-9]*\("
 KIND_SPELLING_LINE = r"^\s*(.+?): '(.*)'$"
 
-# Columns of the run history and of a run record.
+# Columns of the run history and of a run record; the first is the column both
+# name an engine by.
+ENGINE_COLUMN = "parser"
 HISTORY_DDL = (
-    "timestamp STRING, parser STRING, repo STRING, language STRING, files BIGINT, loc BIGINT, "
+    f"timestamp STRING, {ENGINE_COLUMN} STRING, repo STRING, language STRING, files BIGINT, loc BIGINT, "
     "nodes BIGINT, max_depth INT, parse_sec DOUBLE, total_sec DOUBLE, "
     "peak_rss_mb DOUBLE, peak_heap_mb DOUBLE"
 )
 RUN_DDL = (
-    "parser STRING, repo STRING, timestamp STRING, files BIGINT, loc BIGINT, totalNodes BIGINT, "
+    f"{ENGINE_COLUMN} STRING, repo STRING, timestamp STRING, files BIGINT, loc BIGINT, totalNodes BIGINT, "
     "maxDepth INT, parseTimeSec DOUBLE, totalTimeSec DOUBLE, peakRssMB DOUBLE, peakHeapMB DOUBLE, "
     "languages MAP<STRING, STRUCT<files: BIGINT, loc: BIGINT, nodes: BIGINT, maxDepth: INT, "
     "parseTimeSec: DOUBLE>>"

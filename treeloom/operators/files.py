@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import EXTENSIONS_BY_ENGINE, LANGUAGE_BY_EXTENSION
+from ..fixed_values import ENGINE_COLUMN, EXTENSIONS_BY_ENGINE, LANGUAGE_BY_EXTENSION
 from ..functions.numbers import iso_millis, megabytes, rounded, seconds
 from ..functions.paths import base_name, extension, is_pruned, parent_path
 from ..functions.text import line_count
 
 
+# Lookups of more pairs are joined without a broadcast hint.
+BROADCAST_PAIRS = 10_000
+
+
 def lookup(spark: SparkSession, pairs: list[tuple[str, str]], key: str, value: str) -> DataFrame:
-    """A lookup table from fixed pairs. Its size is known here, so it may be broadcast."""
-    if len(pairs) > 10_000:
-        raise ValueError("a lookup this large belongs in a table of its own")
+    """A lookup table from fixed pairs. Its size is known here, so a small one may be broadcast."""
     rows = F.array(*[F.struct(F.lit(k).alias(key), F.lit(v).alias(value)) for k, v in pairs])
-    return F.broadcast(spark.range(1).select(F.inline(rows)))
+    table = spark.range(1).select(F.inline(rows))
+    return F.broadcast(table) if len(pairs) <= BROADCAST_PAIRS else table
 
 
 def with_dimensions(files: DataFrame, path: str = "file_path") -> DataFrame:
@@ -161,7 +164,7 @@ def history_rows(runs: DataFrame) -> DataFrame:
     """History lines of run records: one per language; run-level values repeat on each."""
     return runs.select("*", F.explode("languages").alias("language", "_s")).select(
         "timestamp",
-        "parser",
+        ENGINE_COLUMN,
         "repo",
         "language",
         F.col("_s.files").alias("files"),

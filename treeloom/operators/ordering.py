@@ -61,8 +61,8 @@ def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     placed = running_total(counted, keys, [value], "_n", "_upto", "_size")
     v, n, upto = F.col(value), F.col("_n"), F.col("_upto")
     # The wide type keeps sums of squares exact.
-    wide = v.cast("decimal(13,0)")
-    times = n.cast("decimal(12,0)")
+    wide = v.cast("decimal(19,0)")
+    times = n.cast("decimal(19,0)")
 
     def at(position: Column) -> Column:
         return F.max(F.when((upto - n < position) & (position <= upto), v))
@@ -70,8 +70,8 @@ def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     middle = at(F.floor((F.col("_size") + 1) / 2)) + at(F.floor((F.col("_size") + 2) / 2))
     return placed.groupBy(*keys).agg(
         F.sum(n).alias("n"),
-        F.sum(wide * times).alias("total"),
-        F.sum(wide * wide * times).alias("squares"),
+        F.sum((wide * times).cast("decimal(38,0)")).alias("total"),
+        F.sum((wide * wide * times).cast("decimal(38,0)")).alias("squares"),
         F.min(v).alias("least"),
         F.max(v).alias("most"),
         (middle / F.lit(2.0)).alias("median"),

@@ -80,8 +80,8 @@ def run_stats(runs: DataFrame, keys: tuple[str, ...] = ("repo", "engine")) -> Da
     Sums of milliseconds and of their squares are exact integers; only the last step is not.
     """
     timed = runs.select(*keys, whole_millis(F.col("parse_ns")).alias("_ms"))
-    n, total = F.col("n").cast("decimal(12,0)"), F.col("total").cast("decimal(19,0)")
-    spread = F.sqrt((n * F.col("squares").cast("decimal(26,0)") - total * total).cast("double")) / F.col("n")
+    n, total, squares = (F.col(c).cast("decimal(38,0)") for c in ("n", "total", "squares"))
+    spread = F.sqrt((n * squares - total * total).cast("double")) / F.col("n")
 
     def sec(ms: Column) -> Column:
         return rounded(ms / F.lit(1000.0), 4)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed_values import ENGINE_COLUMN
 from ..functions.paths import url_path
 from ..functions.text import line_count, lines
 from ..operators.files import with_language, with_line_count
@@ -27,8 +28,6 @@ CODE_SUFFIXES = [
 ]
 CODE_FOLDERS = ["src", "node_modules", "lib/.git", "dist", "src/x.github", "pkg/__pycache__", "app/core"]
 
-ENGINE_BY_EVENT = {"click": "generic", "view": "native"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -223,12 +222,12 @@ def constructor_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two event types as runs of two engines, one repository per user."""
+    """All events as runs of two engines by turns, one repository per user."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    engine = F.when(F.col("event_type") == "click", "generic").when(F.col("event_type") == "view", "native")
+    engine = F.when(F.col("event_id") % 2 == 0, "generic").otherwise("native")
     ns = F.round(F.col("value") * 100).cast("bigint") * 10000
-    return e.filter(F.col("event_type").isin(list(ENGINE_BY_EVENT))).select(
+    return e.select(
         _text(F.col("user_id")).alias("repo"),
         engine.alias("engine"),
         "ts",
@@ -253,7 +252,7 @@ def as_measured(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     ns = F.round(F.col("value") * 100).cast("bigint") * 10000
     return events.select(
-        F.lit("generic").alias("parser"),
+        F.lit("generic").alias(ENGINE_COLUMN),
         _text(F.col("user_id")).alias("repo"),
         F.col("event_type").alias("language"),
         "ts",

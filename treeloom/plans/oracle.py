@@ -6,8 +6,11 @@ worked out from the text by counting, where the jobs parse and flatten them.
 
 from __future__ import annotations
 
+from ..fixed_values import ENGINE_COLUMN
+
 LANG = "CASE d.lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' ELSE '.' || d.lang END"
 
+# Fixed values, as the bindings deal them out.
 FOLDERS = "['src','node_modules','lib/.git','dist','src/x.github','pkg/__pycache__','app/core']"
 SUFFIXES = (
     "['a.java','b.py','c.ts','d.js','e.cpp','f.h','g.c','h.tsx','i.jsx','j.JS','k.tar.gz','Makefile','.gitignore']"
@@ -183,9 +186,9 @@ kept AS (
 
 RUNS = """
 measured_runs AS (
-  SELECT user_id::VARCHAR AS repo, CASE event_type WHEN 'click' THEN 'generic' ELSE 'native' END AS engine, ts, event_id AS run_id,
+  SELECT user_id::VARCHAR AS repo, CASE event_id % 2 WHEN 0 THEN 'generic' ELSE 'native' END AS engine, ts, event_id AS run_id,
     (props->>'$.k')::BIGINT AS k, round(value * 100)::BIGINT * 10000 AS parse_ns
-  FROM events WHERE event_type IN ('click', 'view')),
+  FROM events),
 shown AS (
   SELECT *, floor(parse_ns / 1e6 + 0.5)::BIGINT AS ms, floor(parse_ns * 2 / 1e6 + 0.5)::BIGINT AS total_ms,
     row_number() OVER (PARTITION BY repo, engine ORDER BY ts, run_id) AS run_no
@@ -228,12 +231,12 @@ def _round(x: str, scale: str) -> str:
     return f"floor(({x}) * {scale}::DOUBLE + 0.5) / {scale}::DOUBLE"
 
 
-def _history(parsers: str = "('generic')") -> str:
+def _history(engines: str = "('generic')") -> str:
     return f"""
-WITH {EVENT_FILES}, parsers AS (SELECT unnest({parsers.replace("(", "[").replace(")", "]")}) AS parser)
-SELECT t.timestamp, p.parser, t.repo, l.language, l.files, l.loc, l.nodes, l.max_depth,
+WITH {EVENT_FILES}, engines AS (SELECT unnest({engines.replace("(", "[").replace(")", "]")}) AS {ENGINE_COLUMN})
+SELECT t.timestamp, p.{ENGINE_COLUMN}, t.repo, l.language, l.files, l.loc, l.nodes, l.max_depth,
   {_sec("l.ns")} AS parse_sec, {_sec("t.total_ns")} AS total_sec, {_mb("t.rss")} AS peak_rss_mb, {_mb("t.heap")} AS peak_heap_mb
-FROM run_totals t JOIN run_langs l USING (repo) CROSS JOIN parsers p
+FROM run_totals t JOIN run_langs l USING (repo) CROSS JOIN engines p
 """
 
 
@@ -418,13 +421,13 @@ def oracle_sql() -> dict[str, str]:
               {_round("sqrt((runs * q - t * t)::DOUBLE) / runs / 1000.0::DOUBLE", "10000.0")} AS std_sec,
               {_round("mid / 1000.0::DOUBLE", "10000.0")} AS median_sec, {_round("lo / 1000.0::DOUBLE", "10000.0")} AS min_sec,
               {_round("hi / 1000.0::DOUBLE", "10000.0")} AS max_sec FROM s WHERE runs > 1""",
-        "runs_read": f"""WITH {EVENT_FILES} SELECT 'generic' AS parser, t.repo, t.timestamp, t.files, t.loc, t.nodes AS totalNodes, t.max_depth AS maxDepth,
+        "runs_read": f"""WITH {EVENT_FILES} SELECT 'generic' AS {ENGINE_COLUMN}, t.repo, t.timestamp, t.files, t.loc, t.nodes AS totalNodes, t.max_depth AS maxDepth,
             {_sec("t.ns")} AS parseTimeSec, {_sec("t.total_ns")} AS totalTimeSec, {_mb("t.rss")} AS peakRssMB, {_mb("t.heap")} AS peakHeapMB,
             l.language, l.files AS lang_files, l.loc AS lang_loc, {_sec("l.ns")} AS lang_parse_sec
             FROM run_totals t JOIN run_langs l USING (repo)""",
         "history_read": _history(),
         "history_union": _history("('generic','native')"),
-        "history_head": _history() + " ORDER BY timestamp, parser, repo, language LIMIT 20",
+        "history_head": _history() + f" ORDER BY timestamp, {ENGINE_COLUMN}, repo, language LIMIT 20",
         "stream_history": _history(),
         "scan_archives": """SELECT 'docs-' || (doc_id // 500) AS repo, source || '/' || doc_id || '.' || lang AS file_path, text AS content,
             'ok' AS status FROM documents""",

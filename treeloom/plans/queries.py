@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import OUTLINE_CLASS_BY_KIND
+from ..fixed_values import ENGINE_COLUMN, OUTLINE_CLASS_BY_KIND
 from ..functions.numbers import iso_millis, megabytes
 from ..functions.paths import matches_pruned_glob, repo_name, run_tag, without_zip
 from ..functions.text import line_count, preview
@@ -297,7 +297,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.run_records(b.event_files(spark, sf_dir), ["parser", "repo"])
+    return files.run_records(b.event_files(spark, sf_dir), [ENGINE_COLUMN, "repo"])
 
 
 def runs_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +306,7 @@ def runs_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = trees.read_runs(spark, folder)
     language = F.explode("languages").alias("language", "_s")
     return back.select("*", language).select(
-        "parser", "repo", "timestamp", "files", "loc", "totalNodes", "maxDepth", "parseTimeSec", "totalTimeSec",
+        ENGINE_COLUMN, "repo", "timestamp", "files", "loc", "totalNodes", "maxDepth", "parseTimeSec", "totalTimeSec",
         "peakRssMB", "peakHeapMB", "language", F.col("_s.files").alias("lang_files"), F.col("_s.loc").alias("lang_loc"),
         F.col("_s.parseTimeSec").alias("lang_parse_sec"),
     )
@@ -329,8 +329,8 @@ def history_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of all runs plus the lines of one more run per repository."""
     old = files.history_rows(_records(spark, sf_dir))
-    later = b.event_files(spark, sf_dir).withColumn("parser", F.lit("native"))
-    return old.unionByName(files.history_rows(files.run_records(later, ["parser", "repo"])))
+    later = b.event_files(spark, sf_dir).withColumn(ENGINE_COLUMN, F.lit("native"))
+    return old.unionByName(files.history_rows(files.run_records(later, [ENGINE_COLUMN, "repo"])))
 
 
 # Archives, sinks and streams ------------------------------------------------------------
@@ -398,7 +398,7 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
     def records(batch: DataFrame) -> DataFrame:
-        return files.run_records(b.as_measured(batch), ["parser", "repo"])
+        return files.run_records(b.as_measured(batch), [ENGINE_COLUMN, "repo"])
 
     ingest.append_runs(stream, records, runs_out, history_out, fresh_folder(spark, "history-state"))
     return trees.read_history(spark, history_out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,7 +28,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "treeloom")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", os.environ.get("TREELOOM_DRIVER_MEMORY", "8g"))
+        .config("spark.treeloom.spread", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in DEFAULTS.items():

@@ -12,6 +12,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from .layout import open_path
 
 ENTRY_DDL = (
     "archive STRING, entry_path STRING, ordinal BIGINT, is_dir BOOLEAN, offset BIGINT, packed BIGINT, "
-    "size BIGINT, method INT, error STRING"
+    "size BIGINT, method INT, flags INT, crc BIGINT, error STRING"
 )
 CONTENT_DDL = "archive STRING, entry_path STRING, content STRING, error STRING"
 # Entries read by one task in one go, and bytes handed over per batch.
@@ -50,19 +51,22 @@ def latest_archives(archives: DataFrame) -> DataFrame:
 
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "entry_path", "ordinal", "is_dir", "offset", "packed", "size", "method", "error"]
+    columns = ["archive", "entry_path", "ordinal", "is_dir", "offset", "packed", "size", "method", "flags", "crc", "error"]
     for batch in batches:
         for path in batch["path"]:
             try:
                 system, plain = open_path(path)
                 with system.open_input_file(plain) as handle, zipfile.ZipFile(handle) as archive:
                     found = archive.infolist()
+                # A later entry replaces an earlier one of the same name.
+                last = {i.filename: n for n, i in enumerate(found)}
                 rows = [
-                    (path, i.filename, n, i.is_dir(), i.header_offset, i.compress_size, i.file_size, i.compress_type, None)
+                    (path, i.filename, n, i.is_dir(), i.header_offset, i.compress_size, i.file_size, i.compress_type, i.flag_bits, i.CRC, None)
                     for n, i in enumerate(found)
+                    if last[i.filename] == n
                 ]
             except (OSError, ValueError, EOFError, zipfile.BadZipFile) as problem:
-                rows = [(path, None, 0, False, None, None, None, None, f"{type(problem).__name__}: {problem}")]
+                rows = [(path, None, 0, False, None, None, None, None, None, None, f"{type(problem).__name__}: {problem}")]
             for begin in range(0, len(rows), 50_000):
                 yield pd.DataFrame(rows[begin : begin + 50_000], columns=columns)
 
@@ -70,16 +74,20 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def archive_entries(archives: DataFrame) -> DataFrame:
     """Directory of each archive; a later entry replaces an earlier one of the same name.
     An archive that cannot be opened gives one row with its error."""
-    listed = archives.select("path").mapInPandas(_list, ENTRY_DDL)
-    newest = listed.groupBy("archive", "entry_path").agg(
-        F.max_by(
-            F.struct("ordinal", "is_dir", "offset", "packed", "size", "method", "error"), "ordinal"
-        ).alias("_e")
-    )
-    return newest.select("archive", "entry_path", "_e.*")
+    return archives.select("path").mapInPandas(_list, ENTRY_DDL)
+
+
+def _entry_bytes(handle, e) -> bytes:
+    """The contents of a listed entry, checked against its size and checksum."""
+    if int(e.flags) & 1:
+        raise ValueError("the entry is encrypted")
+    data = _unpacked(handle, int(e.offset), int(e.packed), int(e.method), e.entry_path)
+    if len(data) != int(e.size) or zlib.crc32(data) != int(e.crc):
+        raise ValueError("the entry is damaged")
+    return data
 
 
-def _entry_bytes(handle, offset: int, packed: int, method: int, name: str) -> bytes:
+def _unpacked(handle, offset: int, packed: int, method: int, name: str) -> bytes:
     handle.seek(offset)
     header = handle.read(30)
     name_size, extra_size = struct.unpack("<HH", header[26:30])
@@ -101,11 +109,18 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unread = batch[batch["error"].notna()]
         rows.extend((e.archive, e.entry_path, None, e.error) for e in unread.itertuples(index=False))
         for path, entries in batch[batch["error"].isna()].groupby("archive", sort=False):
-            system, plain = open_path(path)
-            with system.open_input_file(plain) as handle:
+            with ExitStack() as stack:
+                try:
+                    system, plain = open_path(path)
+                    handle = stack.enter_context(system.open_input_file(plain))
+                except (OSError, ValueError) as problem:
+                    # The archive went away after it was listed.
+                    said = f"{type(problem).__name__}: {problem}"
+                    rows.extend((path, name, None, said) for name in entries["entry_path"])
+                    continue
                 for e in entries.itertuples(index=False):
                     try:
-                        data = _entry_bytes(handle, int(e.offset), int(e.packed), int(e.method), e.entry_path)
+                        data = _entry_bytes(handle, e)
                         rows.append((path, e.entry_path, data.decode("utf-8", "replace"), None))
                         held += len(data)
                     except (OSError, ValueError, EOFError, RuntimeError, zlib.error, struct.error, zipfile.BadZipFile) as problem:
@@ -129,7 +144,7 @@ def entry_contents(entries: DataFrame) -> DataFrame:
         wanted.withColumn("_chunk", chunk)
         .repartition(tasks, "archive", "_chunk")
         .sortWithinPartitions("archive", "offset")
-        .select("archive", "entry_path", "offset", "packed", "method", "error")
+        .select("archive", "entry_path", "offset", "packed", "size", "method", "flags", "crc", "error")
         .mapInPandas(_read, CONTENT_DDL)
     )
 

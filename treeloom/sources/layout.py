@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
-# Below this much data per core an input made of few files leaves most cores idle.
-SMALL_PER_CORE = 16 * 1024 * 1024
+# Setting that deals every input's rows over the session's cores.
+SPREAD = "spark.treeloom.spread"
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -15,17 +15,12 @@ def open_path(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input over all cores before text-heavy work.
+    """Deal rows over all cores before text-heavy work, where the session asks for it.
 
-    Inputs with at least as many files as cores, and inputs of any real size, are left as
-    they are: their own splits fill the cluster and a shuffle would only cost.
+    Inputs of one row group, as in tests and benchmarks, leave most cores idle; inputs of any
+    real size fill a cluster with their own splits, so a cluster leaves this off.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
+    session = df.sparkSession
+    if session.conf.get(SPREAD, "false") != "true":
         return df
-    size = 0
-    for path in files:
-        system, plain = open_path(path)
-        size += system.get_file_info(plain).size or 0
-    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
+    return df.repartition(session.sparkContext.defaultParallelism)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import HISTORY_DDL, RUN_DDL
+from ..fixed_values import ENGINE_COLUMN, HISTORY_DDL, RUN_DDL
 from ..functions.paths import is_pruned
 
 
@@ -53,4 +53,4 @@ def read_runs(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
 
 def history_head(history: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` lines of the history in time order."""
-    return history.orderBy("timestamp", "parser", "repo", "language").limit(n)
+    return history.orderBy("timestamp", ENGINE_COLUMN, "repo", "language").limit(n)

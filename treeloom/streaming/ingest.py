@@ -56,8 +56,10 @@ def append_runs(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         made = records(batch).persist()
-        write_runs(made, runs_folder, batch_id)
-        write_history(made, history_folder, batch_id)
-        made.unpersist()
+        try:
+            write_runs(made, runs_folder, batch_id)
+            write_history(made, history_folder, batch_id)
+        finally:
+            made.unpersist()
 
     run_available(stream, checkpoint, handle)
