@@ -9,7 +9,7 @@ children of differing nodes are looked at on the level below, down to the damage
 
 A record with null bytes hashes like an empty one of unknown length and differs from it. Rows
 that repeat an archive and offset are all part of the leaf's range, and the record is compared
-by all its copies. An archive missing from a replica is reported record by record. Empty
+by all its copies. A null archive or offset is a place of its own. An archive missing from a replica is reported record by record. Empty
 replicas give no rows.
 """
 
@@ -102,10 +102,13 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE, fanout: i
     theirs = merkle_tree(right, range_bytes, fanout, depth)
 
     def differing(a: DataFrame, b: DataFrame, place: str) -> DataFrame:
-        a = a.select("archive", place, *[F.col(c).alias(f"left_{c}") for c in ("length", "hash") if c in a.columns])
-        b = b.select("archive", place, *[F.col(c).alias(f"right_{c}") for c in ("length", "hash") if c in b.columns])
-        both = a.join(b, ["archive", place], "full")
-        return both.filter(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
+        side = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+        same = F.col("left_archive").eqNullSafe(F.col("right_archive")) & F.col(f"left_{place}").eqNullSafe(F.col(f"right_{place}"))
+        both = side(a, "left").join(side(b, "right"), same, "full")
+        found = both.filter(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
+        keys = [F.coalesce(f"left_{c}", f"right_{c}").alias(c) for c in ("archive", place)]
+        rest = [c for c in both.columns if c.endswith(("_length", "_hash"))]
+        return found.select(*keys, *rest)
 
     marked = None
     for level in range(depth, -1, -1):
@@ -114,7 +117,8 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE, fanout: i
         if marked is not None:
             parent = F.floor(F.col(place) / (fanout if level else range_bytes))
             keep = small(marked.select(F.col("archive").alias("in_"), F.col("node").alias("under_")))
-            a, b = (x.join(keep, (F.col("archive") == F.col("in_")) & (parent == F.col("under_")), "left_semi") for x in (a, b))
+            below = F.col("archive").eqNullSafe(F.col("in_")) & parent.eqNullSafe(F.col("under_"))
+            a, b = (x.join(keep, below, "left_semi") for x in (a, b))
         marked = stored(differing(a, b, place), "differing")
     status = F.when(F.col("right_hash").isNull(), "missing").when(F.col("left_hash").isNull(), "extra").otherwise("changed")
     return marked.select("archive", "offset", status.alias("status"), "left_length", "right_length", "left_hash", "right_hash")
