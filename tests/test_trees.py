@@ -201,6 +201,14 @@ def test_name_that_is_not_a_leaf(spark):
     assert [r["name"] for r in json_trees.outline(parsed(spark, tree), OUTLINE_CLASS_BY_KIND).collect()] == ["a.b"]
 
 
+def test_files_without_nodes_stay_in_the_totals(spark):
+    read = json_trees.parse_or_raw(files(spark, json.dumps(CLASS), "not json", "5", None))
+    nodes = json_trees.json_nodes(read)
+    found = tree_stats.tree_stats_compat(nodes, KEYS, "generic", read).orderBy("file_path").collect()
+    assert [(r.nodes, r.max_depth, r.compat_max_depth) for r in found] == [(14, 5, 7), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+    assert tree_stats.error_nodes(nodes, KEYS, read).count() == 4
+
+
 def test_roots_that_are_no_trees(spark):
     read = json_trees.parse_or_raw(files(spark, "5", "[1]", '{"error":"x"}'))
     assert [r.status for r in read.orderBy("file_path").collect()] == ["no_tree", "no_tree", "error"]

@@ -102,7 +102,7 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deep_tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = json_trees.json_nodes(b.deep_trees(spark, sf_dir))
-    return tree_stats.tree_stats(nodes, ["repo", "file_path"])
+    return tree_stats.tree_stats(nodes, ["repo", "file_path"], b.deep_trees(spark, sf_dir))
 
 
 def json_or_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,15 +134,15 @@ def markup_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree_stats.tree_stats(_page_nodes(spark, sf_dir), ["page_id"])
+    return tree_stats.tree_stats(_page_nodes(spark, sf_dir), ["page_id"], b.table(spark, sf_dir, "pages"))
 
 
 def tree_stats_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree_stats.tree_stats_compat(_page_nodes(spark, sf_dir), ["page_id"], "generic")
+    return tree_stats.tree_stats_compat(_page_nodes(spark, sf_dir), ["page_id"], "generic", b.table(spark, sf_dir, "pages"))
 
 
 def error_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree_stats.error_nodes(_page_nodes(spark, sf_dir), ["page_id"])
+    return tree_stats.error_nodes(_page_nodes(spark, sf_dir), ["page_id"], b.table(spark, sf_dir, "pages"))
 
 
 def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
