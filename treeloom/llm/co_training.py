@@ -8,8 +8,9 @@ true label exists; both models are then counted again, over all documents. A vie
 calibrated by logistic regression on true labels alone, from a histogram of scores, and a
 document's two calibrated log-odds are added against the common prior.
 
-A model is as large as its number of buckets, whatever the corpus, and scores are worked out
-within the row. Features are written once per fit.
+A model is as large as its number of buckets, whatever the corpus. It travels with the Arrow
+function that scores rows: as a constant of the plan its text would be kept by the driver for
+every query. Features are written once per fit.
 
 Null texts and null metadata are values of their own. Labels may repeat or contradict: a
 document is good if no label calls it bad. Labels of unknown documents are ignored. Without
@@ -22,10 +23,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import BLANKS, constant_array, small, stored, table, words
+from .shared import BLANKS, small, stored, table, words
 
 TEXT_BUCKETS = 1 << 16
 META_BUCKETS = 1 << 12
@@ -92,18 +95,39 @@ def _features(docs: DataFrame, text: Column, source: Column, lang: Column, n_cha
     )
 
 
-def _sum(buckets: str, table_: Column) -> Column:
-    return F.aggregate(buckets, F.lit(0).cast("bigint"), lambda acc, b: acc + F.get(table_, b))
+def _sums(lists: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each list's weights, and its length."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    upto = np.r_[0, np.cumsum(weights[lists.flatten().to_numpy(zero_copy_only=False)])]
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes], sizes
 
 
 def text_score(weights: list[int]) -> Column:
     """Thousandths of log-odds; the words by their mean, so long texts are not surer."""
-    table_ = constant_array(weights)
-    return F.floor(WORDS_COUNT * _sum("words_", table_) / F.greatest(F.size("words_"), F.lit(1))) + _sum("marks_", table_)
+    table_ = np.array(weights, dtype=np.int64)
+
+    @F.arrow_udf(T.LongType())
+    def score(words: pa.Array, marks: pa.Array) -> pa.Array:
+        total, n = _sums(words, table_)
+        return pa.array(WORDS_COUNT * total // np.maximum(n, 1) + _sums(marks, table_)[0])
+
+    return score("words_", "marks_")
 
 
 def meta_score(weights: list[int]) -> Column:
-    return _sum("meta_", constant_array(weights))
+    table_ = np.array(weights, dtype=np.int64)
+
+    @F.arrow_udf(T.LongType())
+    def score(meta: pa.Array) -> pa.Array:
+        return pa.array(_sums(meta, table_)[0])
+
+    return score("meta_")
+
+
+def scored(rows: DataFrame, text: list[int], meta: list[int]) -> DataFrame:
+    """``rows`` of features with text_score_ and meta_score_."""
+    return rows.withColumns({"text_score_": text_score(text), "meta_score_": meta_score(meta)})
 
 
 def _weights(known: DataFrame, buckets: Column, size: int) -> list[int]:
@@ -172,17 +196,17 @@ def fit(
         return *flat, 0.0 if not n else 10.0 if good else -10.0
     prior = float(np.log(good / (n - good)))
     sure = float(np.log(SURE / (1 - SURE)))
-    text_label = meta_label = F.col("label_")
-    for step in range(rounds + 1):
-        text_weights = _weights(marked.withColumn("good_", text_label), F.concat("words_", "marks_"), TEXT_BUCKETS)
-        meta_weights = _weights(marked.withColumn("good_", meta_label), F.col("meta_"), META_BUCKETS)
-        text = View(text_weights, *_calibration(marked, text_score(text_weights)))
-        meta = View(meta_weights, *_calibration(marked, meta_score(meta_weights)))
-        by_text, by_meta = log_odds(text_score(text.weights), text), log_odds(meta_score(meta.weights), meta)
-        call = lambda odds: F.when(odds >= sure, 1).when(odds <= -sure, 0)
+    call = lambda odds: F.when(odds >= sure, 1).when(odds <= -sure, 0)
+    judged_, text_label, meta_label = marked, F.col("label_"), F.col("label_")
+    for _ in range(rounds + 1):
+        text_weights = _weights(judged_.withColumn("good_", text_label), F.concat("words_", "marks_"), TEXT_BUCKETS)
+        meta_weights = _weights(judged_.withColumn("good_", meta_label), F.col("meta_"), META_BUCKETS)
+        judged_ = scored(marked, text_weights, meta_weights)
+        text = View(text_weights, *_calibration(judged_, F.col("text_score_")))
+        meta = View(meta_weights, *_calibration(judged_, F.col("meta_score_")))
         # What one view is sure of is a label of the other.
-        text_label = F.coalesce(F.col("label_"), call(by_meta))
-        meta_label = F.coalesce(F.col("label_"), call(by_text))
+        text_label = F.coalesce(F.col("label_"), call(log_odds(F.col("meta_score_"), meta)))
+        meta_label = F.coalesce(F.col("label_"), call(log_odds(F.col("text_score_"), text)))
     return text, meta, prior
 
 
@@ -191,10 +215,9 @@ def judged(
 ) -> DataFrame:
     """``docs`` with p_text, p_meta, score (probability of being good) and kept."""
     text, meta, prior = fit(docs, labels, columns, rounds)
-    scored = features(docs, columns)
     chance = lambda odds: F.round(1 / (1 + F.exp(-odds)), 6)
-    odds = scored.withColumn("text_odds_", log_odds(text_score(text.weights), text)).withColumn(
-        "meta_odds_", log_odds(meta_score(meta.weights), meta)
+    odds = scored(features(docs, columns), text.weights, meta.weights).withColumns(
+        {"text_odds_": log_odds(F.col("text_score_"), text), "meta_odds_": log_odds(F.col("meta_score_"), meta)}
     )
     informed = any(text.weights) or any(meta.weights)
     both = F.col("text_odds_") + F.col("meta_odds_") - F.lit(prior) if informed else F.lit(prior)
