@@ -1,9 +1,11 @@
 """The stages on odd rows, each against its operator's own verdicts, and the fixity audit."""
 
-import corpus_pipeline as pipeline
-from pyspark.sql import functions as F
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
+
+from tests.llm.test_texts import base, fingerprint, reachable
 from treeloom.llm import bk_trees, co_training, ngram_ratio, phrase_index, warc_fixity
 
 
@@ -45,13 +47,23 @@ def test_empty_documents_stay_empty(spark, empty, sf_dir):
 
 
 def test_stages_in_order(spark, docs, sf_dir):
+    """The whole run against the rules applied one by one in Python."""
+    spark.createDataFrame([(1, "nothing else is here to see at all")], "item_id bigint, text string").write.mode("overwrite").parquet(
+        f"{sf_dir}/benchmark.parquet"
+    )
+    # With good labels alone the classifier keeps everything.
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{sf_dir}/labels.parquet")
     docs.write.parquet(f"{sf_dir}/documents.parquet")
     packed = pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
-    kept = docs
-    for _, stage in pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, sf_dir)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept.collect()}
+    left = [(r.doc_id, r.text) for r in docs.collect() if not base(r.text)[-1]]
+    roots = reachable([fingerprint(text) for _, text in left], 3)
+    first = {}
+    for (doc_id, text), root in zip(left, roots):
+        first.setdefault(root, []).append((doc_id is not None, doc_id, text))
+    left = [min(group, key=lambda g: (g[0], g[1] or 0)) for group in first.values()]
+    want = {doc_id for _, doc_id, text in left if "Nothing else is here to see at all" not in text}
+    assert want and {r.doc_id for r in packed.collect()} == want
 
 
 # Fixity ----------------------------------------------------------------------------------
