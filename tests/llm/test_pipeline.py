@@ -1,12 +1,14 @@
 """The stages on odd rows, each against its operator's own verdicts, and the fixity audit."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
 from tests.llm.test_texts import base, fingerprint, reachable
-from treeloom.llm import bk_trees, co_training, ngram_ratio, phrase_index, warc_fixity
+from treeloom.llm import bk_trees, co_training, ngram_ratio, phrase_index, similar, warc_fixity
 
 
 @pytest.fixture
@@ -66,6 +68,39 @@ def test_stages_in_order(spark, docs, sf_dir):
     assert want and {r.doc_id for r in packed.collect()} == want
 
 
+def five_word_groups(texts):
+    """The least index of each text's component, all pairs compared."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_duplicates_by_five_words(spark, sf_dir):
+    """Copies with edits on both sides of 0.8, against brute force."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(60):
+        w = rnd.choices(vocabulary, k=rnd.randint(40, 300))
+        texts.append(" ".join(w))
+        for _ in range(4):
+            edited = list(w)
+            for at in rnd.sample(range(len(w)), rnd.randint(1, max(1, len(w) // 25))):
+                edited[at] = rnd.choice(vocabulary)
+            texts.append(" ".join(edited))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = five_word_groups(texts)
+    found = {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+    kept = {r.doc_id for r in dict(pipeline.STAGES)["near_duplicates"](spark, docs, sf_dir).collect()}
+    assert kept == set(want)
+
+
 # Fixity ----------------------------------------------------------------------------------
 
 
