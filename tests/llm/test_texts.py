@@ -88,6 +88,30 @@ def test_links_hold_components_together(spark):
         assert roots.get(f, f) == order[t]
 
 
+def test_dense_shard_is_cut(spark):
+    """Many distinct fingerprints around one: no shard stays above the bound, and no link is lost."""
+    rnd = random.Random(6)
+    centre = rnd.getrandbits(64)
+    fps = sorted({centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 9))) for _ in range(1500)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    cut = bk_trees.shards(df, dense=100)
+    assert cut.groupBy("shard").count().agg(F.max("count")).first()[0] <= 100
+    roots = {r.fp: r.root for r in bk_trees.components(bk_trees.links(df, dense=100)).collect()}
+    order = sorted(range(len(fps)), key=lambda i: signed[i])
+    want = reachable([fps[i] for i in order], 3)
+    assert [roots.get(signed[i], signed[i]) for i in order] == [signed[order[t]] for t in want]
+
+
+def test_search_in_small_steps(monkeypatch):
+    """The links are the same however few pairs are looked at together."""
+    rnd = np.random.default_rng(7)
+    fps = np.unique(rnd.integers(0, 1 << 12, 900))
+    want = bk_trees.linked(np.zeros(len(fps), np.int64), fps, 1).tolist()
+    monkeypatch.setattr(bk_trees, "VISITED", 64)
+    assert bk_trees.linked(np.zeros(len(fps), np.int64), fps, 1).tolist() == want
+
+
 def test_one_of_each(docs):
     kept = bk_trees.one_of_each(docs)
     assert kept.columns == docs.columns

@@ -6,7 +6,7 @@ must agree on some choice of blocks of their bits; fingerprints that agree on on
 shard. Each shard gets a BK-tree, whose children are keyed by their distance to the parent, and
 every member follows only the edges within the radius. A shard's tree travels to its members by
 one shuffle instead of being broadcast, since a broadcast of all trees would grow with the
-corpus. A shard reports links to its components' least members, never all pairs.
+corpus. A dense shard is cut again by blocks of the bits its members may still differ in. A shard reports links to its components' least members, never all pairs.
 
 A null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle
 are one shingle. Null ids are allowed, but no component is named by one unless all of its ids
@@ -16,7 +16,7 @@ are null. Repeated rows stay. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +34,11 @@ BLOCKS = 5
 # Fingerprints whose trees are built at once in a task, and members searched at once.
 TOGETHER = 50_000
 SEARCHED = 256
+# Pairs of a member and a node that are looked at in one step.
+VISITED = 1 << 18
+# A shard of more fingerprints is cut again, at most so many times in all.
+DENSE = 20_000
+CUTS = 3
 # Shingle hashes whose bits are counted at once.
 COUNTED = 32_768
 
@@ -126,19 +131,24 @@ def linked(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     label = np.arange(n)
     for at in range(0, n, SEARCHED):
         who = np.arange(at, min(n, at + SEARCHED))
-        node = root[who]
-        pairs = []
-        while who.size:
+        waiting = [(who, root[who])]
+        while waiting:
+            who, node = waiting.pop()
+            if len(who) > VISITED:
+                half = len(who) // 2
+                waiting += [(who[half:], node[half:]), (who[:half], node[:half])]
+                continue
             distance = apart(fp[who], fp[node])
             near = (distance <= radius) & (node < who)
-            pairs.append(np.stack([who[near], node[near]]))
+            if near.any():
+                label = joined(label, np.stack([who[near], node[near]]))
             low = np.searchsorted(edge, node * (BITS + 1) + np.maximum(distance - radius, 0))
             high = np.searchsorted(edge, node * (BITS + 1) + np.minimum(distance + radius, BITS), side="right")
             many = high - low
             who = np.repeat(who, many)
-            first = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many)
-            node = child[first + np.arange(len(who))]
-        label = joined(label, np.concatenate(pairs, axis=1))
+            if who.size:
+                first = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many)
+                waiting.append((who, child[first + np.arange(len(who))]))
     return label
 
 
@@ -183,23 +193,49 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield links(held)
 
 
-def shards(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """shard, fp: each fingerprint under every choice of ``blocks - radius`` blocks of its bits."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    keys = []
-    for i, chosen in enumerate(combinations(masks, blocks - radius)):
-        mask = sum(chosen)
-        signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-        # The choice and the chosen bits; a shared hash would only widen a shard.
-        keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed).cast("bigint"))))
-    return fps.select("fp", F.explode(F.array(*keys)).alias("shard")).select("shard", "fp")
-
-
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _chosen(fixed: int, radius: int, blocks: int) -> list[int]:
+    """``fixed`` with each choice of ``blocks - radius`` blocks of the other bits."""
+    free = [b for b in range(BITS) if not fixed >> b & 1]
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    masks = [sum(1 << bit for bit in free[a:b]) for a, b in zip(edges, edges[1:])]
+    return [fixed | sum(chosen) for chosen in combinations(masks, blocks - radius)]
+
+
+def _cut(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """shard, fp, place: each fingerprint under every mask of its place's list. The new place
+    counts through all lists."""
+    signed = lambda m: F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("bigint")
+    lists = F.array(*[F.array(*map(signed, each)) for each in masks])
+    cut = rows.select("fp", "shard", "place", F.posexplode(F.get(lists, F.col("place"))).alias("i", "mask"))
+    place = F.col("place") * len(masks[0]) + F.col("i")
+    # The choice and the chosen bits; a shared hash would only widen a shard.
+    return cut.select(F.xxhash64("shard", "i", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"), "fp", place.alias("place"))
+
+
+def shards(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:
+    """shard, fp: each fingerprint under every choice of ``blocks - radius`` blocks of its bits.
+    Shards of more than ``dense`` fingerprints are cut by the same choices of the bits in which
+    they may still differ, so that pairs within the radius stay together in one of the parts."""
+    rows = fps.select("fp", F.lit(0).cast("bigint").alias("shard"), F.lit(0).alias("place"))
+    many, fixed, done = fps.count(), [0], []
+    for cuts in range(CUTS):
+        masks = [_chosen(m, radius, blocks) for m in fixed]
+        rows, fixed = _cut(rows, masks), [m for each in masks for m in each]
+        if many <= dense or cuts == CUTS - 1:
+            break
+        crowded = stored(rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select("shard"), "crowded")
+        many = dense + 1 if crowded.limit(1).count() else 0
+        if not many:
+            break
+        done.append(rows.join(small(crowded), "shard", "left_anti"))
+        rows = stored(rows.join(small(crowded), "shard", "left_semi").select("shard", "fp", "place"), "dense")
+    return reduce(DataFrame.unionByName, [each.select("shard", "fp") for each in [*done, rows]])
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:
     """Distinct (a, b), b the less: enough links between distinct fingerprints within the
     radius to hold each component together."""
-    dealt = shards(fps, radius, blocks).repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt = shards(fps, radius, blocks, dense).repartition("shard").sortWithinPartitions("shard", "fp")
     return dealt.mapInArrow(partial(_links, radius=radius), "a bigint, b bigint").distinct()
 
 
