@@ -307,6 +307,29 @@ def test_main_text(source, text):
     assert tag_paths.main_text(source) == text
 
 
+LONG = " ".join(f"<p>{PROSE} Part {i} of it says more, and then more.</p>" for i in range(8))
+LONG_TEXT = re.sub("</?p>", "", LONG)
+CARD = "<article><h2>Card</h2><p>Read this, too.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f"<div><h2>T</h2>{LONG}</div>{CARD}",
+        f"{CARD * 3}<div><h2>T</h2>{LONG}</div>{CARD * 3}",
+        f"<article><h2>T</h2>{LONG}</article><div>{CARD * 4}</div>",
+        f"<main><div><h2>T</h2>{LONG}</div>{CARD * 3}</main>",
+        f"<main><h2>T</h2><article>{LONG}</article></main>",
+    ],
+)
+def test_teaser_articles(source):
+    assert tag_paths.main_text(f"<body>{source}</body>") == f"T {LONG_TEXT}"
+
+
+def test_equal_articles_stay():
+    assert tag_paths.main_text(f"<body><div><article>{LONG}</article><article>{LONG}</article></div></body>") == f"{LONG_TEXT} {LONG_TEXT}"
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article>{'<p>long text, long.</p>' * 20000}</article>"), (2, None, None), (2, None, None), (None, "v", "<p>x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("mine"))

@@ -4,9 +4,12 @@ A page becomes text blocks, each with its root-to-leaf tag path. Elements that a
 article text go first, by tag, role or class words. For every path the text length and the
 punctuation are summed over its text nodes; length per node times (1 + punctuation per node),
 smoothed over neighbouring paths in page order and raised for paths below an article element,
-is the path's score. Paths at or above a share of the mean score are content; the smallest
-element that holds nearly all content text is the article. Its blocks are kept whole, headings
-included; only lists of links whose path is not content are left out, being menus.
+is the path's score. Paths at or above a share of the mean score are content. Content text times
+its score is a mass: an article element, or all text outside of them, that holds most of the
+page's mass is the main text, and other article elements are teasers; if none does, all count.
+The smallest element that holds nearly all content text of the main part is the article, or the
+article or main element around it. Its blocks are kept whole, headings included; only lists of
+links whose path is not content are left out, being menus.
 
 A null or empty page has an empty text. Unclosed and stray tags, unended comments and texts of
 any length are read as they stand. Repeated rows stay; an empty table gives no rows.
@@ -28,6 +31,8 @@ from .shared import table
 CONTENT_SHARE = 0.3
 # The article holds this share of all content text.
 HELD = 0.9
+# One article element, or the text outside of them, is the main part at this share of the mass.
+MAIN = 0.75
 # How much more a text below an article element weighs.
 ARTICLE_WEIGHT = 10.0
 # Weight of the neighbouring paths when scores are smoothed.
@@ -91,8 +96,9 @@ class _Page:
     """Blocks of one page: for each its text runs with their paths, and the elements it lies in."""
 
     def __init__(self, source: str):
-        # Open elements: tag, serial number, whether left out, whether in an article.
-        self.open: list[tuple[str, int, bool, bool]] = []
+        # Open elements: tag, serial number, whether left out, the outermost article or main
+        # element around (0: none), and the outermost article element.
+        self.open: list[tuple[str, int, bool, int, int]] = []
         self.serial = 0
         self.blocks: list[dict] = []
         self.fresh = True
@@ -133,11 +139,14 @@ class _Page:
             self._text(" ")
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             return
-        _, _, out, inside = self.open[-1] if self.open else ("", 0, False, False)
+        _, _, out, inside, article = self.open[-1] if self.open else ("", 0, False, 0, 0)
         self.serial += 1
-        out = out or _left_out(tag, attributes, inside)
-        inside = inside or not out and (tag in ("article", "main") or 'role="main"' in attributes or "articleBody" in attributes)
-        self.open.append((tag, self.serial, out, inside))
+        out = out or _left_out(tag, attributes, bool(inside))
+        if not out:
+            own = tag == "article" or "articleBody" in attributes
+            article = article or own * self.serial
+            inside = inside or (own or tag == "main" or 'role="main"' in attributes) * self.serial
+        self.open.append((tag, self.serial, out, inside, article))
 
     def _close(self, tag: str, stop: tuple[str, ...]) -> None:
         """End the innermost open ``tag`` that is not above one of ``stop``."""
@@ -164,7 +173,9 @@ class _Page:
         if self.fresh and not text.strip():
             return
         if self.fresh:
-            self.blocks.append({"runs": [], "inside": bool(self.open and self.open[-1][3]), "within": [s for t, s, *_ in self.open if t in HOLDS]})
+            _, _, _, inside, article = self.open[-1] if self.open else ("", 0, False, 0, 0)
+            within = [s for t, s, *_ in self.open if t in HOLDS or s in (inside, article)]
+            self.blocks.append({"runs": [], "inside": inside, "article": article, "within": within})
             self.fresh = False
         path = "/".join(t for t, *_ in self.open)
         self.blocks[-1]["runs"].append((path, text, any(t == "a" for t, *_ in self.open)))
@@ -180,7 +191,7 @@ def path_scores(blocks: list[dict]) -> dict[str, float]:
                 length[path] += len(text)
                 marks[path] += len(PUNCTUATION.findall(text))
                 nodes[path] += 1
-                within[path] = within.get(path, False) or block["inside"]
+                within[path] = within.get(path, False) or bool(block["inside"])
     paths = list(nodes)
     raw = [length[p] / nodes[p] * (1 + marks[p] / nodes[p]) for p in paths]
     out = {}
@@ -191,6 +202,29 @@ def path_scores(blocks: list[dict]) -> dict[str, float]:
     return out
 
 
+def _main_blocks(blocks: list[dict], scores: dict[str, float], content: set[str]) -> list[dict]:
+    """The blocks of the element that is the main text."""
+    size = lambda b: sum(len(t.strip()) for p, t, _ in b["runs"] if p in content)
+    mass = defaultdict(float)
+    for b in blocks:
+        mass[b["article"]] += sum(len(t.strip()) * scores[p] for p, t, _ in b["runs"] if p in content)
+    main = max(mass, key=mass.get)
+    clear = mass[main] >= MAIN * sum(mass.values())
+    pool = [b for b in blocks if b["article"] == main] if clear else blocks
+    held, total = defaultdict(int), 0
+    for b in pool:
+        n = size(b)
+        total += n
+        for serial in b["within"]:
+            held[serial] += n
+    # The innermost element that still holds nearly all content, or the article or main around it.
+    whole = max((s for s, n in held.items() if n >= HELD * total), default=None)
+    around = next((b["inside"] for b in pool if whole in b["within"]), 0)
+    if whole is not None and 0 < around < whole:
+        whole = around
+    return [b for b in blocks if (whole is None or whole in b["within"]) and (not clear or b["article"] in (main, 0))]
+
+
 def main_text(source: str | None) -> str:
     """The article of one page."""
     if not source:
@@ -203,18 +237,7 @@ def main_text(source: str | None) -> str:
         return ""
     least = CONTENT_SHARE * sum(scores.values()) / len(scores)
     content = {p for p, s in scores.items() if s >= least}
-    if any(b["inside"] for b in blocks):
-        kept = [b for b in blocks if b["inside"]]
-    else:
-        held, total = defaultdict(int), 0
-        for b in blocks:
-            size = sum(len(t.strip()) for p, t, _ in b["runs"] if p in content)
-            total += size
-            for serial in b["within"]:
-                held[serial] += size
-        # The innermost element that still holds nearly all content.
-        whole = max((s for s, n in held.items() if n >= HELD * total), default=None)
-        kept = [b for b in blocks if whole is None or whole in b["within"]]
+    kept = _main_blocks(blocks, scores, content)
     texts = []
     for b in kept:
         said = [(p, linked) for p, t, linked in b["runs"] if t.strip()]
