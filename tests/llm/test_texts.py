@@ -326,6 +326,20 @@ def test_teaser_articles(source):
     assert tag_paths.main_text(f"<body>{source}</body>") == f"T {LONG_TEXT}"
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        f"<div class='page has-sidebar'><article><h2>T</h2>{LONG}</article></div>",
+        f"<div class='no-sidebar with-header'><article><h2>T</h2>{LONG}</article></div>",
+        f"<article><h2 id=related-work>T</h2><div id='form-and-function'>{LONG}</div></article>",
+        f"<article><section id='social-history'><h2 id='search'>T</h2>{LONG}</section><div class='share-box'>{PROSE}</div></article>",
+        f"<div class='widget'><h2>T</h2>{LONG}<div class='sidebar'>{PROSE}</div></div><p class=ad>buy</p>",
+    ],
+)
+def test_names_do_not_drop_content(source):
+    assert tag_paths.main_text(f"<body>{source}</body>") == f"T {LONG_TEXT}"
+
+
 def test_equal_articles_stay():
     assert tag_paths.main_text(f"<body><div><article>{LONG}</article><article>{LONG}</article></div></body>") == f"{LONG_TEXT} {LONG_TEXT}"
 

@@ -1,7 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes text blocks, each with its root-to-leaf tag path. Elements that are never
-article text go first, by tag, role or class words. For every path the text length and the
+article text go first, by tag, role or class words; by words only if they hold less than three
+quarters of the page's weighted content. For every path the text length and the
 punctuation are summed over its text nodes; length per node times (1 + punctuation per node),
 smoothed over neighbouring paths in page order and raised for paths below an article element,
 is the path's score. Paths at or above a share of the mean score are content. Content text times
@@ -69,25 +70,34 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form "
     "search share sharing social related recommended recommendations widget widgets toolbar pagination pager skip".split()
 )
-OWN_NAMES = frozenset("content article main body post entry story text".split())
+# Words of a class that say what else the element has.
+TELLS = frozenset("with has no without".split())
+# Last words that do not change what a name says.
+LAYOUT = frozenset("container wrapper wrap box block bar list area left right top bottom inner outer".split())
+# Their ids are made from titles.
+SLUGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is never article text. ``inside``: it lies in an article."""
+def _never(tag: str, attributes: str, found: dict[str, str], inside: bool) -> bool:
+    """Whether an element is never article text, whatever it holds."""
     if tag in NEVER or tag == "header" and not inside:
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main", "h1"):
-        return False
-    found = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true":
         return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    for named in [*found.get("class", "").split(), found.get("id", "")]:
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) or re.search(r"display\s*:\s*none", found.get("style", "")))
+
+
+def _named_out(tag: str, found: dict[str, str], inside: bool) -> bool:
+    """Whether a class or the id, or its last word that is not of layout, names what is no article
+    text. What an element has, or has not, does not name it; nor does the id of a heading or section."""
+    ids = [] if tag in SLUGS else [found.get("id", "")]
+    for named in [*found.get("class", "").split(), *ids]:
         parts = [w.lower() for w in CLASS_WORD.findall(named)]
-        hit = [w in NAMES and not (inside and w == "header") for w in parts]
-        beside = OWN_NAMES.intersection(parts)
-        if any(hit) and (not beside or hit[-1] and not {"with", "has", "no"}.intersection(parts)):
+        if TELLS.intersection(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in LAYOUT:
+            parts.pop()
+        if parts and parts[-1] in NAMES and not (inside and parts[-1] == "header"):
             return True
     return False
 
@@ -97,8 +107,9 @@ class _Page:
 
     def __init__(self, source: str):
         # Open elements: tag, serial number, whether left out, the outermost article or main
-        # element around (0: none), and the outermost article element.
-        self.open: list[tuple[str, int, bool, int, int]] = []
+        # element around (0: none), the outermost article element, and the elements around that
+        # are left out by their names.
+        self.open: list[tuple[str, int, bool, int, int, tuple[int, ...]]] = []
         self.serial = 0
         self.blocks: list[dict] = []
         self.fresh = True
@@ -139,14 +150,20 @@ class _Page:
             self._text(" ")
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             return
-        _, _, out, inside, article = self.open[-1] if self.open else ("", 0, False, 0, 0)
+        _, _, out, inside, article, named = self.open[-1] if self.open else ("", 0, False, 0, 0, ())
         self.serial += 1
-        out = out or _left_out(tag, attributes, bool(inside))
+        if attributes.strip() and tag not in ("html", "body", "article", "main", "h1"):
+            found = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)}
+            out = out or _never(tag, attributes, found, bool(inside))
+            if not out and _named_out(tag, found, bool(inside)):
+                named = (*named, self.serial)
+        else:
+            out = out or _never(tag, "", {}, bool(inside))
         if not out:
             own = tag == "article" or "articleBody" in attributes
             article = article or own * self.serial
             inside = inside or (own or tag == "main" or 'role="main"' in attributes) * self.serial
-        self.open.append((tag, self.serial, out, inside, article))
+        self.open.append((tag, self.serial, out, inside, article, named))
 
     def _close(self, tag: str, stop: tuple[str, ...]) -> None:
         """End the innermost open ``tag`` that is not above one of ``stop``."""
@@ -173,9 +190,9 @@ class _Page:
         if self.fresh and not text.strip():
             return
         if self.fresh:
-            _, _, _, inside, article = self.open[-1] if self.open else ("", 0, False, 0, 0)
+            _, _, _, inside, article, named = self.open[-1] if self.open else ("", 0, False, 0, 0, ())
             within = [s for t, s, *_ in self.open if t in HOLDS or s in (inside, article)]
-            self.blocks.append({"runs": [], "inside": inside, "article": article, "within": within})
+            self.blocks.append({"runs": [], "inside": inside, "article": article, "named": named, "within": within})
             self.fresh = False
         path = "/".join(t for t, *_ in self.open)
         self.blocks[-1]["runs"].append((path, text, any(t == "a" for t, *_ in self.open)))
@@ -202,12 +219,39 @@ def path_scores(blocks: list[dict]) -> dict[str, float]:
     return out
 
 
+def _content(scores: dict[str, float]) -> set[str]:
+    """The paths of content."""
+    least = CONTENT_SHARE * sum(scores.values()) / max(len(scores), 1)
+    return {p for p, s in scores.items() if s >= least}
+
+
+def _mass(block: dict, scores: dict[str, float], content: set[str]) -> float:
+    """Its text on content paths, each times its path's score."""
+    return sum(len(t.strip()) * scores[p] for p, t, _ in block["runs"] if p in content)
+
+
+def _unnamed(blocks: list[dict]) -> list[dict]:
+    """The blocks without those in elements left out by name. An element that holds most of the
+    page's mass on content paths is kept, whatever its name."""
+    if not any(b["named"] for b in blocks):
+        return blocks
+    scores = path_scores(blocks)
+    content = _content(scores)
+    held, total = defaultdict(float), 0.0
+    for b in blocks:
+        n = _mass(b, scores, content)
+        total += n
+        for serial in b["named"]:
+            held[serial] += n
+    return [b for b in blocks if all(held[serial] >= MAIN * total > 0 for serial in b["named"])]
+
+
 def _main_blocks(blocks: list[dict], scores: dict[str, float], content: set[str]) -> list[dict]:
     """The blocks of the element that is the main text."""
     size = lambda b: sum(len(t.strip()) for p, t, _ in b["runs"] if p in content)
     mass = defaultdict(float)
     for b in blocks:
-        mass[b["article"]] += sum(len(t.strip()) * scores[p] for p, t, _ in b["runs"] if p in content)
+        mass[b["article"]] += _mass(b, scores, content)
     main = max(mass, key=mass.get)
     clear = mass[main] >= MAIN * sum(mass.values())
     pool = [b for b in blocks if b["article"] == main] if clear else blocks
@@ -229,14 +273,13 @@ def main_text(source: str | None) -> str:
     """The article of one page."""
     if not source:
         return ""
-    blocks = _Page(source).blocks
+    blocks = _unnamed(_Page(source).blocks)
     if not blocks:
         return ""
     scores = path_scores(blocks)
     if not scores:
         return ""
-    least = CONTENT_SHARE * sum(scores.values()) / len(scores)
-    content = {p for p, s in scores.items() if s >= least}
+    content = _content(scores)
     kept = _main_blocks(blocks, scores, content)
     texts = []
     for b in kept:
