@@ -53,5 +53,49 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP12 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, regexp_extract_all(said, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS said FROM documents)
+),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+phrases AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS p, count(*) AS f
+  FROM pieces, unnest([1, 2, 3, 4]) AS s(k), unnest(generate_series(1, len(w) - k + 1)) AS t(i) GROUP BY lang, k, p HAVING count(*) >= 30
+),
+split AS (
+  SELECT lang, k, p, f AS a, j, list_slice(p, 1, j) AS head, list_slice(p, j + 1, k) AS rest
+  FROM phrases, unnest([1, 2, 3]) AS s(j) WHERE j < k
+),
+cuts AS (
+  SELECT split.*, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM split JOIN phrases x ON x.lang = split.lang AND x.p = split.head JOIN phrases y ON y.lang = split.lang AND y.p = split.rest
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+around AS (
+  SELECT lang, list_slice(p, i, i + m - 1) AS p, max(f) AS f
+  FROM phrases, unnest([2, 3]) AS s(m), unnest(generate_series(1, k - m + 1)) AS t(i) WHERE m < k GROUP BY ALL
+),
+ranked AS (
+  SELECT lowest.lang, array_to_string(lowest.p, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, encode(array_to_string(lowest.p, ' '))) AS rank
+  FROM lowest LEFT JOIN around ON around.lang = lowest.lang AND around.p = lowest.p
+  WHERE around.f IS NULL OR 100 * around.f < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+OP13 = f"""
+WITH lines AS (
+  SELECT doc_id, line, place, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents)
+),
+owners AS (SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN owners USING (key) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": OP1, "op9_phrase_index": OP9}
+    return {"op1_warc_fixity": OP1, "op9_phrase_index": OP9, "op12_itemset_phrases": OP12, "op13_line_runs": OP13}
