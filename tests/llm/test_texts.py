@@ -256,6 +256,42 @@ def test_ratio_matches_counting(spark):
         assert r.kept == (r.doc_id < 100)
 
 
+def test_filters_on_long_texts(spark):
+    """Nothing is worked out anew below a filter, whichever column it is on."""
+    text = " ".join(f"word{i % 900} and{i % 7}" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text), (2, "few")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    judged = ngram_ratio.judged(docs, labels)
+    assert judged.filter("kept").count() + judged.filter("not kept").count() == 2
+    assert [r.doc_id for r in judged.filter("n_repeat_words > 10 and n_words > 10").collect()] == [1]
+    bench = spark.createDataFrame([(1, text[:3000])], "item_id bigint, text string")
+    assert [r.doc_id for r in phrase_index.judged(docs, bench).filter("contaminated and n_hit > 5").collect()] == [1]
+
+
+def test_classifier_probabilities_hold(spark):
+    """On labels it has not seen, a view's sure calls are right as often as it says."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    found = co_training.judged(docs, labels.filter(~held_out)).join(labels.filter(held_out), "doc_id").toPandas()
+    for view in ("p_text", "p_meta"):
+        good = found[view].to_numpy()
+        sure = (good >= co_training.SURE) | (good <= 1 - co_training.SURE)
+        right = (good[sure] >= 0.5) == (found.quality[sure] == 1)
+        assert not len(right) or right.mean() >= co_training.SURE - 0.03
+        # The mean probability is near the share of good documents.
+        assert abs(good.mean() - (found.quality == 1).mean()) < 0.08
+
+
+def test_kept_rows(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = co_training.kept_rows(plain, labels)
+    assert kept.columns == plain.columns
+    want = co_training.judged(plain, labels).filter("kept").select(plain.columns)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_rules_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert ngram_ratio.judged(empty.select("doc_id", "text"), none).count() == 0
@@ -340,6 +376,67 @@ def test_names_do_not_drop_content(source):
     assert tag_paths.main_text(f"<body>{source}</body>") == f"T {LONG_TEXT}"
 
 
+@pytest.mark.parametrize(
+    "aside",
+    [
+        f"<section id='comments'>{LONG * 5}</section>",
+        f"<section id='comment-list'>{LONG}</section>",
+        f"<div class='comment-body'>{LONG}</div><div class='comment-text'>{LONG}</div>",
+        f"<div class='comments'>{LONG * 6}</div>",
+        f"<div id='comments'>{'<article class=comment>' + LONG + '</article>'}</div>",
+        f"<div class='footer'>{LONG * 6}</div>",
+        f"<div class='footer-inner-text'>{LONG}</div>",
+        f"<div class='ad-slot'>{LONG}</div><div class='sponsored-content'>{LONG * 4}</div>",
+        f"<p class='ad'>{PROSE}</p><p class='sponsored'>{PROSE}</p>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<article><h2>T</h2>{}</article>{}", "<div id=content><h2>T</h2>{}</div>{}", "<main><h2>T</h2>{}{}</main>"])
+def test_asides_of_any_size(page, aside):
+    assert tag_paths.main_text(f"<body>{page.format(LONG, aside)}</body>") == f"T {LONG_TEXT}"
+
+
+def test_paragraphs_of_the_article_stay():
+    body = f"<h2>T</h2><p class='form'>{PROSE}</p><p class='search'>{PROSE}</p><p title='a hidden gem'>{PROSE}</p>{LONG}"
+    assert tag_paths.main_text(f"<article>{body}</article>") == f"T {PROSE} {PROSE} {PROSE} {LONG_TEXT}"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div><p>Some text, here.</p>" * 8000,
+        "<a x='" * 40_000,
+        "<a x='" * 40_000 + ">",
+        "<a " * 60_000 + "'",
+        "<p " + "a" * 200_000 + ">text",
+        "<div class=ad>" * 8000 + "text",
+        "<div>" * 8000 + "</b>" * 8000 + "text</span>" * 2000,
+        "<b>" * 8000 + "<li>x" * 2000,
+        "<!-" * 50_000,
+        "<p>" + "&amp" * 50_000,
+    ],
+)
+def test_hostile_pages_in_linear_time(source):
+    import time
+
+    begin = time.process_time()
+    tag_paths.main_text(source)
+    assert time.process_time() - begin < 2
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<p title='a > b'>one</p><p title=\"it's\">two</p>", "one two"),
+        ("<p title='never closed>one</p><p>two</p>", "one two"),
+        ("1 < 2 and <3", "1 < 2 and <3"),
+        ("<p>a<!-- > -->b<![CDATA[ > ]]>c<!doctype x>d", "abcd"),
+        ("<p>a <a b", "a <a b"),
+    ],
+)
+def test_markup_as_it_stands(source, text):
+    assert tag_paths.main_text(source) == text
+
+
 def test_equal_articles_stay():
     assert tag_paths.main_text(f"<body><div><article>{LONG}</article><article>{LONG}</article></div></body>") == f"{LONG_TEXT} {LONG_TEXT}"
 

@@ -15,7 +15,7 @@ are null. Repeated rows stay. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial, reduce
 from itertools import combinations
 
@@ -275,14 +275,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     return marked.join(small(members), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[..., DataFrame] = near_duplicates, **settings
-) -> DataFrame:
-    """The rows of ``docs`` with one row of each component of ``grouped``: the one with the least
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the one with the least
     id, of equal ids the one with the least text. A component whose ids are all null keeps one
     row too."""
     spread = docs.select(F.struct(F.col(id_col), F.coalesce(F.md5(text_col), F.lit(""))).alias("doc_id"), F.col(text_col).alias("text"))
-    found = grouped(spread, **settings)
+    found = near_duplicates(spread, **settings)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("copies_"))
     kept = stored(kept.select(F.col(f"doc_id.{id_col}").alias("id_"), F.col("doc_id.col2").alias("key_"), "copies_"), "kept")
     keyed = docs.withColumn("key_", F.coalesce(F.md5(text_col), F.lit("")))

@@ -23,11 +23,13 @@ no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,40 +58,49 @@ WORDS = ["w1", "w2", "w3", "w4"]
 # Shards ------------------------------------------------------------------------------------
 
 
+class _Hashes(dict):
+    """Hashes by word, worked out when first asked for. The first ``REMEMBERED`` words are kept;
+    ``new`` holds those worked out since it was taken."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        known = self.new[word] = xxhash.xxh64_intdigest(word) or 1
+        if len(self) < REMEMBERED:
+            self[word] = known
+        return known
+
+    def taken(self) -> dict[bytes, int]:
+        new, self.new = self.new, {}
+        return new
+
+
 def _shards(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        known, row = {}, 0
+        hashes, row = _Hashes(), 0
         cut = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
         for batch in batches:
-            ids, met = [], {}
+            flat, ends = array("Q"), [0]
             for text in batch.column("text").to_pylist():
-                flat = []
                 for piece in (text or "").encode().lower().translate(cut).split(b"\n"):
                     words = piece.split()
-                    if not words:
-                        continue
-                    for w in words:
-                        h = known.get(w)
-                        if h is None:
-                            h = met.get(w)
-                            if h is None:
-                                h = met[w] = xxhash.xxh64_intdigest(w) or 1
-                        flat.append(h)
-                    flat.append(0)
-                ids.append(np.array(flat, np.uint64).view(np.int64))
-            n = len(ids)
+                    if words:
+                        flat.extend(map(hashes.__getitem__, words))
+                        flat.append(0)
+                ends.append(len(flat))
+            n = batch.num_rows
             numbers = (np.arange(row, row + n) % shards).astype(np.int32)
             row += n
             # The spelling of words met for the first time is a row of its own.
-            spelled = pa.array([None] * n + [[w.decode() for w in met]], pa.list_(pa.string()))
-            ids.append(np.array(list(met.values()), np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+            new = hashes.taken()
+            flat.extend(new.values())
+            ends.append(len(flat))
+            spelled = pa.array([None] * n + [[w.decode() for w in new]], pa.list_(pa.string()))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int64)))
             lang = pa.array([x if x is not None else UNKNOWN for x in batch.column("lang").to_pylist()] + [None], pa.string())
             yield pa.RecordBatch.from_arrays([lang, lists, spelled, pa.array(np.r_[numbers, np.int32(-1)], pa.int32())], ["lang", "ids", "spelled", "shard"])
-            if len(known) < REMEMBERED:
-                known.update(met)
 
     return run
 
@@ -144,11 +155,22 @@ def _occurrences(words: np.ndarray, seeds: np.ndarray, lang: np.ndarray, reached
         yield [c[first] for c in columns] + [active[here][first], (key[here][first] >> shift).astype(np.int64), n]
 
 
+def packed(*arrays: np.ndarray) -> tuple[bytes, ...]:
+    """Arrays of bytes, mostly zeros while a corpus is small, compressed."""
+    import zstandard
+
+    return tuple(zstandard.ZstdCompressor(level=1).compress(a.tobytes()) for a in arrays)
+
+
+def unpacked(parts: tuple[bytes, ...]) -> list[np.ndarray]:
+    import zstandard
+
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in parts]
+
+
 def _count(arrays, step: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        reached, admitted = arrays.value
+        reached, admitted = unpacked(arrays.value)
         seeds = {}
         for batch in batches:
             begin = 0
@@ -184,7 +206,7 @@ def frequent_phrases(dealt: DataFrame, threshold: int = THRESHOLD, shards: int =
     held, done, last, step = None, [], 0, 0
     while True:
         step += 1
-        sent = spark.sparkContext.broadcast((reached, admitted))
+        sent = spark.sparkContext.broadcast(packed(reached, admitted))
         mine = dealt.filter(F.col("shard") == (step - 1) % shards).select("lang", "ids")
         seen = mine.mapInArrow(_count(sent, step, shards), _COUNTED).withColumns({"before": F.lit(0).cast("bigint"), "since": F.lit(None).cast("int")})
         both = seen if held is None else seen.unionByName(held)
@@ -197,7 +219,7 @@ def frequent_phrases(dealt: DataFrame, threshold: int = THRESHOLD, shards: int =
             "lang", *WORDS, (F.col("n") + F.col("before")).alias("n"), "before", F.coalesce("since", F.lit(step)).alias("since"), "active", "bucket"
         )
         state = stored(state, f"step-{step}")
-        sent.unpersist()
+        sent.destroy()
         over = F.col("since") + shards - 1 <= step
         done.append(state.filter(over & (F.col("n") >= threshold)).select("lang", *WORDS, "n"))
         held = state.filter(~over).select("lang", *WORDS, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("before"), "since", "active", "bucket")

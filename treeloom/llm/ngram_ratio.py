@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, constant_array, small, stored, table, words
+from .shared import BLANKS, constant_array, settled, small, stored, table, words
 
 BUCKETS = 1 << 17
 # Occurrences added to every bucket of both multinomials.
@@ -32,18 +32,15 @@ SYMBOLS = "#*$%&|<>"
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    and words_ for the steps that follow."""
+    and words_ (hashes of the words) for the steps that follow."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     w = F.col("words_")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
     none = F.array().cast("array<bigint>")
-    first = (
-        docs.withColumn("words_", words(F.col(text_col), BLANKS))
-        .withColumn("lines_", lines)
-        .withColumn("windows_", F.when(F.size(w) >= WINDOW, hashes).otherwise(none))
-    )
+    cut = docs.withColumns({"words_": hashed_words(F.col(text_col)), "lines_": lines})
+    first = settled(cut, ["words_", "lines_"]).withColumn("windows_", F.when(F.size(w) >= WINDOW, hashes).otherwise(none))
     # Windows in order of their hash stand beside their equals; texts without any skip this.
     pairs = F.sort_array(F.transform("windows_", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(F.array_distinct("windows_")) < F.size("windows_")
@@ -75,12 +72,16 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counted.withColumn("base_failed", failed)
 
 
+def hashed_words(text: Column) -> Column:
+    """A hash of each word: windows, words and pairs are all made of these."""
+    return F.transform(words(text, BLANKS), lambda w: F.xxhash64(w))
+
+
 def grams(w: Column) -> Column:
-    """The bucket of every word and of every pair of words."""
-    mask = F.lit(BUCKETS - 1)
-    bucket = lambda *parts: F.xxhash64(*parts).bitwiseAND(mask).cast("int")
+    """The bucket of every word and of every pair of words, from the words' hashes."""
+    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     ones = F.transform(w, lambda x: bucket(x))
-    twos = F.transform(w, lambda x, i: bucket(F.get(w, i - 1), x))
+    twos = F.transform(w, lambda x, i: bucket(F.xxhash64(F.get(w, i - 1), x)))
     return F.concat(ones, F.slice(twos, 2, F.greatest(F.size(w) - 1, F.lit(0))))
 
 
@@ -94,8 +95,8 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     one row for each bucket, so what reaches the driver never grows."""
     trusted = stored(trusted_ids(labels), "trusted")
     marked = docs.select(id_col, text_col).join(small(trusted), F.col(id_col) == F.col("trusted_"), "left")
-    # Words are a column of their own before they are used: a lambda would split the text anew for each word.
-    cut = marked.select(F.col("trusted_").isNotNull().cast("int").alias("t"), words(F.col(text_col), BLANKS).alias("words_"))
+    cut = marked.select(F.col("trusted_").isNotNull().cast("int").alias("t"), hashed_words(F.col(text_col)).alias("words_"))
+    cut = settled(cut, ["words_"])
     # An inner explode would be given a filter on its size, which works the grams out twice.
     each = cut.select("t", F.explode_outer(grams(F.col("words_"))).alias("bucket"))
     counts = each.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toPandas()
@@ -115,10 +116,11 @@ def judged(
     are those of all of ``docs``; each verdict is worked out within its row."""
     table_ = constant_array(weights(docs, labels, id_col, text_col))
     base = base_counts(docs, id_col, text_col).withColumn("grams_", grams(F.col("words_")))
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     total = F.aggregate("grams_", F.lit(0).cast("bigint"), lambda acc, g: acc + F.get(table_, g))
     mean = F.floor(total / F.greatest(F.size("grams_"), F.lit(1)))
     scored = base.withColumn("score", mean).drop("words_", "grams_")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return settled(scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)), made)
 
 
 def op5_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import NON_WORDS, ascii_lower, small, stored, table, words
+from .shared import NON_WORDS, ascii_lower, settled, small, stored, table, words
 
 WIDTH = 10
 ANCHORS = 2
@@ -98,13 +98,15 @@ def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     hits = both.withColumn("hits_", exact)
     covered = F.flatten(F.transform("hits_", lambda c: F.sequence(c["start"], c["start"] + F.size(c["terms"]) - 1)))
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("hits_", lambda c: c["items"]))))
-    return hits.select(
+    made = ["n_words", "n_hit", "hit_items", "contaminated"]
+    found = hits.select(
         *docs.columns,
         F.size("words_").cast("bigint").alias("n_words"),
         F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"),
         items.alias("hit_items"),
         (F.size("hits_") > 0).alias("contaminated"),
     )
+    return settled(found, made)
 
 
 def proximity_matches(

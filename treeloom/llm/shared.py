@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import settled  # noqa: F401
 from ..session import fresh_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,15 +61,6 @@ def where_found(df: DataFrame, flag: str) -> DataFrame:
     return numbered.filter(F.col(flag) & (F.col("row_") >= 0)).drop("row_")
 
 
-def settled(df: DataFrame, made: list[str]) -> DataFrame:
-    """``df`` with its columns ``made`` worked out once in each row. They become fields of one
-    value that nothing may be pushed below, so that a filter on them is not worked out anew
-    inside the expressions they were made by."""
-    once = F.when(F.monotonically_increasing_id() >= 0, F.struct(*made)).alias("made_")
-    held = df.select(*[c for c in df.columns if c not in made], once)
-    return held.select(*[F.col("made_")[c].alias(c) if c in made else F.col(c) for c in df.columns])
-
-
 def least_count(counted: DataFrame, most: int, n: str = "n") -> int:
     """The least number of occurrences that no more than ``most`` rows of ``counted`` reach,
     from a histogram over eighths of powers of two: at most 512 rows reach the driver."""

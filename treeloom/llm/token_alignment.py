@@ -45,8 +45,8 @@ from .shared import least_count, stored, table
 HEAD = 400_000
 # Bytes of text aligned at once, blocks a worker keeps, links made at once, and links from which
 # a group is collapsed.
-TOGETHER = 1 << 21
-REMEMBERED = 400_000
+TOGETHER = 1 << 20
+REMEMBERED = 250_000
 LINKS = 1 << 22
 LARGE = 64
 # One token of both vocabularies, with the blank before it.
