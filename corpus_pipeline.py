@@ -1,5 +1,4 @@
-"""The corpus pipeline: five stages over ``documents``, each one of the pipeline operators;
-the near-duplicates have settings and fingerprints of their own (``similar``).
+"""The corpus pipeline: five stages over ``documents``, each one of the pipeline operators.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as
 Parquet in the shared folder and reads it again as the next stage's input. All stages but the
@@ -12,35 +11,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import bk_trees, co_training, ngram_ratio, phrase_index, similar, two_fit
-from treeloom.llm.shared import put_back, set_apart, table, where_found
+from treeloom.llm import bk_trees, co_training, ngram_ratio, phrase_index, two_fit
+from treeloom.llm.shared import put_back, set_apart, table
 from treeloom.session import fresh_folder
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality classifier keeps."""
     held, columns, names = set_apart(docs)
-    return put_back(where_found(co_training.judged(held, table(spark, sf_dir, "labels"), columns), "kept"), names)
+    return put_back(co_training.kept_rows(held, table(spark, sf_dir, "labels"), columns), names)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality rules keep; the statistics are those of this stage's own input."""
     held, columns, names = set_apart(docs)
     found = ngram_ratio.judged(held, table(spark, sf_dir, "labels"), columns["doc_id"], columns["text"])
-    return put_back(where_found(found, "kept"), names)
+    return put_back(found.filter("kept"), names)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: five-word similarity of 0.8 or more."""
+    """Keep one document of each group whose fingerprints link, by the operator's own shingles and radius."""
     held, columns, names = set_apart(docs)
-    return put_back(bk_trees.one_of_each(held, columns["doc_id"], columns["text"], similar.near_duplicates), names)
+    return put_back(bk_trees.one_of_each(held, columns["doc_id"], columns["text"]), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
     held, columns, names = set_apart(docs)
     found = phrase_index.judged(held, table(spark, sf_dir, "benchmark"), columns["doc_id"], columns["text"])
-    return put_back(where_found(found.withColumn("clean", ~found["contaminated"]), "clean"), names)
+    return put_back(found.filter(~found["contaminated"]), names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
