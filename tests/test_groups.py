@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from treeloom.fixed_values import ENGINE_COLUMN
 from treeloom.functions.numbers import iso_millis
 from treeloom.operators import directories, files, ordering, renest, runs
-from treeloom.operators.dispatch import Dialects
+from treeloom.operators.dispatch import Dialects, file_results, json_results, line_results, markup_results
 from treeloom.operators.line_trees import line_nodes
+from treeloom.sinks.writers import write_fragments
+from treeloom.sources.trees import pieces_in_order
 
 
 def test_row_numbers_of_a_group_spread_over_ranges(spark):
@@ -106,7 +108,7 @@ def test_response_pieces_make_one_document(spark):
     m = measured(spark).select("repo", "file_path", F.when(F.col("status") == "ok", '{"type":"program"}').alias("ast"),
                                F.when(F.col("status") != "ok", "bad").alias("error"))
     run = spark.range(1).select(F.lit("r").alias("repo"), iso_millis(F.lit("2024-01-01").cast("timestamp")).alias("timestamp"), F.lit('{"files":4}').alias("benchmark"))
-    pieces = renest.response_fragments(m, run).orderBy("place").collect()
+    pieces = renest.response_fragments(m, run).orderBy("place", "seq").collect()
     body = json.loads("".join(p.fragment for p in pieces))
     root = body["nodes"][0]
     assert body["benchmark"] == {"files": 4} and body["timestamp"] == "2024-01-01T00:00:00.000Z"
@@ -116,19 +118,52 @@ def test_response_pieces_make_one_document(spark):
         "type": "file", "name": "d.es", "filePath": "src/b/d.es", "error": "bad"}
 
 
-def test_dispatch_drops_what_has_no_builder(spark):
-    df = spark.createDataFrame([("r", "a", ".txt", "x y"), ("r", "b", ".bin", "z")], "repo string, file_path string, ext string, content string")
-    nodes = Dialects().register("lines", [".txt"], lambda f: line_nodes(f, keys=("repo", "file_path"))).nodes(df)
-    assert {r.file_path for r in nodes.collect()} == {"a"}
+RESULTS = "repo string, file_path string, ext string, content string, status string, error string"
+
+
+def test_every_file_has_a_result(spark):
+    rows = [
+        ("r", "a", ".txt", "x y", "ok", None), ("r", "b", ".bin", "z", "ok", None), ("r", "c", ".json", '{"type":"a","children":[{"type":"b"}]}', "ok", None),
+        ("r", "d", ".json", "broken {", "ok", None), ("r", "e", ".c", " Dump(\n ", "ok", None), ("r", "f", ".c", '{"error":"x"}', "ok", None),
+        ("r", "g", ".html", "no tags", "ok", None), ("r", "h", ".json", "5", "ok", None), ("r", "i", ".txt", None, "error", "unread"), ("r", "j", ".json", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, RESULTS)
+    dialects = Dialects().register("lines", [".txt"], line_results).register("markup", [".html"], markup_results)
+    dialects = dialects.register("json", [".json"], json_results()).register("c", [".c"], json_results(strict=False))
+    found = dialects.results(df, ["repo", "file_path"])
+    got = {r.file_path: (r.status, r.nodes, r.max_depth) for r in file_results(found, ["file_path"]).collect()}
+    assert got == {
+        "a": ("ok", 4, 3), "c": ("ok", 2, 2), "d": ("error", 0, 0), "e": ("ok", 1, 1), "f": ("ok", 1, 1), "g": ("ok", 0, 0), "h": ("ok", 0, 0),
+        "i": ("error", 0, 0), "j": ("error", 0, 0)}
+    assert {r.file_path: r.error for r in found.filter("error is not null").collect()} == {"d": "the dump is not JSON", "i": "unread", "j": "the dump is not JSON"}
+    assert [r.text for r in found.filter("file_path = 'e'").collect()] == ["Dump("]
+    nodes = dialects.nodes(df, ["repo", "file_path"])
+    assert nodes.count() == 8 and "status" not in nodes.columns
+
+
+def test_answer_with_trees(spark, tmp_path):
+    """Folders and nodes in one text, read back in order; a repeated path counts once."""
+    rows = [("r", f"d{i % 3}/f{i}.txt", f"word{i} and\nmore", "bad" if i == 4 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "repo string, file_path string, content string, error string")
+    nodes = line_nodes(df.filter("error is null"))
+    run = spark.range(1).selectExpr("'r' repo", "'t' timestamp", "'{}' benchmark")
+    answer = df.selectExpr("repo", "file_path", "cast(null as string) ast", "error")
+    pieces = renest.response_fragments(answer.unionByName(answer.filter("error is not null")), run, nodes)
+    write_fragments(pieces, ["repo", "place", "seq"], str(tmp_path / "out"))
+    back = pieces_in_order(spark, str(tmp_path / "out"), "repo").orderBy("position").collect()
+    assert [r.position for r in back] == list(range(1, len(back) + 1))
+    body = json.loads("".join(r.fragment for r in back))
+    files_ = {c["filePath"]: c for d in body["nodes"][0]["children"] for c in d["children"]}
+    assert set(files_) == {r[1] for r in rows} and files_["d1/f4.txt"]["error"] == "bad"
+    first = files_["d0/f0.txt"]["ast"]
+    assert first["type"] == "document" and [t["text"] for t in first["children"][0]["children"]] == ["word0", "and"]
 
 
 def test_written_pieces_are_the_document(spark, tmp_path):
-    from treeloom.sinks.writers import write_fragments
-
     names = [("r", f"d{i % 7}/f{i}.py") for i in range(300)]
     f = spark.createDataFrame(names, "repo string, file_path string").selectExpr("*", "'{}' ast", "cast(null as string) error")
     run = spark.range(1).selectExpr("'r' repo", "'t' timestamp", "'{}' benchmark")
-    write_fragments(renest.response_fragments(f, run), ["repo", "place"], str(tmp_path / "out"))
+    write_fragments(renest.response_fragments(f, run), ["repo", "place", "seq"], str(tmp_path / "out"))
     parts = sorted((tmp_path / "out" / "repo=r").glob("part-*"))
     body = json.loads("".join(p.read_text() for p in parts))
     folders = body["nodes"][0]["children"]

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from treeloom.fixed_values import ENGINE_COLUMN, HISTORY_DDL
 from treeloom.operators import files, json_trees
 from treeloom.sinks import writers
-from treeloom.sources import archives, trees
+from treeloom.jobs.analyse import Analysis
+from treeloom.operators.dispatch import Dialects, json_results, line_results
+from treeloom.sources import archives, trees, walk
+from treeloom.sources.layout import dealt_by_bytes
 from treeloom.streaming import ingest
 
 
@@ -142,3 +145,97 @@ def test_damaged_encrypted_and_vanished_entries(spark, tmp_path):
     assert "damaged" in read["bad.js"][1] and "encrypted" in read["locked.js"][1]
     gone = entries.withColumn("archive", F.concat("archive", F.lit(".gone")))
     assert all(r.content is None and r.error for r in archives.entry_contents(gone).collect())
+
+
+def test_tasks_of_equal_bytes(spark):
+    """One long list of entries, one of them large: no task has more than its mark and a row."""
+    rows = [(f"a{i // 400}", i, 5_000_000 if i == 777 else 100 + i % 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "archive string, offset bigint, packed bigint")
+    dealt = dealt_by_bytes(df, "packed", ["archive", "offset"], 20_000)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.sum("packed").alias("bytes"), F.max("packed").alias("most"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in sizes) == 2000 and all(r.bytes - r.most < 20_000 for r in sizes)
+    small = [r for r in sizes if r.most < 1000]
+    mean = sum(r.bytes for r in small) / len(small)
+    assert max(r.bytes for r in small) < 2 * mean
+    # The number of tasks follows the bytes.
+    assert dealt_by_bytes(df, "packed", ["archive", "offset"], 200_000).rdd.getNumPartitions() < dealt.rdd.getNumPartitions()
+    assert dealt_by_bytes(df.limit(0), "packed", ["archive", "offset"], 20_000).count() == 0
+
+
+def test_walk_sees_directories(spark, tmp_path):
+    root = tmp_path / "dist"  # the root's own name is never pruned
+    for name in ("a.py", "lib/b.py", "node_modules/c.py", "lib/dist", "deep/er/and/e.txt", "bare/.git/x"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"text of {name}")
+    (root / "hollow/inner").mkdir(parents=True)
+    (root / "bad.py").write_bytes(b"\xffz")
+    walked = walk.walk(spark, str(root))
+    dirs = {r.path: r.entries for r in walked.filter("is_dir").collect()}
+    assert dirs == {"lib": 1, "deep": 1, "deep/er": 1, "deep/er/and": 1, "bare": 0, "hollow": 1, "hollow/inner": 0}
+    assert {r.dir_path for r in walk.empty_directories(walked).collect()} == {"bare", "hollow/inner"}
+    found = {r.path: r.content for r in walk.contents(walked, str(root)).collect()}
+    assert found == {"a.py": "text of a.py", "lib/b.py": "text of lib/b.py", "deep/er/and/e.txt": "text of deep/er/and/e.txt", "bad.py": "\ufffdz"}
+    assert {r.path for r in walk.contents(walked, str(root), [".txt"]).collect()} == {"deep/er/and/e.txt"}
+    (root / "a.py").unlink()
+    gone = {r.path: r.error for r in walk.contents(walked, str(root)).collect()}
+    assert gone["a.py"].startswith("FileNotFoundError") and gone["bad.py"] is None
+    assert walk.walk(spark, str(root / "hollow" / "inner")).count() == 0
+
+
+def test_written_files_come_back(spark, tmp_path):
+    rows = [("a/b.txt", "one\ntwo"), ("a/empty.txt", ""), ("hollow", None)]
+    df = spark.createDataFrame(rows, "file_path string, content string")
+    for _ in range(2):
+        assert {r.file_path: r.bytes for r in writers.write_files(df, str(tmp_path / "out")).collect()} == {"a/b.txt": 7, "a/empty.txt": 0, "hollow": 0}
+    walked = walk.walk(spark, str(tmp_path / "out"))
+    assert {r.path: r.content for r in walk.contents(walked, str(tmp_path / "out")).collect()} == {"a/b.txt": "one\ntwo", "a/empty.txt": ""}
+    writers.write_dumps(df.withColumn("language", F.lit("x")), str(tmp_path / "dumps"))
+    assert {r.file_path: r.content for r in trees.read_dumps(spark, str(tmp_path / "dumps")).collect()} == dict(rows)
+
+
+def test_newest_archive_replaces_the_older(spark, tmp_path):
+    landing, out, state = str(tmp_path / "landing"), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def upload(day, name, age, *entries):
+        os.makedirs(f"{landing}/{day}", exist_ok=True)
+        path = f"{landing}/{day}/{name}.zip"
+        make_zip(path, [(e, "x", zipfile.ZIP_STORED) for e in entries])
+        stat = os.stat(path)
+        os.utime(path, (stat.st_atime, stat.st_mtime - age))
+
+    def summarise(batch):
+        return archives.archive_to_files(batch).groupBy("repo").agg(F.count("*").alias("files"))
+
+    def held():
+        ingest.ingest_newest(spark, landing, out, state, summarise)
+        return {r.repo: r.files for r in ingest.read_newest(spark, out).select("repo", "files").collect()}
+
+    upload("d1", "one", 1000, "a.py", "b.py")
+    upload("d1", "two", 1000, "a.py")
+    assert held() == {"one": 2, "two": 1}
+    assert held() == {"one": 2, "two": 1}
+    upload("d2", "one", 500, "a.py", "b.py", "c.py")
+    assert held() == {"one": 3, "two": 1}
+    # An older one that arrives late changes nothing; one without files leaves none.
+    upload("d3", "one", 900, "z.py")
+    upload("d3", "two", 100, "dist/a.py")
+    assert held() == {"one": 3}
+
+
+def test_analysis_counts_every_file_once(spark, landing):
+    make_zip(landing + "/two.zip", [("t.json", '{"type":"a","children":[{"type":"b"}]}', zipfile.ZIP_STORED), ("u.json", "broken", zipfile.ZIP_STORED), ("e.py", "", zipfile.ZIP_STORED)])
+
+    def measure(found):
+        return found.selectExpr("*", "timestamp'2024-01-01' ts", "2000000L parse_ns", "5000000L total_ns", "1048576L rss_bytes", "0L heap_bytes")
+
+    dialects = Dialects().register("lines", [".js", ".py"], line_results).register("json", [".json"], json_results())
+    job = Analysis(landing + "-job", "generic", dialects, measure)
+    for _ in range(2):
+        job.run(archives.archive_files(spark, landing), 7)
+    found = {(r.repo, r.file_path): (r.status, r.loc, r.nodes, r.max_depth) for r in job.files(spark).collect()}
+    assert found == {
+        ("one", "src/a.js"): ("ok", 2, 6, 3), ("one", "src/bad.py"): ("ok", 1, 3, 3), ("two", "t.json"): ("ok", 1, 2, 2),
+        ("two", "u.json"): ("error", 1, 0, 0), ("two", "e.py"): ("ok", 0, 1, 1)}
+    lines = {(r.repo, r.language): (r.files, r.loc, r.nodes, r.parse_sec) for r in trees.read_history(spark, job.folder("history")).collect()}
+    assert lines == {("one", "javascript"): (1, 2, 6, 0.002), ("one", "python"): (1, 1, 3, 0.002), ("two", ".json"): (2, 2, 2, 0.002), ("two", "python"): (1, 0, 1, 0.002)}
+    assert trees.read_runs(spark, job.folder("runs")).count() == 2

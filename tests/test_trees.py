@@ -7,8 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from treeloom.fixed_values import OUTLINE_CLASS_BY_KIND
-from treeloom.functions import json_scan
-from treeloom.operators import dump_trees, json_trees, line_trees, markup_trees, renest, tree_stats
+from treeloom.operators import dump_trees, json_trees, line_trees, markup_trees, outlines, renest, tree_stats
 
 KEYS = ["repo", "file_path"]
 
@@ -21,6 +20,10 @@ def parsed(spark, *trees):
     return json_trees.parse_or_raw(files(spark, *[json.dumps(t) for t in trees]))
 
 
+def outlined(trees, **settings):
+    return outlines.outline(json_trees.node_arrays(trees), KEYS, OUTLINE_CLASS_BY_KIND, **settings)
+
+
 def leaf(kind, text, **more):
     return {"type": kind, "isNamed": True, "text": text, **more}
 
@@ -111,7 +114,7 @@ def test_named_only_skips_the_subtree(spark):
 
 
 def test_outline(spark):
-    rows = json_trees.outline(parsed(spark, CLASS), OUTLINE_CLASS_BY_KIND).orderBy("node_id").collect()
+    rows = outlined(parsed(spark, CLASS)).orderBy("node_id").collect()
     assert [(r["class"], r["name"], r["outline_parent_id"]) for r in rows] == [
         ("CLASS", "Shape", None), ("METHOD", "area", 2), ("METHOD", "anonymous", 2), ("METHOD", "y", None)]
     assert (rows[0].start_line, rows[0].end_line, rows[0].end_col) == (1, 8, 1)
@@ -181,24 +184,85 @@ def test_long_text(spark):
 JSON_TEXT = st.text('{}[]:,"\\01-.eE+ntruefalsk \n', max_size=12) | JSON_VALUES.map(json.dumps)
 
 
-@settings(max_examples=2000, deadline=None)
-@given(JSON_TEXT)
-def test_what_is_json(text):
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(JSON_TEXT, min_size=500, max_size=500))
+def test_what_is_json(spark, texts):
     def refuse(_):
         raise ValueError
 
-    try:
-        json.loads(text, parse_constant=refuse)
-        valid = True
-    except ValueError:
-        valid = False
-    assert json_scan.root_of(text)[0] == valid
+    def valid(text):
+        try:
+            json.loads(text, parse_constant=refuse)
+            return True
+        except ValueError:
+            return False
+
+    read = json_trees.parse_or_raw(files(spark, *texts)).collect()
+    assert {int(r.file_path): r.status != "raw" for r in read} == {i: valid(t) for i, t in enumerate(texts)}
+
+
+def test_strings_of_any_spelling(spark):
+    said = 'quote " back \\ \n é 漢 \u0001 😀' + "\\\"" * 5000
+    trees = [leaf("x", said), {"t\u0079pe": "k", "children": []}]
+    texts = [json.dumps(trees[0]), json.dumps(trees[0], ensure_ascii=False), '{"t\\u0079pe":"k\\u00e9"}']
+    rows = json_trees.json_nodes(json_trees.parse_or_raw(files(spark, *texts))).orderBy("file_path").collect()
+    assert [r.text for r in rows[:2]] == [said, said] and rows[2].kind == "ké"
+
+
+def test_only_the_tree_is_walked(spark):
+    """Objects elsewhere are no nodes, wherever children are listed; the last of equal keys counts."""
+    text = '{"meta":{"children":[{"type":"no"}]},"type":"a","type":"b","children":[{"type":"c","extra":[{"type":"no"}]},5,null,[{"type":"no"}]]}'
+    rows = json_trees.json_nodes(json_trees.parse_or_raw(files(spark, text))).orderBy("node_id").collect()
+    assert [(r.kind, r.depth, r.parent_kind) for r in rows] == [("b", 1, None), ("c", 2, "b")]
+
+
+def nested_outline(node, out):
+    """The outline by a plain recursion."""
+    here = out
+    if node["type"] in OUTLINE_CLASS_BY_KIND:
+        kids = node.get("children", [])
+        named = [k for k in kids if k.get("fieldName") == "name"] or [k for k in kids if k["type"] in ("identifier", "type_identifier")]
+        zero = {"line": 0, "col": 0}
+        item = {
+            "type": OUTLINE_CLASS_BY_KIND[node["type"]],
+            "name": named[0].get("text") if named else "anonymous",
+            "range": node.get("range", {"start": zero, "end": zero}),
+            "children": [],
+        }
+        out.append(item)
+        here = item["children"]
+    for child in node.get("children", []):
+        nested_outline(child, here)
+    return out
+
+
+KINDS = ["class_declaration", "method_definition", "block", "interface_declaration", "identifier"]
+TREES = st.recursive(
+    st.sampled_from(KINDS).map(lambda k: leaf(k, k[:2])),
+    lambda inner: st.builds(lambda k, c: {"type": k, "isNamed": True, "children": c}, st.sampled_from(KINDS[:4]), st.lists(inner, min_size=1, max_size=4)),
+    max_leaves=25,
+)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(TREES, min_size=30, max_size=30))
+def test_outline_documents_of_random_trees(spark, trees):
+    def leafy(node):
+        # A name that is no leaf is spelled by its leaves; keep the recursion above plain.
+        return [n for n in walk(node) if n[3] == "identifier" and not n[4]] == []
+
+    trees = [t for t in trees if leafy(t)]
+    arrays = json_trees.node_arrays(parsed(spark, *trees))
+    want = {str(i): nested_outline(t, []) for i, t in enumerate(trees)}
+    for each in (arrays, outlines.gathered(json_trees.json_nodes(parsed(spark, *trees)), KEYS)):
+        got = {r.file_path: json.loads(r.outline) for r in outlines.outline_documents(each, KEYS, OUTLINE_CLASS_BY_KIND).collect()}
+        assert got == want
 
 
 def test_name_that_is_not_a_leaf(spark):
     tree = {"type": "class_declaration", "children": [
         {"type": "path", "fieldName": "name", "children": [leaf("identifier", "a"), leaf("dot", "."), leaf("identifier", "b")]}]}
-    assert [r["name"] for r in json_trees.outline(parsed(spark, tree), OUTLINE_CLASS_BY_KIND).collect()] == ["a.b"]
+    assert [r["name"] for r in outlined(parsed(spark, tree)).collect()] == ["a.b"]
 
 
 def test_files_without_nodes_stay_in_the_totals(spark):
@@ -296,8 +360,7 @@ def test_renest_gives_the_tree_back(spark):
         return out
 
     nodes = json_trees.json_nodes(parsed(spark, CLASS, leaf("only", 'quote " \\ \n é')))
-    whole = {r.file_path: r.json for r in renest.nested_json(nodes, KEYS).collect()}
+    pieces = renest.json_fragments(nodes, KEYS).orderBy("file_path", "node_id").collect()
+    whole = {f: "".join(p.fragment for p in pieces if p.file_path == f) for f in "01"}
     assert json.loads(whole["0"]) == filled(CLASS)
     assert json.loads(whole["1"])["text"] == 'quote " \\ \n é'
-    parts = renest.nested_json(nodes, KEYS, part_nodes=3).filter("file_path = '0'").orderBy("part").collect()
-    assert len(parts) == 5 and "".join(p.json for p in parts) == whole["0"]

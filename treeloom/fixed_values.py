@@ -80,7 +80,7 @@ KIND_SPELLING_LINE = r"^\s*(.+?): '(.*)'$"
 
 # Columns of the run history and of a run record; the first is the column both
 # name an engine by.
-ENGINE_COLUMN = "parser"
+ENGINE_COLUMN = "engine"
 HISTORY_DDL = (
     f"timestamp STRING, {ENGINE_COLUMN} STRING, repo STRING, language STRING, files BIGINT, loc BIGINT, "
     "nodes BIGINT, max_depth INT, parse_sec DOUBLE, total_sec DOUBLE, "

@@ -146,3 +146,77 @@ def starts_of(lengths: pa.Array) -> pa.Array:
     row = np.repeat(np.arange(len(lengths), dtype=np.int64), np.diff(starts))
     placed = before[:-1] - before[starts[row]]
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(placed.astype(np.int32)))
+
+
+MARKED_TYPE = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("at", T.IntegerType()),  # index of a marked node, 0-based
+            T.StructField("up", T.IntegerType()),  # index of the nearest marked node around it
+            T.StructField("level", T.IntegerType()),  # marked nodes around it, itself included
+            T.StructField("first", T.BooleanType()),  # first of the marked nodes directly below the same one
+            T.StructField("closes", T.IntegerType()),  # marked nodes that end before the next one begins
+            T.StructField("name", T.IntegerType()),  # index of the child that names it
+            T.StructField("name_end", T.IntegerType()),  # index of the last node below that child
+        ]
+    )
+)
+
+
+def subtree_ends(level: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each node, given in preorder, the last node below it, or itself."""
+    n = len(level)
+    parent, end = _parents(level, row, np.ones(n, bool)), np.arange(n)
+    order = np.argsort(-level, kind="stable")
+    for here in np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if n else ():
+        here = here[parent[here] >= 0]
+        np.maximum.at(end, parent[here], end[here])
+    return end
+
+
+@F.arrow_udf(returnType=MARKED_TYPE)
+def nest_marked(levels: pa.Array, marks: pa.Array) -> pa.Array:
+    """The marked nodes of trees in preorder, nested among themselves. ``levels`` has every
+    node's depth; a mark is 1 for a marked node, plus 2 for a node that may name its parent, or
+    4 for one that does so before those."""
+    level, starts = _split(levels)
+    mark = _split(marks)[0]
+    n = len(level)
+    row = np.repeat(np.arange(len(levels), dtype=np.int64), np.diff(starts))
+    parent = _parents(level, row, np.ones(n, bool)) if n else level
+    marked = np.append(mark & 1 > 0, False)
+    up, deep = np.full(n + 1, -1), np.zeros(n + 1, np.int64)
+    order = np.argsort(level, kind="stable")
+    for here in np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if n else ():
+        above = parent[here]
+        up[here] = np.where(marked[above], above, up[above])
+        deep[here] = deep[above] + marked[here]
+    name = np.full(n + 1, -1)
+    for rank in (2, 4):
+        # The first such child is written last.
+        named = np.flatnonzero((mark & rank > 0) & (parent >= 0))[::-1]
+        name[parent[named]] = named
+    end = subtree_ends(level, row)
+    at = np.flatnonzero(marked[:n])
+    depth, line, local = deep[at], row[at], np.arange(n) - (starts[row] if n else 0)
+    last = np.ones(len(at), bool)
+    last[:-1] = line[1:] != line[:-1]
+    following = np.append(depth[1:], 1) if len(at) else depth
+    closes = np.where(last, depth, depth - following + 1)
+    # The first below a marked node comes right after it, and the first of a row has none.
+    first = np.ones(len(at), bool)
+    first[1:] = (line[1:] != line[:-1]) | (up[at][1:] == at[:-1])
+    place = lambda x: pa.array(np.where(x >= 0, local[np.maximum(x, 0)] if n else x, 0).astype(np.int32), mask=x < 0)
+    named = name[at]
+    fields = [
+        place(at),
+        place(up[at]),
+        pa.array(depth.astype(np.int32)),
+        pa.array(first),
+        pa.array(closes.astype(np.int32)),
+        place(named),
+        place(np.where(named >= 0, end[np.maximum(named, 0)] if n else named, -1)),
+    ]
+    structs = pa.StructArray.from_arrays(fields, names=MARKED_TYPE.elementType.names)
+    counts = np.bincount(line, minlength=len(levels)) if len(levels) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), structs)

@@ -1,8 +1,9 @@
 """Tree-shaped JSON to a node table, and plain-object statistics of any JSON.
 
-A dump is scanned once, inside its own row, whatever its length and depth
-(``functions/json_scan``): nothing is shuffled and a tree is never joined to itself. ``tree``
-columns hold the JSON text; one that is null or not JSON has no nodes.
+A dump is cut into pieces by one regular expression, inside its own row, whatever its length and
+depth (``functions/json_text``); pieces are nested by their codes (``functions/brackets``), and
+a node reads its fields from the pieces that hold them. Nothing is shuffled and a tree is never
+joined to itself. ``tree`` columns hold the JSON text; one that is null or not JSON has no nodes.
 """
 
 from __future__ import annotations
@@ -10,43 +11,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import ERROR_KIND, IDENTIFIER_KINDS, LINE_SHIFT, NAME_FIELD, NO_NAME
-from ..functions import json_scan
+from ..fixed_values import ERROR_KIND, LINE_SHIFT
+from ..functions import brackets, json_text
+from ..functions.once import settled
 from ..functions.text import trimmed
-from .node_table import as_nodes
+from .node_table import as_nodes, let
 
 KEYS = ("repo", "file_path")
 
 
+def _cut(files: DataFrame, text: str) -> DataFrame:
+    """``files`` with _pieces and their _codes; none of a missing text."""
+    cut = files.withColumn("_pieces", F.coalesce(json_text.pieces(F.col(text)), F.array().cast("array<string>")))
+    return settled(cut, ["_pieces"]).withColumn("_codes", json_text.codes(F.col("_pieces")))
+
+
 def parse_or_raw(files: DataFrame, text: str = "content") -> DataFrame:
     """Read tree dumps: ``tree`` where the text is JSON, else the trimmed text as ``raw_dump``.
 
     ``status`` is ``ok``; ``raw`` for text that is not JSON; ``error`` for a dump whose root
     only carries an error message; ``no_tree`` for JSON that is not an object.
     """
-    read = files.withColumn("_root", json_scan.root_status(F.col(text)))
+    read = _cut(files, text).withColumn("_root", brackets.tree_of("_codes"))
     valid = F.col("_root.valid")
     return read.select(
-        "*",
+        *files.columns,
         F.when(valid, F.col(text)).alias("tree"),
         F.when(~valid, trimmed(F.col(text))).alias("raw_dump"),
         F.when(~valid, "raw")
         .when(~F.col("_root.object"), "no_tree")
-        .when(F.col("_root.message") & ~F.col("_root.kind"), "error")
+        .when(F.col("_root.error") & ~F.col("_root.kind"), "error")
         .otherwise("ok")
         .alias("status"),
-    ).drop("_root")
+    )
 
 
-def _scanned(scan, tree: str) -> Column:
-    # Two uses keep a text that is made by nested lambdas in a projection of its own: merged
-    # into the call, it would keep the planner from handing the call to Python.
-    return F.when(F.col(tree).isNotNull(), scan(F.col(tree)))
+def _whole(value: Column) -> Column:
+    """A position as a whole number; null if it is none."""
+    return F.coalesce(value.try_cast("int"), value.try_cast("double").try_cast("int"))
 
 
-def _exploded(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    # An inner explode would be given a filter on its size, which scans every text twice.
-    return found.select(*keys, F.explode_outer("_found").alias("_n")).select(*keys, "_n.*").filter(F.col("node_id").isNotNull())
+def node_arrays(
+    trees: DataFrame, tree: str = "tree", keys: tuple[str, ...] = KEYS, named_only: bool = False, others: tuple[str, ...] = ()
+) -> DataFrame:
+    """``keys``, ``others``, valid (whether the text is JSON) and ``nodes``: an array of a dump's
+    nodes in preorder, with the columns of the node table that JSON supplies."""
+    scan = brackets.named_tree_of if named_only else brackets.tree_of
+    own_columns = list(dict.fromkeys([*keys, *others]))
+    cut = _cut(trees.select(*dict.fromkeys([*own_columns, tree])), tree)
+    found = cut.select(*own_columns, "_pieces", scan("_codes").alias("_tree"))
+    at = lambda place: json_text.spelled(F.get("_pieces", place))
+    kind = lambda n: F.when(n["type"].isNotNull(), at(n["type"])).when(n["kind"].isNotNull(), at(n["kind"]))
+    own = lambda place: F.when(place.isNotNull(), at(place))
+
+    def described(kinds: Column) -> Column:
+        def node(n: Column, i: Column) -> Column:
+            named = own(n["isNamed"])
+            spans = {s: _whole(own(n[s])) for s in ("start_line", "start_col", "end_line", "end_col")}
+            return F.struct(
+                (i + 1).alias("node_id"),
+                *[n[c].alias(c) for c in ("parent", "depth", "ordinal", "closes", "is_leaf")],
+                F.get(kinds, i).alias("kind"),
+                F.get(kinds, n["parent"] - 1).alias("parent_kind"),
+                let(named, lambda v: F.when(v == "true", True).when(v == "false", False)).alias("is_named"),
+                own(n["fieldName"]).alias("field_name"),
+                F.when(n["is_leaf"], own(n["text"])).alias("text"),
+                *[c.alias(s) for s, c in spans.items()],
+                _whole(own(n["start"])).alias("start_off"),
+                _whole(own(n["end"])).alias("end_off"),
+            )
+
+        return F.transform("_tree.nodes", node)
+
+    nodes = let(F.transform("_tree.nodes", kind), described).alias("nodes")
+    return settled(found.select(*own_columns, F.col("_tree.valid").alias("valid"), nodes), ["valid", "nodes"])
 
 
 def json_nodes(
@@ -57,46 +95,19 @@ def json_nodes(
     named_only: bool = False,
 ) -> DataFrame:
     """Flatten JSON syntax trees of any dialect; ``named_only`` skips an unnamed node whole."""
-    scan = json_scan.named_nodes if named_only else json_scan.all_nodes
-    rows = _exploded(trees.select(*keys, _scanned(scan, tree).alias("_found")), keys)
-    given = {f.name: F.col(f.name) for f in json_scan.NODE_STRUCT}
-    lines = ("start_line", "start_col", "end_line", "end_col")
-    absent = lines if dialect == "offsets" else ("start_off", "end_off")
-    for name in absent:
-        del given[name]
+    # An inner explode would be given a filter on its size, which cuts every text twice.
+    rows = node_arrays(trees, tree, keys, named_only).select(*keys, F.explode_outer("nodes").alias("_n"))
+    rows = rows.select(*keys, "_n.*").filter(F.col("node_id").isNotNull())
+    names = ["node_id", "depth", "ordinal", "closes", "kind", "parent_kind", "is_named", "field_name", "text", "is_leaf"]
+    names += ["start_off", "end_off"] if dialect == "offsets" else ["start_line", "start_col", "end_line", "end_col"]
+    given = {name: F.col(name) for name in names}
     for name in ("start_line", "end_line"):
         if name in given:
             given[name] = given[name] + LINE_SHIFT[dialect]
-    return as_nodes(rows, list(keys), dialect, is_error=F.col("kind") == ERROR_KIND, **given)
-
-
-def outline(
-    trees: DataFrame,
-    class_by_kind: dict[str, str],
-    tree: str = "tree",
-    keys: tuple[str, ...] = KEYS,
-    line_shift: int = 0,
-    identifier_kinds: list[str] = IDENTIFIER_KINDS,
-) -> DataFrame:
-    """Declarations only, each under its nearest declared ancestor, named by its own children;
-    a name that is not a leaf is spelled by its leaves. No join and no shuffle."""
-    scan = json_scan.outline_udf(list(class_by_kind), NAME_FIELD, identifier_kinds, NO_NAME)
-    classes = F.create_map(*[F.lit(x) for pair in class_by_kind.items() for x in pair])
-    rows = _exploded(trees.select(*keys, _scanned(scan, tree).alias("_found")), keys)
-    return rows.select(
-        *keys,
-        "node_id",
-        "outline_parent_id",
-        classes[F.col("kind")].alias("class"),
-        "name",
-        (F.col("start_line") + line_shift).cast("int").alias("start_line"),
-        F.col("start_col").cast("int").alias("start_col"),
-        (F.col("end_line") + line_shift).cast("int").alias("end_line"),
-        F.col("end_col").cast("int").alias("end_col"),
-    )
+    return as_nodes(rows, list(keys), dialect, parent_id=F.col("parent"), is_error=F.col("kind") == ERROR_KIND, **given)
 
 
 def object_tree_stats(trees: DataFrame, tree: str = "tree", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Node count and depth of any JSON value, counting its objects and arrays as nodes."""
-    sized = trees.select(*keys, _scanned(json_scan.object_sizes_of, tree).alias("_s"))
-    return sized.select(*keys, *[F.coalesce(F.col(f"_s.{c}"), F.lit(0)).alias(c) for c in ("nodes", "max_depth")])
+    sized = _cut(trees.select(*keys, tree), tree).select(*keys, brackets.object_sizes("_codes").alias("_s"))
+    return sized.select(*keys, "_s.nodes", "_s.max_depth")

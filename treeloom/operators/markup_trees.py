@@ -21,11 +21,14 @@ def without_opaque_parts(html: Column) -> Column:
     return bare
 
 
-def markup_nodes(files: DataFrame, text: str = "content", keys: tuple[str, ...] = ("repo", "file_path")) -> DataFrame:
+def markup_nodes(
+    files: DataFrame, text: str = "content", keys: tuple[str, ...] = ("repo", "file_path"), keep_empty: bool = False
+) -> DataFrame:
     """One node per element. A close tag ends the innermost open element, whatever its name;
     void elements take a place but hold no children; elements never closed are errors.
 
     Narrow: each file is tokenised and nested inside its own row, so nothing is shuffled.
+    ``keep_empty`` gives a file without elements a row whose ``node_id`` is null.
     """
     tokens = files.select(
         *keys, F.regexp_extract_all(without_opaque_parts(F.col(text)), F.lit(TAG), F.lit(0)).alias("_tokens")
@@ -54,7 +57,8 @@ def markup_nodes(files: DataFrame, text: str = "content", keys: tuple[str, ...]
         )
 
     names = F.transform("_nest", lambda n: F.lower(F.regexp_extract(F.get("_tokens", n["at"]), TAG, 2)))
-    rows = nested.select(*keys, F.explode(let(names, described)).alias("_n"))
+    one_each = F.explode_outer if keep_empty else F.explode
+    rows = nested.select(*keys, one_each(let(names, described)).alias("_n"))
     n = F.col("_n")
     place = n["place"]
     return as_nodes(

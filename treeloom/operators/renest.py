@@ -1,8 +1,9 @@
 """Node rows back to nested JSON, without ever holding a tree.
 
 Each node writes its own piece of text: a comma if it follows a sibling, its fields, and as
-many closing brackets as ``closes`` says. Pieces in ``node_id`` order are the document. So a
-document of any size is a sort, and only a stated number of pieces are joined together.
+many closing brackets as ``closes`` says. Pieces in ``node_id`` order are the document, whatever
+its size, so a document is a sort. The answer for a repository is one sort of two streams of
+pieces, folders and the nodes inside files, under one composite key.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, parent_path
+from ..session import durable
 from .directories import dir_tree
 
-PART_NODES = 20_000
+# Sorts what closes a file after all of its nodes.
+AFTER_ALL = 2**31 - 1
 
 
 def _range(offsets: bool) -> Column:
@@ -53,46 +56,39 @@ def json_fragments(nodes: DataFrame, keys: list[str], offsets: bool = False) ->
     )
 
 
-def nested_json(
-    nodes: DataFrame, keys: list[str], offsets: bool = False, part_nodes: int = PART_NODES
-) -> DataFrame:
-    """Nested JSON per file as (keys, part, json).
+def _place(path: Column, closing: bool = False) -> Column:
+    """Sorts pieces into document order: folders before what they hold, closing brackets after
+    it, children by name."""
+    steps = F.transform(F.split(path, "/"), lambda s: F.struct(F.lit(0).alias("after"), s.alias("name")))
+    steps = F.when(path == "", F.filter(steps, lambda s: F.lit(False))).otherwise(steps)
+    if not closing:
+        return steps
+    return F.concat(steps, F.array(F.struct(F.lit(1).alias("after"), F.lit("").alias("name"))))
 
-    A file of up to ``part_nodes`` nodes is part 0, whole. A larger one comes in parts which,
-    one after the other, are the document. Node numbers say which part a piece belongs to, so
-    one shuffle does it, a huge file is shared by many tasks, and none holds it as a whole.
-    """
-    pieces = json_fragments(nodes, keys, offsets).withColumn(
-        "part", F.floor((F.col("node_id") - 1) / part_nodes)
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("node_id", "fragment")))
-    return pieces.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(ordered, lambda p: p["fragment"]), "").alias("json")
-    )
 
+def _open(text: Column) -> Column:
+    """A JSON object without its last bracket."""
+    return F.regexp_replace(text, r"\}$", "")
 
-def response_fragments(files: DataFrame, runs: DataFrame) -> DataFrame:
-    """The whole answer for a repository as ordered pieces: (repo, place, fragment).
+
+def response_fragments(files: DataFrame, runs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The whole answer for a repository as ordered pieces: (repo, place, seq, fragment), in the
+    order of place and seq.
 
     ``files`` has repo, file_path, ast (JSON text or null) and error; ``runs`` has repo,
-    timestamp and benchmark (JSON text). ``place`` sorts pieces into document order, folders
-    before what they hold and closing brackets after it, children by name. A repository's
-    pieces are never brought together here: a range-sorted text write is the document.
+    timestamp and benchmark (JSON text). With ``nodes`` (a node table of repo and file_path, one
+    root a file) the tree of each file without an error is written from its nodes instead of
+    ``ast``. A repository's pieces are never brought together here: a range-sorted text write is
+    the document. Rows that repeat a path count once.
     """
-
-    def place(path: Column, closing: int | None = None) -> Column:
-        steps = F.transform(F.split(path, "/"), lambda s: F.struct(F.lit(0).alias("after"), s.alias("name")))
-        steps = F.when(path == "", F.filter(steps, lambda s: F.lit(False))).otherwise(steps)
-        if closing is None:
-            return steps
-        return F.concat(steps, F.array(F.struct(F.lit(closing).alias("after"), F.lit("").alias("name"))))
-
     dirs = dir_tree(files).select("repo", F.col("dir_path").alias("path"), F.lit(True).alias("is_dir"))
-    entries = dirs.withColumn("ast", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
+    entries = dirs.withColumns({"ast": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     entries = entries.unionByName(
         files.select("repo", F.col("file_path").alias("path"), F.lit(False).alias("is_dir"), "ast", "error")
     ).withColumn("_above", parent_path(F.col("path")))
-    first = entries.groupBy("repo", "_above").agg(F.min(base_name(F.col("path"))).alias("_first"))
+    # Read twice: for what comes first in its folder, and for the pieces.
+    entries = durable(entries.dropDuplicates(["repo", "path", "is_dir"]))
+    first = entries.groupBy("repo", "_above").agg(F.min(F.struct(base_name(F.col("path")), ~F.col("is_dir"))).alias("_first"))
     name = base_name(F.col("path"))
     known = F.to_json(
         F.struct(
@@ -102,36 +98,46 @@ def response_fragments(files: DataFrame, runs: DataFrame) -> DataFrame:
             F.col("error"),
         )
     )
-    comma = F.when(name == F.col("_first"), "").otherwise(",")
-    body = F.expr("substring(_known, 1, length(_known) - 1)")
+    leads = F.struct(name, ~F.col("is_dir")) == F.col("_first")
+    comma = F.when(leads, "").otherwise(",")
+    treed = ~F.col("is_dir") & F.col("error").isNull() if nodes is not None else F.lit(False)
     text = (
-        F.when(F.col("is_dir"), F.concat(comma, body, F.lit(',"children":[')))
-        .when(F.col("ast").isNotNull(), F.concat(comma, body, F.lit(',"ast":'), F.col("ast"), F.lit("}")))
+        F.when(F.col("is_dir"), F.concat(comma, _open(F.col("_known")), F.lit(',"children":[')))
+        .when(treed, F.concat(comma, _open(F.col("_known")), F.lit(',"ast":')))
+        .when(F.col("ast").isNotNull(), F.concat(comma, _open(F.col("_known")), F.lit(',"ast":'), F.col("ast"), F.lit("}")))
         .otherwise(F.concat(comma, F.col("_known")))
     )
 
-    def piece(at: Column, fragment: Column) -> Column:
-        return F.struct(at.alias("place"), fragment.alias("fragment"))
+    def piece(at: Column, seq: int, fragment: Column) -> Column:
+        return F.struct(at.alias("place"), F.lit(seq).alias("seq"), fragment.alias("fragment"))
 
-    opening = piece(place(F.col("path")), text)
-    closing = piece(place(F.col("path"), 1), F.lit("]}"))
+    opening = piece(_place(F.col("path")), 0, text)
+    after_dir = piece(_place(F.col("path"), True), 0, F.lit("]}"))
+    after_file = piece(_place(F.col("path")), AFTER_ALL, F.lit("}"))
+    pieces = F.when(F.col("is_dir"), F.array(opening, after_dir)).when(treed, F.array(opening, after_file)).otherwise(F.array(opening))
     inside = (
         entries.join(first, ["repo", "_above"])
         .withColumn("_known", known)
-        .select("repo", F.explode(F.when(F.col("is_dir"), F.array(opening, closing)).otherwise(F.array(opening))).alias("_p"))
-        .select("repo", "_p.place", "_p.fragment")
+        .select("repo", F.explode(pieces).alias("_p"))
+        .select("repo", "_p.place", "_p.seq", "_p.fragment")
     )
     root = F.to_json(F.struct(F.lit("directory").alias("type"), F.col("repo").alias("name"), F.lit("").alias("filePath")))
-    head = runs.withColumn("_root", root).select(
+    head = runs.select(
         "repo",
-        place(F.lit("")).alias("place"),
-        F.concat(F.lit('{"nodes":['), F.expr("substring(_root, 1, length(_root) - 1)"), F.lit(',"children":[')).alias("fragment"),
+        _place(F.lit("")).alias("place"),
+        F.lit(0).alias("seq"),
+        F.concat(F.lit('{"nodes":['), _open(root), F.lit(',"children":[')).alias("fragment"),
     )
     tail = runs.select(
         "repo",
-        place(F.lit(""), 1).alias("place"),
+        _place(F.lit(""), True).alias("place"),
+        F.lit(0).alias("seq"),
         F.concat(
             F.lit(']}],"timestamp":"'), F.col("timestamp"), F.lit('","benchmark":'), F.col("benchmark"), F.lit("}")
         ).alias("fragment"),
     )
-    return inside.unionByName(head).unionByName(tail)
+    every = inside.unionByName(head).unionByName(tail)
+    if nodes is None:
+        return every
+    trees = json_fragments(nodes, ["repo", "file_path"])
+    return every.unionByName(trees.select("repo", _place(F.col("file_path")).alias("place"), F.col("node_id").alias("seq"), "fragment"))

@@ -7,6 +7,8 @@ derived file is built inside one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ CODE_SUFFIXES = [
 CODE_FOLDERS = ["src", "node_modules", "lib/.git", "dist", "src/x.github", "pkg/__pycache__", "app/core"]
 
 
+# Outline classes of markup and of spelled dumps, and the kinds that name what is around them.
+PAGE_CLASSES = {"article": "ARTICLE", "section": "SECTION", "div": "BLOCK", "nav": "MENU", "footer": "FOOTER", "header": "HEADER"}
+PAGE_HEADINGS = ["h1", "h2", "h3", "title"]
+DUMP_CLASSES = {"DeclStmt": "CLASS", "CallExpr": "METHOD"}
+DUMP_NAMES = ["asm label"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -141,10 +150,47 @@ def syntax_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _dumped(text: Column, leaf: Callable[[Column, Column, Column], Column], line: Callable[[Column, Column, Column], Column], root: Column) -> Column:
+    """A dump of a text's lines and tokens: ``leaf`` (token, its number, line number), ``line``
+    (line, its number, its children), ``root`` up to its children."""
+    body = lambda t, i: line(t, i, F.array_join(F.transform(F.split(t, " ", -1), lambda w, j: leaf(w, j, i)), ","))
+    return F.concat(root, F.array_join(F.transform(lines(text), body), ","), F.lit("]}"))
+
+
+def offset_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as dumps of the dialect with character offsets, text on every node."""
+    c = spread(table(spark, sf_dir, "conversations"))
+
+    def span(begin: Column, text: Column) -> Column:
+        return F.concat(F.lit('"range":{"start":'), _text(begin), F.lit(',"end":'), _text(begin + F.char_length(text)), F.lit("}"))
+
+    said = lambda text: F.substring(F.to_json(F.struct(text.alias("text"))), 2, 1 << 30)
+    leaf = lambda w, j, i: F.concat(F.lit('{"kind":"Identifier",'), span(i * 1000 + j, w), F.lit(","), said(w))
+    line = lambda t, i, kids: F.concat(F.lit('{"kind":"Block",'), span(i * 1000, t), F.lit(',"children":['), kids, F.lit("]}"))
+    tree = _dumped(F.col("text"), leaf, line, F.lit('{"kind":"SourceFile","text":"x","range":{"start":0,"end":9},"children":['))
+    return c.select(_text(F.col("conv_id")).alias("repo"), _text(F.col("turn")).alias("file_path"), tree.alias("tree"))
+
+
+def shifted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as dumps of the dialect whose lines begin at 0 and whose leaves have an
+    empty list of children."""
+    c = spread(table(spark, sf_dir, "conversations"))
+
+    def span(line: Column, begin: Column, text: Column) -> Column:
+        point = lambda col: F.concat(F.lit('{"line":'), _text(line), F.lit(',"col":'), _text(col), F.lit("}"))
+        return F.concat(F.lit('"range":{"start":'), point(begin), F.lit(',"end":'), point(begin + F.char_length(text)), F.lit("}"))
+
+    said = lambda text: F.regexp_replace(F.substring(F.to_json(F.struct(text.alias("text"))), 2, 1 << 30), r"\}$", "")
+    leaf = lambda w, j, i: F.concat(F.lit('{"type":"word",'), span(i, j, w), F.lit(","), said(w), F.lit(',"children":[]}'))
+    line = lambda t, i, kids: F.concat(F.lit('{"type":"line",'), span(i, F.lit(0), t), F.lit(',"children":['), kids, F.lit("]}"))
+    tree = _dumped(F.col("text"), leaf, line, F.lit('{"type":"program","children":['))
+    return c.select(_text(F.col("conv_id")).alias("repo"), _text(F.col("turn")).alias("file_path"), tree.alias("tree"))
+
+
 def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as single-branch trees of up to forty levels."""
+    """Orders as single-branch trees of up to forty levels, and of up to 740 for some."""
     o = spread(table(spark, sf_dir, "orders"))
-    depth = (F.col("o_orderkey") % 40).cast("int")
+    depth = (F.col("o_orderkey") % 40 + F.when(F.col("o_orderkey") % 500 == 0, 700).otherwise(0)).cast("int")
     text = F.concat(
         F.repeat(F.lit('{"type":"block","isNamed":true,"children":['), depth),
         F.concat(F.lit('{"type":"leaf","isNamed":false,"text":"'), F.col("o_orderpriority"), F.lit('"}')),

@@ -283,8 +283,125 @@ rising AS (
 """
 
 
+# A node's own piece of its document.
+PIECE = """
+pieces AS (
+  SELECT conv_id, turn, node_id::INT AS node_id, CASE WHEN ordinal = 0 THEN '' ELSE ',' END || '{"type":"' || kind || '","isNamed":true,"range":{"start":{"line":'
+    || start_line || ',"col":' || start_col || '},"end":{"line":' || end_line || ',"col":' || end_col || '}}'
+    || CASE WHEN is_leaf THEN ',"text":' || to_json(text) || '}' || repeat(']}', closes::INT) ELSE ',"children":[' END AS fragment
+  FROM all_nodes)
+"""
+
+# Every file that the analysis packs into archives, and what it makes of it.
+ANALYSED = f"""
+dumps AS (
+  SELECT event_id, event_type, CASE event_type WHEN 'error' THEN '  ' || substring(props, 1, length(props) - 1) || chr(10)
+    WHEN 'signup' THEN '{{"error":"at ' || user_id || '"}}' ELSE props END AS content FROM events),
+per_page AS (SELECT page_id, count(*) AS nodes, max(depth) AS depth FROM page_nodes GROUP BY page_id),
+analysed AS (
+  SELECT 'docs-' || (d.doc_id // 500) AS repo, d.source || '/' || d.doc_id || '.' || d.lang AS file_path, {LANG} AS language, 'ok' AS status, d.text AS content,
+    CASE WHEN d.text = '' THEN 1 ELSE 2 + len(string_split(d.text, chr(10))) + length(regexp_replace(d.text, '[^ \n]', '', 'g')) END AS nodes,
+    CASE WHEN d.text = '' THEN 1 ELSE 3 END AS max_depth
+  FROM documents d
+  UNION ALL
+  SELECT 'pages-' || (page_id // 200), 'web/' || page_id || '.html', '.html', 'ok', html, coalesce(nodes, 0), coalesce(depth, 0)
+  FROM pages LEFT JOIN per_page USING (page_id)
+  UNION ALL
+  SELECT 'events-' || (event_id // 2000), event_type || '/' || event_id || '.json', '.json', CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END, content,
+    CASE event_type WHEN 'error' THEN 0 ELSE 1 END, CASE event_type WHEN 'error' THEN 0 ELSE 1 END
+  FROM dumps),
+analysed_files AS (
+  SELECT *, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END AS loc, length(content) AS chars, strlen(content) AS size FROM analysed)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "outline_json": f"""WITH {SYNTAX},
+            methods AS (SELECT conv_id, turn, li, string_agg('{{"type":"METHOD","name":' || to_json(tok) || ',"range":{{"start":{{"line":' || li || ',"col":' || (j - 1)
+              || '}},"end":{{"line":' || li || ',"col":' || (j - 1 + length(tok)) || '}}}},"children":[]}}', ',' ORDER BY j) AS js FROM toks WHERE j % 2 = 0 GROUP BY 1, 2, 3),
+            firsts AS (SELECT conv_id, turn, li, CASE WHEN kind = 'identifier' THEN tok ELSE 'anonymous' END AS name FROM toks WHERE j = 1),
+            parts AS (SELECT p.conv_id, p.turn, p.li, CASE WHEN p.line_kind IN ('class_declaration', 'interface_declaration')
+              THEN '{{"type":"' || CASE p.line_kind WHEN 'class_declaration' THEN 'CLASS' ELSE 'INTERFACE' END || '","name":' || to_json(f.name)
+                || ',"range":{{"start":{{"line":' || p.li || ',"col":0}},"end":{{"line":' || p.li || ',"col":' || length(p.line) || '}}}},"children":[' || coalesce(m.js, '') || ']}}'
+              ELSE m.js END AS js
+              FROM placed p JOIN firsts f USING (conv_id, turn, li) LEFT JOIN methods m USING (conv_id, turn, li))
+            SELECT conv_id::VARCHAR AS repo, turn::VARCHAR AS file_path, '[' || coalesce(string_agg(js, ',' ORDER BY li), '') || ']' AS outline FROM parts GROUP BY 1, 2""",
+        "page_outline": f"""WITH RECURSIVE {MARKUP},
+            classes AS (SELECT unnest(['article','section','div','nav','footer','header']) AS kind,
+              unnest(['ARTICLE','SECTION','BLOCK','MENU','FOOTER','HEADER']) AS class),
+            climb AS (
+              SELECT page_id, node_id, parent_id AS at FROM page_nodes WHERE kind IN (SELECT kind FROM classes)
+              UNION ALL
+              SELECT c.page_id, c.node_id, p.parent_id FROM climb c JOIN page_nodes p ON p.page_id = c.page_id AND p.node_id = c.at
+              WHERE p.kind NOT IN (SELECT kind FROM classes)),
+            nearest AS (SELECT c.page_id, c.node_id, max(CASE WHEN p.kind IN (SELECT kind FROM classes) THEN c.at END) AS up FROM climb c
+              LEFT JOIN page_nodes p ON p.page_id = c.page_id AND p.node_id = c.at GROUP BY 1, 2),
+            headings AS (SELECT page_id, parent_id AS node_id, arg_min(text, node_id) AS name FROM page_nodes WHERE kind IN ('h1','h2','h3','title') GROUP BY 1, 2)
+            SELECT page_id, node_id, n.up AS outline_parent_id, class, coalesce(name, 'anonymous') AS name
+            FROM nearest n JOIN page_nodes USING (page_id, node_id) JOIN classes USING (kind) LEFT JOIN headings USING (page_id, node_id)""",
+        "dump_outline": r"""WITH g AS (
+              SELECT source, doc_id, string_split(text, chr(10)) AS ls, unnest(generate_series(0, (len(string_split(text, chr(10))) - 1) // 6)) AS g FROM documents),
+            s AS (SELECT source, doc_id, g, len(ls) - 6 * g AS n, ls[6 * g + 1:6 * g + 6] AS l,
+              [',"range":{"start":{"line":' || (6 * g + k + 2) || ',"col":0},"end":{"line":0,"col":0}},"children":[' for k in [0, 1, 2, 3, 4, 5]] AS r FROM g),
+            t AS (SELECT *, CASE WHEN n < 2 THEN 'anonymous' WHEN n = 2 THEN l[2] WHEN n = 3 THEN l[3] WHEN n = 4 THEN l[4] ELSE l[4] || l[5] END AS name FROM s),
+            o AS (SELECT source, doc_id, g, '{"type":"CLASS","name":' || to_json(name) || r[1]
+              || CASE WHEN n > 2 THEN '{"type":"METHOD","name":"anonymous"' || r[3] || CASE WHEN n > 3 THEN '{"type":"CLASS","name":"anonymous"' || r[4] || ']}' ELSE '' END || ']}' ELSE '' END
+              || CASE WHEN n > 5 THEN ',{"type":"METHOD","name":"anonymous"' || r[6] || ']}' ELSE '' END || ']}' AS js FROM t)
+            SELECT source AS repo, doc_id::VARCHAR AS file_path, '[' || string_agg(js, ',' ORDER BY g) || ']' AS outline FROM o GROUP BY 1, 2""",
+        "offset_nodes": f"""WITH {_text_tree("conversations", "conv_id, turn")},
+            l AS (SELECT *, 2 + coalesce(sum(1 + n_toks) OVER (PARTITION BY conv_id, turn ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_id FROM line_start),
+            n AS (SELECT conv_id, turn, 1 AS node_id, NULL AS parent_id, 1 AS depth, 0 AS ordinal, 'SourceFile' AS kind, NULL AS parent_kind, NULL AS text,
+                0 AS start_off, 9 AS end_off, false AS is_leaf FROM conversations
+              UNION ALL SELECT conv_id, turn, line_id, 1, 2, li - 1, 'Block', 'SourceFile', NULL, (li - 1) * 1000, (li - 1) * 1000 + length(line), false FROM l
+              UNION ALL SELECT t.conv_id, t.turn, l.line_id + t.j, l.line_id, 3, t.j - 1, 'Identifier', 'Block', t.tok, (t.li - 1) * 1000 + t.j - 1,
+                (t.li - 1) * 1000 + t.j - 1 + length(t.tok), true FROM worded t JOIN l USING (conv_id, turn, li))
+            SELECT conv_id::VARCHAR AS repo, turn::VARCHAR AS file_path, node_id::INT AS node_id, parent_id::INT AS parent_id, depth::INT AS depth, ordinal::INT AS ordinal,
+              kind, parent_kind, text, NULL::INT AS start_line, start_off::INT AS start_off, end_off::INT AS end_off, is_leaf FROM n""",
+        "offset_stats": """WITH s AS (SELECT conv_id, turn, len(string_split(text, chr(10))) AS ls,
+              length(regexp_replace(text, '[^ \n]', '', 'g')) + 1 AS ts FROM conversations)
+            SELECT conv_id::VARCHAR AS repo, turn::VARCHAR AS file_path, (1 + ls + ts)::BIGINT AS nodes, 3::INT AS max_depth, (1 + ls + 2 * ts)::BIGINT AS compat_nodes,
+              4::INT AS compat_max_depth, (1 + ls + 2 * ts)::BIGINT AS walked_nodes, 4::INT AS walked_depth FROM s""",
+        "shifted_nodes": f"""WITH {_text_tree("conversations", "conv_id, turn")},
+            l AS (SELECT *, 2 + coalesce(sum(1 + n_toks) OVER (PARTITION BY conv_id, turn ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_id FROM line_start),
+            n AS (SELECT conv_id, turn, 1 AS node_id, NULL AS parent_id, 1 AS depth, 0 AS ordinal, 'program' AS kind, NULL AS parent_kind, NULL AS text,
+                NULL AS line, NULL AS start_col, NULL AS end_col, false AS is_leaf FROM conversations
+              UNION ALL SELECT conv_id, turn, line_id, 1, 2, li - 1, 'line', 'program', NULL, li, 0, length(line), false FROM l
+              UNION ALL SELECT t.conv_id, t.turn, l.line_id + t.j, l.line_id, 3, t.j - 1, 'word', 'line', t.tok, t.li, t.j - 1, t.j - 1 + length(t.tok), true
+                FROM worded t JOIN l USING (conv_id, turn, li))
+            SELECT conv_id::VARCHAR AS repo, turn::VARCHAR AS file_path, node_id::INT AS node_id, parent_id::INT AS parent_id, depth::INT AS depth, ordinal::INT AS ordinal,
+              kind, parent_kind, text, line::INT AS start_line, start_col::INT AS start_col, line::INT AS end_line, end_col::INT AS end_col, is_leaf FROM n""",
+        "response_trees": f"""WITH {LINES}, {PIECE},
+            c AS (SELECT conv_id::VARCHAR AS dir, turn || '.txt' AS name, conv_id, turn, (conv_id + turn) % 7 = 0 AS bad FROM conversations),
+            d AS (SELECT DISTINCT dir FROM c),
+            every AS (
+              SELECT 0 AS a, '' AS dir, 0 AS b, '' AS name, 0 AS seq, '{{"nodes":[{{"type":"directory","name":"talk","filePath":"","children":[' AS fragment
+              UNION ALL SELECT 1, dir, 0, '', 0, CASE WHEN row_number() OVER (ORDER BY dir) = 1 THEN '' ELSE ',' END
+                || '{{"type":"directory","name":"' || dir || '","filePath":"' || dir || '","children":[' FROM d
+              UNION ALL SELECT 1, dir, 1, name, 0, CASE WHEN row_number() OVER (PARTITION BY dir ORDER BY name) = 1 THEN '' ELSE ',' END
+                || '{{"type":"file","name":"' || name || '","filePath":"' || dir || '/' || name || CASE WHEN bad THEN '","error":"unreadable"}}' ELSE '","ast":' END FROM c
+              UNION ALL SELECT 1, dir, 1, name, node_id, fragment FROM c JOIN pieces USING (conv_id, turn) WHERE NOT bad
+              UNION ALL SELECT 1, dir, 1, name, 2147483647, '}}' FROM c WHERE NOT bad
+              UNION ALL SELECT 1, dir, 2, '', 0, ']}}' FROM d
+              UNION ALL SELECT 2, '', 0, '', 0, ']}}],"timestamp":"2024-01-01T00:00:00.000Z","benchmark":{{"files":' || count(*) || '}}}}' FROM c)
+            SELECT 'talk' AS repo, row_number() OVER (ORDER BY a, dir, b, name, seq) AS position, fragment FROM every""",
+        "text_dumps": f"""WITH {DUMPED},
+            n AS (SELECT doc_id, node_id, depth FROM rising UNION ALL SELECT doc_id, 1, 1 FROM documents),
+            f AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY doc_id ORDER BY node_id), 0) <= depth AS is_leaf FROM n)
+            SELECT doc_id::VARCHAR AS file_path, count(*)::BIGINT AS nodes, max(depth)::INT AS max_depth, count(*) FILTER (is_leaf)::BIGINT AS leaves, 0::BIGINT AS errors
+            FROM f GROUP BY doc_id""",
+        "dumps_read": f"SELECT {LANG} AS language, d.source || '/' || d.doc_id || '.' || d.lang AS file_path, d.text AS content FROM documents d",
+        "analyse_files": f"""WITH {MARKUP}, {ANALYSED} SELECT repo, file_path, language, status, loc::BIGINT AS loc, nodes::BIGINT AS nodes, max_depth::INT AS max_depth
+            FROM analysed_files""",
+        "analyse_history": f"""WITH {MARKUP}, {ANALYSED},
+            runs AS (SELECT repo, max(chars) * 20000 AS total, max(size) * 100 AS rss, max(chars) * 100 AS heap FROM analysed_files GROUP BY repo),
+            langs AS (SELECT repo, language, count(*)::BIGINT AS files, sum(loc)::BIGINT AS loc, sum(nodes)::BIGINT AS nodes, max(max_depth)::INT AS max_depth,
+              coalesce(sum(chars) FILTER (status = 'ok'), 0)::BIGINT * 10000 AS ns FROM analysed_files GROUP BY repo, language)
+            SELECT '2024-01-01T00:00:00.000Z' AS timestamp, 'generic' AS {ENGINE_COLUMN}, repo, language, files, loc, nodes, max_depth, {_sec("ns")} AS parse_sec,
+              {_sec("total")} AS total_sec, {_mb("rss")} AS peak_rss_mb, {_mb("heap")} AS peak_heap_mb FROM langs JOIN runs USING (repo)""",
+        "stream_newest": f"""SELECT 'docs-' || (d.doc_id // 200) AS repo, {LANG} AS language, count(*)::BIGINT AS files,
+            sum(CASE WHEN d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END)::BIGINT AS loc FROM documents d
+            WHERE (d.doc_id // 200) % 2 = 1 OR d.doc_id % 2 = 0 GROUP BY ALL""",
         "language_stats": f"WITH {MEASURED} SELECT language, {TOTALS} FROM measured GROUP BY language",
         "corpus_totals": f"WITH {MEASURED} SELECT {TOTALS} FROM measured",
         "language_rollup": f"""WITH {MEASURED} SELECT repo, language, grouping(language)::INT AS is_total, {TOTALS}
@@ -310,9 +427,9 @@ def oracle_sql() -> dict[str, str]:
             parent_id::INT AS parent_id, depth::INT AS depth, ordinal::INT AS ordinal, kind, parent_kind, is_named, field_name, text,
             start_line::INT AS start_line, start_col::INT AS start_col, end_line::INT AS end_line, end_col::INT AS end_col,
             is_leaf, kind = 'ERROR' AS is_error, closes::INT AS closes FROM tree""",
-        "named_nodes": f"""WITH {NAMED} SELECT k.conv_id::VARCHAR AS repo, k.turn::VARCHAR AS file_path, k.number::INT AS node_id,
-            p.number::INT AS parent_id, k.depth::INT AS depth, k.place::INT AS ordinal, k.kind, k.parent_kind, k.field_name, k.text
-            FROM kept k LEFT JOIN kept p ON k.conv_id = p.conv_id AND k.turn = p.turn AND k.parent_id = p.node_id""",
+        "named_nodes": f"""WITH {NAMED} SELECT conv_id::VARCHAR AS repo, turn::VARCHAR AS file_path, number::INT AS node_id,
+            CASE depth WHEN 2 THEN 1 WHEN 3 THEN min(number) OVER (PARTITION BY conv_id, turn, depth, parent_id) - 1 WHEN 4 THEN number - 1 END::INT AS parent_id,
+            depth::INT AS depth, place::INT AS ordinal, kind, parent_kind, field_name, text FROM kept""",
         "outline": f"""WITH {SYNTAX},
             declared AS (SELECT li, conv_id, turn, line_id FROM placed WHERE line_kind IN ('class_declaration', 'interface_declaration')),
             first_tok AS (SELECT conv_id, turn, li, tok, kind FROM toks WHERE j = 1)
@@ -325,8 +442,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.conv_id::VARCHAR, t.turn::VARCHAR, t.tok_id::INT, d.line_id::INT, 'METHOD', t.tok, t.li::INT, (t.j - 1)::INT, t.li::INT,
               (t.j - 1 + length(t.tok))::INT
             FROM toks t LEFT JOIN declared d USING (conv_id, turn, li) WHERE t.kind = 'method_definition'""",
-        "deep_tree_stats": """SELECT o_orderstatus AS repo, o_orderkey::VARCHAR AS file_path, (o_orderkey % 40 + 1)::BIGINT AS nodes,
-            (o_orderkey % 40 + 1)::INT AS max_depth, 1::BIGINT AS leaves, 0::BIGINT AS errors FROM orders""",
+        "deep_tree_stats": """WITH d AS (SELECT o_orderstatus, o_orderkey, o_orderkey % 40 + 1 + CASE WHEN o_orderkey % 500 = 0 THEN 700 ELSE 0 END AS n FROM orders)
+            SELECT o_orderstatus AS repo, o_orderkey::VARCHAR AS file_path, n::BIGINT AS nodes, n::INT AS max_depth, 1::BIGINT AS leaves, 0::BIGINT AS errors FROM d""",
         "json_or_raw": """SELECT event_type AS repo, event_id || '.json' AS file_path,
             CASE WHEN event_type NOT IN ('error', 'signup') THEN (props->>'$.k')::BIGINT END AS k,
             CASE WHEN event_type = 'error' THEN substring(props, 1, length(props) - 1) END AS raw_dump,
@@ -356,33 +473,22 @@ def oracle_sql() -> dict[str, str]:
             ordinal::INT AS ordinal, kind, parent_kind, text, start_line::INT AS start_line, start_col::INT AS start_col,
             end_line::INT AS end_line, end_col::INT AS end_col, start_off::INT AS start_off, end_off::INT AS end_off, is_leaf,
             closes::INT AS closes FROM all_nodes""",
-        "dispatch_nodes": f"""WITH {MEASURED}, {MARKUP}
-            SELECT '.' || lang AS ext, 'lines' AS dialect, count(DISTINCT source)::BIGINT AS repos,
+        "dispatch_nodes": f"""WITH {MARKUP}
+            SELECT '.' || lang AS ext, 'ok' AS status, count(*)::BIGINT AS files, count(DISTINCT source)::BIGINT AS repos,
               sum(CASE WHEN text = '' THEN 1 ELSE 2 + len(string_split(text, chr(10)))
-                + length(regexp_replace(text, '[^ \\n]', '', 'g')) END)::BIGINT AS nodes,
+                + length(regexp_replace(text, '[^ \n]', '', 'g')) END)::BIGINT AS nodes,
               max(CASE WHEN text = '' THEN 1 ELSE 3 END)::INT AS max_depth
-            FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang
-            UNION ALL SELECT '.html', 'markup', 1, count(*), max(depth) FROM page_nodes
-            UNION ALL SELECT '.json', 'generic', count(DISTINCT event_type), count(*), 1 FROM events WHERE event_type <> 'error'""",
+            FROM documents GROUP BY lang
+            UNION ALL SELECT '.html', 'ok', (SELECT count(*) FROM pages), 1, count(*), max(depth) FROM page_nodes
+            UNION ALL SELECT '.json', CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END AS s, count(*), count(DISTINCT event_type),
+              CASE s WHEN 'ok' THEN count(*) ELSE 0 END, CASE s WHEN 'ok' THEN 1 ELSE 0 END FROM events WHERE event_id % 2 = 0 GROUP BY s
+            UNION ALL SELECT '.c', 'ok', count(*), count(DISTINCT event_type), count(*), 1 FROM events WHERE event_id % 2 = 1""",
         "dir_tree": f"WITH {PAGE_PATHS} SELECT DISTINCT 'web' AS repo, dir_path, parent_path, name, depth::INT AS depth FROM dirs",
         "dir_rollup": f"""WITH {PAGE_PATHS} SELECT 'web' AS repo, dir_path, count(*)::BIGINT AS files, sum(loc)::BIGINT AS loc
             FROM dirs GROUP BY dir_path""",
-        "renest_json": r"""WITH l AS (SELECT conv_id, turn, text, string_split(text, chr(10)) AS ls FROM conversations WHERE text <> ''),
-            li AS (SELECT conv_id, turn, text, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
-            tk AS (SELECT conv_id, turn, i, line, unnest(string_split(line, ' ')) AS t, generate_subscripts(string_split(line, ' '), 1) AS j FROM li),
-            spots AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY conv_id, turn, i ORDER BY j
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM tk),
-            tj AS (SELECT conv_id, turn, i, any_value(line) AS line, string_agg('{"type":"token","isNamed":true,"range":{"start":{"line":' || i || ',"col":' || c
-              || '},"end":{"line":' || i || ',"col":' || (c + length(t)) || '}},"text":' || to_json(t) || '}', ',' ORDER BY j) AS js FROM spots GROUP BY 1, 2, 3),
-            lj AS (SELECT conv_id, turn, string_agg('{"type":"line","isNamed":true,"range":{"start":{"line":' || i || ',"col":0},"end":{"line":' || i
-              || ',"col":' || length(line) || '}},"children":[' || js || ']}', ',' ORDER BY i) AS js FROM tj GROUP BY 1, 2)
-            SELECT c.conv_id, c.turn, 0::BIGINT AS part, CASE WHEN c.text = ''
-              THEN '{"type":"document","isNamed":true,"range":{"start":{"line":1,"col":0},"end":{"line":1,"col":0}},"text":""}'
-              ELSE '{"type":"document","isNamed":true,"range":{"start":{"line":1,"col":0},"end":{"line":' || len(string_split(c.text, chr(10)))
-              || ',"col":' || length(string_split(c.text, chr(10))[-1]) || '}},"children":[' || lj.js || ']}' END AS json
-            FROM conversations c LEFT JOIN lj USING (conv_id, turn)""",
+        "renest_json": f"WITH {LINES}, {PIECE} SELECT conv_id, turn, node_id, fragment FROM pieces",
         "response_body": RESPONSE,
-        "snapshot_json": f"SELECT repo, count(*)::BIGINT AS pieces, sum(length(fragment))::BIGINT AS chars FROM ({RESPONSE}) GROUP BY repo",
+        "snapshot_json": f"SELECT repo, row_number() OVER (ORDER BY string_split(place, '/')) AS position, fragment FROM ({RESPONSE})",
         "status_counts": f"""WITH s AS (SELECT CASE event_type WHEN 'error' THEN 'raw' WHEN 'signup' THEN 'error' ELSE 'ok' END AS status,
               CASE event_type WHEN 'error' THEN 2 ELSE 1 END AS loc, CASE WHEN event_type <> 'error' THEN 1 END AS nodes,
               CASE WHEN event_type <> 'error' THEN 1 END AS max_depth,
@@ -431,9 +537,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_history": _history(),
         "scan_archives": """SELECT 'docs-' || (doc_id // 500) AS repo, source || '/' || doc_id || '.' || lang AS file_path, text AS content,
             'ok' AS status FROM documents""",
-        "scan_tree": f"""SELECT {LANG} AS language, sum(len(string_split(d.text, chr(10))))::BIGINT AS written_lines FROM documents d GROUP BY 1""",
-        "snapshot_write": f"""WITH {SYNTAX} SELECT 'generic' AS engine, 'r' || (conv_id % 10) AS repo, kind, count(*)::BIGINT AS nodes,
-            max(depth)::INT AS max_depth FROM tree GROUP BY ALL""",
+        "scan_tree": """SELECT source || '/' || doc_id || '.' || lang AS path, 'file' AS kind, text AS content FROM documents
+            UNION ALL SELECT source || '/empty/' || doc_id, 'empty', NULL FROM documents WHERE doc_id % 5 = 0
+            UNION ALL SELECT source || '/bare/' || doc_id, 'empty', NULL FROM documents WHERE doc_id % 5 = 0""",
+        "snapshot_write": f"""WITH {SYNTAX} SELECT 'generic' AS engine, 'r' || (conv_id % 10) AS repo, conv_id::VARCHAR AS conv, turn::VARCHAR AS file_path,
+            node_id::INT AS node_id, parent_id::INT AS parent_id, depth::INT AS depth, kind, text, start_line::INT AS start_line, end_col::INT AS end_col,
+            closes::INT AS closes FROM tree""",
         "stream_ingest": f"""SELECT 'docs-' || (d.doc_id // 500) AS repo, {LANG} AS language, count(*)::BIGINT AS files,
             sum(CASE WHEN d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END)::BIGINT AS loc FROM documents d GROUP BY ALL""",
     }

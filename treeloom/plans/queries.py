@@ -11,11 +11,12 @@ from ..fixed_values import ENGINE_COLUMN, OUTLINE_CLASS_BY_KIND
 from ..functions.numbers import iso_millis, megabytes
 from ..functions.paths import matches_pruned_glob, repo_name, run_tag, without_zip
 from ..functions.text import line_count, preview
-from ..operators import directories, dump_trees, files, json_trees, line_trees, markup_trees, renest, runs, tree_stats
-from ..operators.dispatch import Dialects
+from ..operators import directories, dump_trees, files, json_trees, line_trees, markup_trees, outlines, renest, runs, tree_stats
+from ..jobs.analyse import Analysis
+from ..operators.dispatch import Dialects, file_results, json_results, line_results, markup_results
 from ..sinks import writers
 from ..session import fresh_folder
-from ..sources import archives, trees
+from ..sources import archives, trees, walk
 from ..sources.layout import spread
 from ..streaming import ingest
 from . import bindings as b
@@ -97,7 +98,8 @@ def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_trees.outline(b.syntax_trees(spark, sf_dir), OUTLINE_CLASS_BY_KIND)
+    arrays = json_trees.node_arrays(b.syntax_trees(spark, sf_dir))
+    return outlines.outline(arrays, ["repo", "file_path"], OUTLINE_CLASS_BY_KIND)
 
 
 def deep_tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,28 +164,69 @@ def line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def outline_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested outline document of every syntax tree."""
+    arrays = json_trees.node_arrays(b.syntax_trees(spark, sf_dir))
+    return outlines.outline_documents(arrays, ["repo", "file_path"], OUTLINE_CLASS_BY_KIND)
+
+
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of pages, each below the nearest section around it, named by its first heading."""
+    arrays = outlines.gathered(_page_nodes(spark, sf_dir), ["page_id"])
+    found = outlines.outline(arrays, ["page_id"], b.PAGE_CLASSES, b.PAGE_HEADINGS)
+    return found.select("page_id", "node_id", "outline_parent_id", "class", "name")
+
+
+def dump_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested outline document of every spelled dump; a dump has lines but no columns."""
+    nodes = dump_trees.dump_nodes(b.spelled_dumps(spark, sf_dir), width=2)
+    arrays = outlines.gathered(nodes, ["repo", "file_path"])
+    return outlines.outline_documents(arrays, ["repo", "file_path"], b.DUMP_CLASSES, b.DUMP_NAMES)
+
+
+def offset_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = json_trees.json_nodes(b.offset_trees(spark, sf_dir), dialect="offsets")
+    return nodes.select("repo", "file_path", *NODE_IDS, "text", "start_line", "start_off", "end_off", "is_leaf")
+
+
+def offset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of offset dumps, and those of a walk over plain objects found both ways."""
+    dumps, keys = b.offset_trees(spark, sf_dir), ["repo", "file_path"]
+    stats = tree_stats.tree_stats_compat(json_trees.json_nodes(dumps, dialect="offsets"), keys, "offsets")
+    walked = json_trees.object_tree_stats(dumps).select(*keys, F.col("nodes").alias("walked_nodes"), F.col("max_depth").alias("walked_depth"))
+    return stats.join(walked, keys)
+
+
+def shifted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = json_trees.json_nodes(b.shifted_trees(spark, sf_dir), dialect="named")
+    return nodes.select("repo", "file_path", *NODE_IDS, "text", "start_line", "start_col", "end_line", "end_col", "is_leaf")
+
+
 def _dialects() -> Dialects:
-    keys = ("repo", "file_path", "ext")
     return (
         Dialects()
-        .register("lines", [".en", ".fr"], lambda f: line_trees.line_nodes(f, keys=keys))
-        .register("markup", [".html"], lambda f: markup_trees.markup_nodes(f, keys=keys))
-        .register("json", [".json"], lambda f: json_trees.json_nodes(json_trees.parse_or_raw(f), keys=keys))
+        .register("lines", [".en", ".fr", ".de", ".es"], line_results)
+        .register("markup", [".html"], markup_results)
+        .register("strict", [".json"], json_results())
+        .register("lenient", [".c"], json_results(strict=False))
     )
 
 
 def dispatch_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of four sorts in one table, each sent to the builder of its extension."""
+    """Files of seven sorts in one table, each sent to the builder of its extension: files by
+    status, and their nodes. Odd dumps go to the reader that keeps what is not JSON."""
     cols = ["repo", "file_path", "ext", "content"]
     docs = spread(b.document_files(spark, sf_dir)).select(cols)
     pages = spread(b.table(spark, sf_dir, "pages")).select(
         F.lit("web").alias("repo"), F.col("page_id").cast("string").alias("file_path"), F.lit(".html").alias("ext"),
         F.col("html").alias("content"),
     )
-    dumps = b.event_dumps(spark, sf_dir).withColumn("ext", F.lit(".json")).select(cols)
-    nodes = _dialects().nodes(docs.unionByName(pages).unionByName(dumps))
-    return nodes.groupBy("ext", "dialect").agg(
-        F.countDistinct("repo").alias("repos"), F.count("*").alias("nodes"), F.max("depth").alias("max_depth")
+    ext = F.when(F.regexp_extract("file_path", "^([0-9]+)", 1).cast("bigint") % 2 == 0, ".json").otherwise(".c")
+    dumps = b.event_dumps(spark, sf_dir).withColumn("ext", ext).select(cols)
+    keys = ["repo", "file_path"]
+    results = file_results(_dialects().results(docs.unionByName(pages).unionByName(dumps), keys), [*keys, "ext"])
+    return results.groupBy("ext", "status").agg(
+        F.count("*").alias("files"), F.countDistinct("repo").alias("repos"), F.sum("nodes").alias("nodes"), F.max("max_depth").alias("max_depth")
     )
 
 
@@ -199,9 +242,10 @@ def dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def renest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's piece of its document; in the order of the node numbers they are the text."""
     turns = spread(b.table(spark, sf_dir, "conversations"))
     nodes = line_trees.line_nodes(turns, "text", ("conv_id", "turn"))
-    return renest.nested_json(nodes, ["conv_id", "turn"])
+    return renest.json_fragments(nodes, ["conv_id", "turn"])
 
 
 def _response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,11 +266,29 @@ def _response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer written as nested JSON text, in order, and measured when read back."""
+    """The answer written as nested JSON text, and read back in the order of the files."""
     folder = fresh_folder(spark, "snapshot-json")
-    writers.write_fragments(_response(spark, sf_dir), ["repo", "place"], folder)
-    back = spark.read.text(folder)
-    return back.groupBy("repo").agg(F.count("*").alias("pieces"), F.sum(F.length("value")).alias("chars"))
+    writers.write_fragments(_response(spark, sf_dir), ["repo", "place", "seq"], folder)
+    return trees.pieces_in_order(spark, folder, "repo")
+
+
+def response_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer with the whole tree of every conversation turn, written and read back in order:
+    folders and the nodes inside files are one sorted text."""
+    c = spread(b.table(spark, sf_dir, "conversations")).select(
+        F.lit("talk").alias("repo"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")).alias("file_path"),
+        F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, "unreadable").alias("error"),
+        F.col("text").alias("content"),
+    )
+    answer = c.select("repo", "file_path", F.lit(None).cast("string").alias("ast"), "error")
+    run = c.groupBy("repo").agg(F.count("*").alias("files")).select(
+        "repo", F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.to_json(F.struct("files")).alias("benchmark")
+    )
+    nodes = line_trees.line_nodes(c.filter("error is null"))
+    folder = fresh_folder(spark, "response")
+    writers.write_fragments(renest.response_fragments(answer, run, nodes), ["repo", "place", "seq"], folder)
+    return trees.pieces_in_order(spark, folder, "repo")
 
 
 def response_body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,26 +416,115 @@ def scan_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo", "file_path", "content", "status")
 
 
-def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dump folder of every language written, then walked as a directory."""
+def dumps_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dumps written by language and read back, each the file it was."""
     folder = fresh_folder(spark, "dumps")
-    docs = files.with_language(b.document_files(spark, sf_dir), b.LANGUAGE_LABELS)
-    writers.write_dumps(docs, folder)
-    walked = trees.directory_files(spark, folder, "dumps", [".txt"])
-    language = F.regexp_extract("file_path", "language=([^/]*)", 1)
-    return walked.groupBy(language.alias("language")).agg(
-        F.sum(F.regexp_count("content", F.lit("\n"))).alias("written_lines")
+    writers.write_dumps(files.with_language(b.document_files(spark, sf_dir), b.LANGUAGE_LABELS), folder)
+    return trees.read_dumps(spark, folder).select("language", "file_path", "content")
+
+
+def _dump_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A directory of one file per document, beside pruned names and empty folders."""
+    folder = fresh_folder(spark, "tree")
+    docs = b.document_files(spark, sf_dir).select("file_path", F.coalesce("content", F.lit("")).alias("content"))
+    some = b.table(spark, sf_dir, "documents").filter("doc_id % 5 = 0")
+    name = lambda *parts: F.concat(*[F.lit(p) if p.endswith("/") or p.startswith("/") else F.col(p).cast("string") for p in parts])
+    pruned = some.select(name("source", "/node_modules/", "doc_id", "/x.en").alias("file_path"), F.lit("no").alias("content"))
+    empty = some.select(name("source", "/empty/", "doc_id").alias("file_path"), F.lit(None).cast("string").alias("content"))
+    emptied = some.select(name("source", "/bare/", "doc_id", "/dist").alias("file_path"), F.lit("no").alias("content"))
+    every = docs.unionByName(pruned).unionByName(empty).unionByName(emptied)
+    writers.write_files(every, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory tree walked: paths and contents of files, and the folders that hold nothing."""
+    folder = _dump_folder(spark, sf_dir)
+    walked = walk.walk(spark, folder)
+    found = walk.contents(walked, folder, [".en", ".fr", ".de", ".es"]).select("path", F.lit("file").alias("kind"), "content")
+    return found.unionByName(
+        walk.empty_directories(walked).select(F.col("dir_path").alias("path"), F.lit("empty").alias("kind"), F.lit(None).cast("string").alias("content"))
     )
 
 
+def text_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelled dumps read from files of their own, a file a row, and their nodes counted."""
+    folder = fresh_folder(spark, "text-dumps")
+    dumps = b.spelled_dumps(spark, sf_dir).select(F.concat("file_path", F.lit(".txt")).alias("file_path"), "content")
+    writers.write_files(dumps, folder).write.format("noop").mode("overwrite").save()
+    read = trees.text_dumps(spark, folder)
+    name = F.regexp_extract("file_path", r"([^/]+)\.txt$", 1).alias("file_path")
+    nodes = dump_trees.dump_nodes(read.select(F.lit("dumps").alias("repo"), name, "content"))
+    return tree_stats.tree_stats(nodes, ["file_path"])
+
+
 def snapshot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table written by engine and repository, and read back whole."""
     folder = fresh_folder(spark, "snapshot")
     nodes = json_trees.json_nodes(b.syntax_trees(spark, sf_dir)).withColumn("engine", F.lit("generic"))
     # Repositories are folders here, so a bounded set of them is used as partitions.
     by_bucket = nodes.withColumnRenamed("repo", "conv").withColumn("repo", F.concat(F.lit("r"), F.col("conv") % 10))
     writers.write_snapshot(by_bucket, folder)
     back = spark.read.parquet(folder)
-    return back.groupBy("engine", "repo", "kind").agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
+    return back.select("engine", "repo", "conv", "file_path", "node_id", "parent_id", "depth", "kind", "text", "start_line", "end_col", "closes")
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    """Documents, pages and event dumps packed into archives and analysed twice as one batch, as
+    after a failure. Sizes stand for times, so that results do not depend on the machine."""
+    landing = fresh_folder(spark, "analyse-landing")
+    d, p, e = (b.table(spark, sf_dir, t) for t in ("documents", "pages", "events"))
+    part = lambda name, key, n: F.concat(F.lit(name), F.floor(F.col(key) / n).cast("string")).alias("archive")
+    docs = d.select(part("docs-", "doc_id", 500), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("entry_path"), F.col("text").alias("content"))
+    web = p.select(part("pages-", "page_id", 200), F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".html")).alias("entry_path"), F.col("html").alias("content"))
+    number = F.regexp_extract("file_path", "^([0-9]+)", 1).cast("bigint")
+    dumps = b.event_dumps(spark, sf_dir).select(
+        F.concat(F.lit("events-"), F.floor(number / 2000).cast("string")).alias("archive"), F.concat("repo", F.lit("/"), "file_path").alias("entry_path"), "content"
+    )
+    writers.write_archives(docs.unionByName(web).unionByName(dumps), landing).write.format("noop").mode("overwrite").save()
+
+    def measure(found: DataFrame) -> DataFrame:
+        chars, size = F.coalesce(F.char_length("content"), F.lit(0)).cast("bigint"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint")
+        return found.withColumns({"ts": F.lit("2024-01-01").cast("timestamp"), "parse_ns": chars * 10_000, "total_ns": chars * 20_000, "rss_bytes": size * 100, "heap_bytes": chars * 100})
+
+    job = Analysis(fresh_folder(spark, "analysis"), "generic", _dialects(), measure, b.LANGUAGE_LABELS)
+    for _ in range(2):
+        job.run(archives.archive_files(spark, landing), 0)
+    return job
+
+
+def analyse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive to history: the lines that one job leaves there."""
+    return trees.read_history(spark, _analysis(spark, sf_dir).folder("history"))
+
+
+def analyse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive to files: what became of each."""
+    return _analysis(spark, sf_dir).files(spark)
+
+
+def stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of which some are uploaded again, holding every second file: the newer ones
+    replace what came before; a call that finds nothing new changes nothing."""
+    landing, out, checkpoint = (fresh_folder(spark, n) for n in ("newest-landing", "newest", "newest-state"))
+    d = b.table(spark, sf_dir, "documents")
+    number = F.floor(F.col("doc_id") / 200)
+    packed = lambda rows: rows.select(
+        F.concat(F.lit("docs-"), number.cast("string")).alias("archive"),
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("entry_path"),
+        F.col("text").alias("content"),
+    )
+
+    def summarise(batch: DataFrame) -> DataFrame:
+        dims = files.with_line_count(files.with_dimensions(archives.archive_to_files(batch)))
+        labelled = files.with_language(dims, b.LANGUAGE_LABELS)
+        return labelled.groupBy("repo", "language").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
+
+    for place, rows in (("first", d), ("second", d.filter((number % 2 == 0) & (F.col("doc_id") % 2 == 0))), (None, None)):
+        if rows is not None:
+            writers.write_archives(packed(rows), f"{landing}/{place}").write.format("noop").mode("overwrite").save()
+        ingest.ingest_newest(spark, landing, out, checkpoint, summarise)
+    return ingest.read_newest(spark, out).select("repo", "language", "files", "loc")
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,6 +573,12 @@ def queries() -> dict[str, Query]:
         "json_tree_nodes": json_tree_nodes,
         "named_nodes": named_nodes,
         "outline": outline,
+        "outline_json": outline_json,
+        "page_outline": page_outline,
+        "dump_outline": dump_outline,
+        "offset_nodes": offset_nodes,
+        "offset_stats": offset_stats,
+        "shifted_nodes": shifted_nodes,
         "deep_tree_stats": deep_tree_stats,
         "json_or_raw": json_or_raw,
         "generic_tree_stats": generic_tree_stats,
@@ -437,6 +594,7 @@ def queries() -> dict[str, Query]:
         "dir_rollup": dir_rollup,
         "renest_json": renest_json,
         "response_body": response_body,
+        "response_trees": response_trees,
         "corpus_totals": corpus_totals,
         "language_rollup": language_rollup,
         "status_counts": status_counts,
@@ -454,8 +612,13 @@ def queries() -> dict[str, Query]:
         "history_union": history_union,
         "scan_archives": scan_archives,
         "scan_tree": scan_tree,
+        "text_dumps": text_dumps,
+        "dumps_read": dumps_read,
+        "analyse_history": analyse_history,
+        "analyse_files": analyse_files,
         "snapshot_write": snapshot_write,
         "snapshot_json": snapshot_json,
         "stream_ingest": stream_ingest,
+        "stream_newest": stream_newest,
         "stream_history": stream_history,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -29,9 +30,37 @@ def write_snapshot(nodes: DataFrame, folder: str, batch_id: int | None = None) -
     gathered.write.mode(_mode(batch_id)).partitionBy("engine", "repo").parquet(_batch(folder, batch_id))
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Each file of (file_path, content) as a file of its own below ``folder``; returns what was
+    written (file_path, bytes) when it is computed. A null content makes an empty directory. A
+    file appears under its own name only when complete, and is replaced by a retry."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, plain = open_path(folder)
+        made = set()
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch["file_path"], batch["content"]):
+                target = f"{plain}/{path}"
+                parent = target if content is None else target.rsplit("/", 1)[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                data = (content or "").encode()
+                if content is not None:
+                    hidden = f"{parent}/.{uuid.uuid4().hex}.part"
+                    with system.open_output_stream(hidden) as out:
+                        out.write(data)
+                    system.move(hidden, target)
+                sizes.append(len(data))
+            yield pd.DataFrame({"file_path": batch["file_path"], "bytes": sizes})
+
+    return files.select("file_path", "content").mapInPandas(write, "file_path STRING, bytes BIGINT")
+
+
 def write_dumps(files: DataFrame, folder: str) -> None:
-    """Dump text by language."""
-    files.select("language", F.col("content").alias("value")).write.mode("append").partitionBy("language").text(folder)
+    """Dumps by language, one JSON line per file, so that each can be read as the file it was."""
+    files.select("language", "file_path", "content").write.mode("append").partitionBy("language").json(folder)
 
 
 def write_fragments(fragments: DataFrame, order: list[str], folder: str) -> None:

@@ -1,9 +1,9 @@
 """Zip archives as tables of entries.
 
 An archive is read in two steps. Its directory is listed first, so names can be pruned and
-filtered before any content is touched. Then entries are dealt over the cluster and each is
-read at its own offset, so one very large archive is shared by many tasks and never loaded
-as a whole.
+filtered before any content is touched. Then entries are dealt over the cluster by their packed
+bytes and each is read at its own offset, so one very large archive is shared by many tasks and
+never loaded as a whole.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, extension, is_pruned, without_zip
-from .layout import open_path
+from .layout import dealt_by_bytes, open_path
 
 ENTRY_DDL = (
     "archive STRING, entry_path STRING, ordinal BIGINT, is_dir BOOLEAN, offset BIGINT, packed BIGINT, "
     "size BIGINT, method INT, flags INT, crc BIGINT, error STRING"
 )
 CONTENT_DDL = "archive STRING, entry_path STRING, content STRING, error STRING"
-# Entries read by one task in one go, and bytes handed over per batch.
-ENTRIES_PER_CHUNK = 256
+# Packed bytes read by one task, what opening an entry costs beside them, and bytes handed over
+# per batch.
+TASK_BYTES = 64 * 1024 * 1024
+ENTRY_COST = 4096
 BATCH_BYTES = 32 * 1024 * 1024
 
 
@@ -43,11 +45,9 @@ def archive_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_archives(archives: DataFrame) -> DataFrame:
-    """The newest archive of each repository name."""
-    return (
-        archives.groupBy(without_zip(base_name(F.col("path"))).alias("repo"))
-        .agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
-    )
+    """The newest archive of each repository name: repo, path, modificationTime."""
+    newest = archives.groupBy(without_zip(base_name(F.col("path"))).alias("repo")).agg(F.max(F.struct("modificationTime", "path")).alias("_a"))
+    return newest.select("repo", "_a.path", "_a.modificationTime")
 
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,21 +132,14 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def entry_contents(entries: DataFrame) -> DataFrame:
-    """Text of each entry. Neighbouring entries are read together, and chunks of one archive
-    go to different tasks. Archives that could not be listed pass through with their error."""
-    wanted = entries.filter(~F.col("is_dir"))
-    chunk = F.floor(F.col("ordinal") / ENTRIES_PER_CHUNK)
-    # The number is given because these rows are small but their contents are not: partitions
-    # merged by the size of the rows would leave the reading to a few tasks.
-    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        wanted.withColumn("_chunk", chunk)
-        .repartition(tasks, "archive", "_chunk")
-        .sortWithinPartitions("archive", "offset")
-        .select("archive", "entry_path", "offset", "packed", "size", "method", "flags", "crc", "error")
-        .mapInPandas(_read, CONTENT_DDL)
-    )
+def entry_contents(entries: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Text of each entry. Entries are dealt over tasks of equal packed bytes in the order of
+    their archives, so neighbours are read together, a very large archive is shared by many
+    tasks, and many small ones by one. Archives that could not be listed pass through with
+    their error."""
+    wanted = entries.filter(~F.col("is_dir")).withColumn("_cost", F.coalesce("packed", F.lit(0)) + ENTRY_COST)
+    dealt = dealt_by_bytes(wanted, "_cost", ["archive", "offset", "ordinal"], task_bytes)
+    return dealt.select("archive", "entry_path", "offset", "packed", "size", "method", "flags", "crc", "error").mapInPandas(_read, CONTENT_DDL)
 
 
 def archive_to_files(archives: DataFrame, extensions: list[str] | None = None) -> DataFrame:

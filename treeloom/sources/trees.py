@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import ENGINE_COLUMN, HISTORY_DDL, RUN_DDL
 from ..functions.paths import is_pruned
+from ..operators.ordering import numbered
 
 
 def below(path: Column, root: str) -> Column:
@@ -39,6 +40,24 @@ def text_dumps(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_dumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Dumps written by language: language, file_path, content."""
+    return spark.read.schema("file_path STRING, content STRING, language STRING").json(folder)
+
+
+def pieces_in_order(spark: SparkSession, folder: str, key: str, name: str = "position") -> DataFrame:
+    """Lines of text files written in order, numbered from 1 within each ``key`` (a partition
+    column of the folder): by file name, place in the file, and line."""
+    read = spark.read.text(folder).select(
+        key,
+        F.col("value").alias("fragment"),
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    return numbered(read, [key], ["_file", "_start", "_line"], name).select(key, name, "fragment")
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Run history lines; a blank line of a run without files is skipped."""
     reader = spark.read.schema(HISTORY_DDL).option("header", True).option("recursiveFileLookup", True)

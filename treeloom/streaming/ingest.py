@@ -1,14 +1,19 @@
-"""Archives processed once each, on arrival, and run records appended batch by batch."""
+"""Archives processed on arrival, each once or the newest of a name in place of the older, and
+run records appended batch by batch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..fixed_values import BINARY_FILE_DDL
+from ..session import durable
 from ..sinks.writers import write_history, write_runs
+from ..sources.archives import latest_archives
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -49,6 +54,47 @@ def ingest_archives(
     run_available(archive_stream(spark, landing), checkpoint, handle)
 
 
+def _stamps(spark: SparkSession, out: str) -> DataFrame | None:
+    """repo and the time and path of the archive its rows come from; None before the first."""
+    try:
+        held = spark.read.parquet(out)
+    except AnalysisException:
+        return None
+    return held.filter("row_kind = 'archive'").select("repo", F.struct("modificationTime", "path").alias("_held"))
+
+
+def ingest_newest(
+    spark: SparkSession, landing: str, out: str, checkpoint: str, summarise: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Rows of the newest archive of each repository alone. ``summarise`` gives rows with repo.
+
+    The rows of a repository are a folder of their own, with one more row that says which archive
+    they come from: the state by repository. A newer archive replaces its folder, an older one
+    that arrives late is left out, and a replayed batch writes the same folders again. An
+    archive without rows leaves its repository without rows.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        newest = latest_archives(batch)
+        held = _stamps(spark, out)
+        if held is not None:
+            met = newest.join(held, "repo", "left")
+            newest = met.filter(F.col("_held").isNull() | (F.struct("modificationTime", "path") >= F.col("_held"))).drop("_held")
+        # Which archives are taken must not change while their rows are written.
+        newest = durable(newest)
+        marks = newest.withColumn("row_kind", F.lit("archive"))
+        rows = summarise(newest.select("path", "modificationTime")).withColumn("row_kind", F.lit("row"))
+        both = rows.unionByName(marks, allowMissingColumns=True)
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(out)
+
+    run_available(archive_stream(spark, landing), checkpoint, handle)
+
+
+def read_newest(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all repositories."""
+    return spark.read.parquet(out).filter("row_kind = 'row'").drop("row_kind", "path", "modificationTime")
+
+
 def append_runs(
     stream: DataFrame, records: Callable[[DataFrame], DataFrame], runs_folder: str, history_folder: str, checkpoint: str
 ) -> None:
