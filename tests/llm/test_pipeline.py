@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 
 from tests.llm.test_texts import base, fingerprint, reachable
-from treeloom.llm import bk_trees, co_training, ngram_ratio, phrase_index, warc_fixity
+from treeloom.llm import bk_trees, co_training, license_scan, line_runs, ngram_ratio, phrase_index, shared, warc_fixity
 
 
 @pytest.fixture
@@ -66,6 +66,29 @@ def test_stages_in_order(spark, docs, sf_dir):
     assert want and {r.doc_id for r in packed.collect()} == want
 
 
+def test_nothing_broadcast(spark, docs, sf_dir, monkeypatch):
+    """Where every side is beyond the limit, all joins are shuffled and results are the same."""
+    labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    texts = plain.select("doc_id", "text")
+
+    def every():
+        return [
+            rows(co_training.kept_rows(plain, labels)),
+            rows(ngram_ratio.judged(plain, labels)),
+            rows(bk_trees.near_duplicates(texts)),
+            rows(bk_trees.one_of_each(texts)),
+            rows(phrase_index.judged(texts, bench)),
+            rows(license_scan.license_matches(texts, license_scan.default_templates(spark))),
+            rows(line_runs.without_repeats(texts)),
+        ]
+
+    want = every()
+    for module, name in ((shared, "BROADCAST_ROWS"), (line_runs, "BROADCAST_ROWS")):
+        monkeypatch.setattr(module, name, 0)
+    assert every() == want
+
+
 # Fixity ----------------------------------------------------------------------------------
 
 

@@ -163,12 +163,50 @@ def test_phrases(spark, docs):
     assert phrase_index.judged(plain.limit(0), bench).count() == 0
 
 
+def near_items(text, items, slop=5, share=0.8):
+    """Items with a window of which a stretch of words holds enough terms, all places tried."""
+    w, found = PLAIN_WORDS.findall(lower(text)), set()
+    for item, said in items:
+        v = PLAIN_WORDS.findall(lower(said))
+        for k in range(max(1, len(v) - 9)) if v else ():
+            terms = set(v[k : k + 10])
+            length, needed = len(terms) + slop, -(-len(terms) * 4 // 5)
+            if any(len(terms & set(w[i : i + length])) >= needed for i in range(len(w))):
+                found.add(item)
+    return found
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "zebra eats apples and pears in the old garden today"), (2, "zebra alone")], "doc_id bigint, text string")
-    bench = spark.createDataFrame([(1, "zebra eats pears and apples in an old garden today")], "item_id bigint, text string")
-    assert [r.doc_id for r in phrase_index.proximity_matches(docs, bench).collect()] == []
-    near = bench.withColumn("text", F.lit("zebra eats pears and apples in the old garden today"))
-    assert {r.doc_id for r in phrase_index.proximity_matches(docs, near).collect()} == {1}
+    """Against brute force: rarest words changed or absent, words moved, dropped and put between."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(str(i), " ".join([f"rare{i}", *rnd.choices(vocabulary, k=rnd.randint(2, 16))])) for i in range(12)] + [("e", ""), ("n", None), ("o", "w1 w2")]
+    texts = [None, "", "w1", "zebra eats"]
+    for _ in range(120):
+        w = rnd.choices(vocabulary, k=rnd.randint(5, 30))
+        said = rnd.choice(items[:12])[1].split()
+        for _ in range(rnd.randint(0, 4)):
+            change = rnd.randrange(4)
+            at = rnd.randrange(len(said))
+            if change == 0:
+                said[at] = rnd.choice(vocabulary + ["unheard"])
+            elif change == 1:
+                said.insert(at, rnd.choice(vocabulary))
+            elif change == 2 and len(said) > 2:
+                said.pop(at)
+            else:
+                said.append(said.pop(at))
+        cut = rnd.randrange(len(w))
+        texts.append(" ".join(w[:cut] + said + w[cut:]))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, texts[5])], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {}
+    for r in phrase_index.proximity_matches(docs, bench).collect():
+        got.setdefault(r.doc_id, set()).add(r.item)
+    want = {i: near_items(t, items) for i, t in enumerate(texts)}
+    assert got == {i: found for i, found in want.items() if found} and len(got) > 30
+    assert phrase_index.proximity_matches(docs.limit(0), bench).count() == 0
+    assert phrase_index.proximity_matches(docs, bench.limit(0)).count() == 0
 
 
 # Licenses --------------------------------------------------------------------------------
@@ -184,10 +222,11 @@ def test_licenses(spark):
     vocabulary = [f"w{i}" for i in range(500)]
     filler = lambda n: " ".join(rnd.choices(vocabulary, k=n))
     rows = []
-    for i in range(80):
+    for i in range(96):
         _, text = license_scan.TEMPLATES[i % len(license_scan.TEMPLATES)]
         w = text.split()
-        for _ in range(i // 40):
+        # Up to five words changed, in long templates well above the least containment.
+        for _ in range(i // 17):
             w[rnd.randrange(len(w))] = "changed"
         rows.append((i, f"{filler(rnd.randint(0, 90))} {' '.join(w)} {filler(rnd.randint(0, 90))}"))
     rows += [(100, None), (101, ""), (102, "four words are few"), (103, filler(4000))]
@@ -206,6 +245,16 @@ def test_licenses(spark):
     assert license_scan.license_matches(docs.limit(0), license_scan.default_templates(spark)).count() == 0
 
 
+def test_templates_of_a_folder(spark, tmp_path):
+    whole = "\n".join(f"Clause {i} of this license says that thing number {i} may be done, and that others may not." for i in range(60))
+    (tmp_path / "Own-1.0.txt").write_text(whole)
+    (tmp_path / "Empty.txt").write_text("")
+    templates = license_scan.folder_templates(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, f"before {whole} after"), (2, whole[:1500]), (3, "none")], "doc_id bigint, text string")
+    found = [(r.doc_id, r.license, r.contained) for r in license_scan.license_matches(docs, templates).collect()]
+    assert found == [(1, "Own-1.0", 1.0)]
+
+
 # Quality ---------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ A window is ten consecutive words of a benchmark item. The corpus is counted for
 terms, the rarest terms of each window become its anchors, and the index holds postings (term,
 document, position) of anchors alone. A window's posting lists, each shifted by the term's
 offset, are intersected from the rarest on; what is left is compared word by word with the
-document, so matches are exact. All of it is DataFrame functions.
+document, so matches are exact. Proximity matches are found from the places of the terms that
+a match cannot do without. All of it is DataFrame functions.
 
 Words are lower-cased in A-Z only. Null or wordless texts have no words and no hits. Null
 item ids hit like others but are not listed. Rows that repeat a document keep a result each;
@@ -109,20 +110,43 @@ def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return settled(found, made)
 
 
-def proximity_matches(
-    docs: DataFrame, benchmark: DataFrame, slop: int = 5, share: float = 0.8, width: int = WIDTH
-) -> DataFrame:
-    """doc_id, item, start, found: places where at least ``share`` of a window's distinct terms
-    stand within ``slop`` words of the window's span, its rarest term at its own offset."""
+def _rarest(docs: DataFrame, found: DataFrame, share: float) -> DataFrame:
+    """term, window, needed, stretch's terms: for each window as many of its rarest distinct
+    terms that a place with ``share`` of all of them must hold one of these."""
+    distinct = found.select("window", "items", F.array_distinct("terms").alias("terms"))
+    needed = F.ceil(F.size("terms") * share).cast("int")
+    spread = distinct.withColumn("needed", needed).select("window", "terms", "items", "needed", F.explode("terms").alias("term"))
+    terms = stored(spread.select("term").distinct(), "near-terms")
+    cut = _words(docs.select("text")).select(F.explode("words_").alias("term"))
+    counts = stored(cut.join(small(terms, F.octet_length("term")), "term").groupBy("term").agg(F.count("*").alias("n")), "near-counts")
+    # A term that never occurs is the rarest of all, and has no place to look at.
+    counted = spread.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy("n", "term")))
+    return ranked.filter((F.col("rank") <= F.size("terms") - F.col("needed") + 1) & (F.col("n") > 0)).select("term", "window", "terms", "items", "needed")
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, share: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """doc_id, key_ (XXH64 of the text), item: documents of which some stretch of words, ``slop``
+    longer than a window of the item, holds ``share`` of the window's distinct terms, in any order.
+
+    A stretch that holds k of d terms holds one of any d - k + 1 of them, so the places of each
+    window's d - k + 1 rarest terms are all there is to look at: the words around each are
+    compared with the window's terms. No match is lost, whichever of its words are changed."""
     found = stored(windows(benchmark, width), "windows")
-    near = candidates(docs, found, "doc_id", "text", many=1)
-    both = _beside(docs, found, near, "doc_id", "text").select("doc_id", "words_", F.explode("near_").alias("c"))
-    first = F.greatest(F.col("c.start") - slop, F.lit(0))
-    span = F.slice("words_", first + 1, F.col("c.start") - first + F.size("c.terms") + slop)
-    terms = F.array_distinct("c.terms")
-    part = F.size(F.array_intersect(terms, span)) / F.size(terms)
-    placed = both.select("doc_id", F.explode("c.items").alias("item"), F.col("c.start").alias("start"), part.alias("found"))
-    return placed.filter(F.col("found") >= share)
+    anchored = stored(_rarest(docs, found, share), "near-anchors")
+    terms = stored(anchored.select("term").distinct(), "near-anchor-terms")
+    cut = settled(_words(docs.select("doc_id", F.xxhash64("text").alias("key_"), "text")).drop("text"), ["words_"])
+    reach = width + slop - 1
+    around = lambda i: F.slice("words_", F.greatest(i - reach, F.lit(0)) + 1, reach + 1 + F.least(i, F.lit(reach)))
+    places = cut.select("doc_id", "key_", F.explode(F.transform("words_", lambda w, i: F.struct(w.alias("term"), i.alias("at")))).alias("p"), "words_")
+    met = places.select("doc_id", "key_", F.col("p.term").alias("term"), F.col("p.at").alias("at"), "words_").join(small(terms), "term", "left_semi")
+    near = met.select("doc_id", "key_", "term", around(F.col("at")).alias("near")).join(small(anchored, F.octet_length("window") * 2), "term")
+    length = F.size("terms") + slop
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - length + 1, F.lit(1)))
+    held = F.exists(starts, lambda s: F.size(F.array_intersect("terms", F.slice("near", s, length))) >= F.col("needed"))
+    # Few words in common altogether: no stretch can hold enough.
+    hits = near.filter(F.size(F.array_intersect("terms", "near")) >= F.col("needed")).filter(held)
+    return hits.select("doc_id", "key_", F.explode("items").alias("item")).distinct()
 
 
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def small(df: DataFrame, width: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has no more than ``rows`` rows, and no more than
-    ``BROADCAST_BYTES`` bytes in its wide columns, whose bytes in a row ``width`` gives; a
+def small(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``BROADCAST_ROWS`` rows, and no more
+    than ``BROADCAST_BYTES`` bytes in its wide columns, whose bytes in a row ``width`` gives; a
     larger one is left to a shuffled join. ``df`` should be stored: it is counted."""
     n, wide = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if width is None else width), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and wide <= BROADCAST_BYTES else df
+    return F.broadcast(df) if n <= BROADCAST_ROWS and wide <= BROADCAST_BYTES else df
 
 
 def where_found(df: DataFrame, flag: str) -> DataFrame:
