@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from treeloom.fixed_values import ENGINE_COLUMN
 from treeloom.functions.numbers import iso_millis
-from treeloom.operators import directories, files, ordering, renest, runs
+from treeloom.operators import directories, files, ordering, renest, runs, snapshots
 from treeloom.operators.dispatch import Dialects, file_results, json_results, line_results, markup_results
 from treeloom.operators.line_trees import line_nodes
 from treeloom.sinks.writers import write_fragments
@@ -169,3 +169,51 @@ def test_written_pieces_are_the_document(spark, tmp_path):
     folders = body["nodes"][0]["children"]
     assert [d["name"] for d in folders] == [f"d{i}" for i in range(7)]
     assert {c["filePath"] for d in folders for c in d["children"]} == {n for _, n in names}
+
+
+def plain_differences(a, b, path=()):
+    """Topmost differences of two trees (label, children), by a plain recursion."""
+    if a is None or b is None or a[0] != b[0]:
+        count = lambda t: None if t is None else 1 + sum(count(c) for c in t[1])
+        return [("/".join(map(str, path)), "removed" if b is None else "added" if a is None else "changed", count(a), count(b))]
+    out = []
+    for i in range(max(len(a[1]), len(b[1]))):
+        out += plain_differences(*[t[1][i] if i < len(t[1]) else None for t in (a, b)], (*path, i))
+    return out
+
+
+def test_snapshots_against_a_recursion(spark):
+    source = random.Random(12)
+
+    def tree(depth):
+        return (source.choice("abc"), [tree(depth - 1) for _ in range(source.randrange(4))] if depth else [])
+
+    def altered(t):
+        kids = [altered(c) for c in t[1] if source.random() > 0.08]
+        if source.random() < 0.1:
+            kids.insert(source.randrange(len(kids) + 1), tree(1))
+        return (source.choice("abc") if source.random() < 0.1 else t[0], kids)
+
+    def rows(file, t):
+        out = []
+
+        def go(node, depth):
+            out.append((file, len(out) + 1, depth, node[0], None, node[0] * 2))
+            for c in node[1]:
+                go(c, depth + 1)
+
+        go(t, 1)
+        return out
+
+    before = {str(i): tree(4) for i in range(60)}
+    after = {k: t if int(k) % 3 == 0 else altered(t) for k, t in before.items() if int(k) % 7}
+    after["new"] = tree(3)
+    ddl = "file string, node_id int, depth int, kind string, field_name string, text string"
+    left, right = (spark.createDataFrame([r for k, t in side.items() for r in rows(k, t)], ddl) for side in (before, after))
+    got = sorted(tuple(r) for r in snapshots.compare(left, right, ["file"]).collect())
+    want = []
+    for k in {*before, *after}:
+        want += [(k, *d) for d in plain_differences(before.get(k), after.get(k), (0,))]
+    assert got == sorted(want, key=lambda d: d[:2]) and len(got) > 60
+    assert snapshots.compare(left, left, ["file"]).count() == 0
+    assert snapshots.compare(left.limit(0), right.limit(0), ["file"]).count() == 0

@@ -92,16 +92,17 @@ def nest_by_steps(steps: pa.Array) -> pa.Array:
     """Nodes from tag steps: 1 opens, 0 is a childless element, -1 closes the innermost one."""
     values, token_starts = _split(steps)
     token_row = np.repeat(np.arange(len(steps), dtype=np.int64), np.diff(token_starts))
-    after = np.empty(len(values), np.int64)
-    rest = np.empty(len(values), np.int64)
-    for begin, end in zip(token_starts[:-1], token_starts[1:]):
-        total = np.cumsum(values[begin:end])
-        # A close with nothing open is ignored, so the total never rests below zero.
-        total = total - np.minimum(np.minimum.accumulate(total), 0) if end > begin else total
-        after[begin:end] = total
-        # Lowest level reached by any later token.
-        low = np.minimum.accumulate(total[::-1])[::-1]
-        rest[begin:end] = np.append(low[1:], np.iinfo(np.int64).max)[: end - begin]
+    total = np.cumsum(values)
+    total = total - np.r_[0, total][token_starts[token_row]] if len(values) else total
+    # An offset by row starts each row's running minimum anew, forwards and backwards.
+    apart = token_row << 40
+    lowest = np.minimum.accumulate(total - apart) + apart
+    # A close with nothing open is ignored, so the total never rests below zero.
+    after = total - np.minimum(lowest, 0)
+    # Lowest level reached by any later token.
+    onwards = np.minimum.accumulate((after + apart)[::-1])[::-1] - apart
+    rest = np.full(len(values), np.iinfo(np.int64).max)
+    rest[:-1] = np.where(token_row[1:] == token_row[:-1], onwards[1:], rest[:-1])
     picked = np.flatnonzero(values >= 0)
     holds = values[picked] == 1
     level = after[picked] + np.where(holds, 0, 1)
@@ -220,3 +221,87 @@ def nest_marked(levels: pa.Array, marks: pa.Array) -> pa.Array:
     structs = pa.StructArray.from_arrays(fields, names=MARKED_TYPE.elementType.names)
     counts = np.bincount(line, minlength=len(levels)) if len(levels) else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), structs)
+
+
+DIFFERENCES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("path", T.ArrayType(T.IntegerType())),  # places among siblings, from the root down
+            T.StructField("left", T.IntegerType()),  # index of the node on either side
+            T.StructField("right", T.IntegerType()),
+            T.StructField("left_nodes", T.IntegerType()),  # nodes of its subtree
+            T.StructField("right_nodes", T.IntegerType()),
+        ]
+    )
+)
+
+
+class _Subtrees:
+    """Trees of a batch in preorder, with a hash of every subtree, made bottom-up."""
+
+    def __init__(self, levels: pa.Array, hashes: pa.Array):
+        level, self.starts = _split(levels)
+        n = len(level)
+        self.own = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        row = np.repeat(np.arange(len(levels), dtype=np.int64), np.diff(self.starts))
+        self.parent = _parents(level, row, np.ones(n, bool)) if n else level
+        self.ends = subtree_ends(level, row)
+        self.whole = self.own.copy()
+        order = np.argsort(-level, kind="stable")
+        place = np.zeros(n, np.uint64)
+        # Siblings in order: the place of each among those of its parent.
+        sibling = np.lexsort((np.arange(n), self.parent, row))
+        if n:
+            new = np.r_[True, (self.parent[sibling][1:] != self.parent[sibling][:-1]) | (row[sibling][1:] != row[sibling][:-1])]
+            run = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            place[sibling] = (np.arange(n) - run).astype(np.uint64)
+        for here in np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if n else ():
+            mixed = (self.whole[here] ^ (self.whole[here] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + place[here]
+            self.whole[here] = mixed ^ (mixed >> np.uint64(32))
+            below = here[self.parent[here] >= 0]
+            np.add.at(self.whole, self.parent[below], self.whole[below] * np.uint64(0x9E3779B97F4A7C15))
+
+    def children(self, at: int) -> list[int]:
+        out, child = [], at + 1
+        while child <= self.ends[at]:
+            out.append(child)
+            child = int(self.ends[child]) + 1
+        return out
+
+    def roots(self, row: int) -> list[int]:
+        out, child = [], int(self.starts[row])
+        while child < self.starts[row + 1]:
+            out.append(child)
+            child = int(self.ends[child]) + 1
+        return out
+
+
+def _descend(left: _Subtrees, right: _Subtrees, row: int):
+    """The topmost differences of one tree, in preorder. Equal subtrees are not entered."""
+    pairs = [((), left.roots(row), right.roots(row))]
+    while pairs:
+        path, ours, theirs = pairs.pop()
+        below = []
+        for i in range(max(len(ours), len(theirs))):
+            a, b = (side[i] if i < len(side) else None for side in (ours, theirs))
+            if a is not None and b is not None:
+                if left.whole[a] == right.whole[b]:
+                    continue
+                if left.own[a] == right.own[b]:
+                    below.append(((*path, i), left.children(a), right.children(b)))
+                    continue
+            sizes = [None if at is None else int(side.ends[at]) - at + 1 for side, at in ((left, a), (right, b))]
+            at = [None if at is None else at - int(side.starts[row]) for side, at in ((left, a), (right, b))]
+            yield list((*path, i)), *at, *sizes
+        pairs.extend(reversed(below))
+
+
+@F.arrow_udf(returnType=DIFFERENCES)
+def tree_differences(left_levels: pa.Array, left_hashes: pa.Array, right_levels: pa.Array, right_hashes: pa.Array) -> pa.Array:
+    """Where two trees differ, from every node's depth and own hash in preorder. Nodes are paired
+    by their place among their siblings; a pair whose own hashes are equal is entered only where
+    the hashes of its subtrees differ, another is a difference as a whole."""
+    left, right = _Subtrees(left_levels, left_hashes), _Subtrees(right_levels, right_hashes)
+    found = [[dict(zip(DIFFERENCES.elementType.names, d)) for d in _descend(left, right, row)] for row in range(len(left_levels))]
+    kind = pa.list_(pa.struct([("path", pa.list_(pa.int32())), *((n, pa.int32()) for n in DIFFERENCES.elementType.names[1:])]))
+    return pa.array(found, kind)

@@ -315,6 +315,14 @@ analysed_files AS (
 """
 
 
+ANALYSIS = f"""WITH {MARKUP}, {ANALYSED},
+    runs AS (SELECT repo, max(chars) * 20000 AS total, max(size) * 100 AS rss, max(chars) * 100 AS heap FROM analysed_files GROUP BY repo),
+    langs AS (SELECT repo, language, count(*)::BIGINT AS files, sum(loc)::BIGINT AS loc, sum(nodes)::BIGINT AS nodes, max(max_depth)::INT AS max_depth,
+      coalesce(sum(chars) FILTER (status = 'ok'), 0)::BIGINT * 10000 AS ns FROM analysed_files GROUP BY repo, language)
+    SELECT '2024-01-01T00:00:00.000Z' AS timestamp, 'generic' AS {ENGINE_COLUMN}, repo, language, files, loc, nodes, max_depth, {_sec("ns")} AS parse_sec,
+      {_sec("total")} AS total_sec, {_mb("rss")} AS peak_rss_mb, {_mb("heap")} AS peak_heap_mb FROM langs JOIN runs USING (repo)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "outline_json": f"""WITH {SYNTAX},
@@ -393,12 +401,17 @@ def oracle_sql() -> dict[str, str]:
         "dumps_read": f"SELECT {LANG} AS language, d.source || '/' || d.doc_id || '.' || d.lang AS file_path, d.text AS content FROM documents d",
         "analyse_files": f"""WITH {MARKUP}, {ANALYSED} SELECT repo, file_path, language, status, loc::BIGINT AS loc, nodes::BIGINT AS nodes, max_depth::INT AS max_depth
             FROM analysed_files""",
-        "analyse_history": f"""WITH {MARKUP}, {ANALYSED},
-            runs AS (SELECT repo, max(chars) * 20000 AS total, max(size) * 100 AS rss, max(chars) * 100 AS heap FROM analysed_files GROUP BY repo),
-            langs AS (SELECT repo, language, count(*)::BIGINT AS files, sum(loc)::BIGINT AS loc, sum(nodes)::BIGINT AS nodes, max(max_depth)::INT AS max_depth,
-              coalesce(sum(chars) FILTER (status = 'ok'), 0)::BIGINT * 10000 AS ns FROM analysed_files GROUP BY repo, language)
-            SELECT '2024-01-01T00:00:00.000Z' AS timestamp, 'generic' AS {ENGINE_COLUMN}, repo, language, files, loc, nodes, max_depth, {_sec("ns")} AS parse_sec,
-              {_sec("total")} AS total_sec, {_mb("rss")} AS peak_rss_mb, {_mb("heap")} AS peak_heap_mb FROM langs JOIN runs USING (repo)""",
+        "analyse_history": ANALYSIS,
+        "stream_analyse": ANALYSIS,
+        "snapshot_diff": """WITH s AS (SELECT conv_id, turn, string_split(text, chr(10)) AS ls, (conv_id + turn) % 5 AS part, (conv_id * 3 + turn) % 11 = 0 AS gone,
+              length(regexp_replace(text, '[^ \\n]', '', 'g')) + 1 AS ts FROM conversations),
+            d AS (
+              SELECT conv_id, turn, '0' AS path, 'removed' AS status, 1 + len(ls) + ts AS l, NULL AS r FROM s WHERE gone
+              UNION ALL SELECT conv_id, turn, '0/' || (len(ls) - 1) || '/' || len(string_split(ls[-1], ' ')), 'added', NULL, 1 FROM s WHERE NOT gone AND part = 0
+              UNION ALL SELECT conv_id, turn, '0/0/0', 'changed', 1, 1 FROM s WHERE NOT gone AND part = 1
+              UNION ALL SELECT conv_id, turn, '0/' || (len(ls) - 1), 'removed', 1 + len(string_split(ls[-1], ' ')), NULL FROM s WHERE NOT gone AND part = 2 AND len(ls) > 1
+              UNION ALL SELECT conv_id, turn, '0', 'changed', 2 + ts, 1 FROM s WHERE NOT gone AND part = 2 AND len(ls) = 1)
+            SELECT conv_id, turn, path, status, l::INT AS left_nodes, r::INT AS right_nodes FROM d""",
         "stream_newest": f"""SELECT 'docs-' || (d.doc_id // 200) AS repo, {LANG} AS language, count(*)::BIGINT AS files,
             sum(CASE WHEN d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END)::BIGINT AS loc FROM documents d
             WHERE (d.doc_id // 200) % 2 = 1 OR d.doc_id % 2 = 0 GROUP BY ALL""",

@@ -11,7 +11,7 @@ from ..fixed_values import ENGINE_COLUMN, OUTLINE_CLASS_BY_KIND
 from ..functions.numbers import iso_millis, megabytes
 from ..functions.paths import matches_pruned_glob, repo_name, run_tag, without_zip
 from ..functions.text import line_count, preview
-from ..operators import directories, dump_trees, files, json_trees, line_trees, markup_trees, outlines, renest, runs, tree_stats
+from ..operators import directories, dump_trees, files, json_trees, line_trees, markup_trees, outlines, renest, runs, snapshots, tree_stats
 from ..jobs.analyse import Analysis
 from ..operators.dispatch import Dialects, file_results, json_results, line_results, markup_results
 from ..sinks import writers
@@ -469,9 +469,9 @@ def snapshot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("engine", "repo", "conv", "file_path", "node_id", "parent_id", "depth", "kind", "text", "start_line", "end_col", "closes")
 
 
-def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    """Documents, pages and event dumps packed into archives and analysed twice as one batch, as
-    after a failure. Sizes stand for times, so that results do not depend on the machine."""
+def _analysis(spark: SparkSession, sf_dir: str) -> tuple[Analysis, str]:
+    """The analysis of documents, pages and event dumps packed into archives, and the archives'
+    folder. Sizes stand for times, so that results do not depend on the machine."""
     landing = fresh_folder(spark, "analyse-landing")
     d, p, e = (b.table(spark, sf_dir, t) for t in ("documents", "pages", "events"))
     part = lambda name, key, n: F.concat(F.lit(name), F.floor(F.col(key) / n).cast("string")).alias("archive")
@@ -487,20 +487,43 @@ def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
         chars, size = F.coalesce(F.char_length("content"), F.lit(0)).cast("bigint"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint")
         return found.withColumns({"ts": F.lit("2024-01-01").cast("timestamp"), "parse_ns": chars * 10_000, "total_ns": chars * 20_000, "rss_bytes": size * 100, "heap_bytes": chars * 100})
 
-    job = Analysis(fresh_folder(spark, "analysis"), "generic", _dialects(), measure, b.LANGUAGE_LABELS)
-    for _ in range(2):
-        job.run(archives.archive_files(spark, landing), 0)
-    return job
+    return Analysis(fresh_folder(spark, "analysis"), "generic", _dialects(), measure, b.LANGUAGE_LABELS), landing
 
 
 def analyse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive to history: the lines that one job leaves there."""
-    return trees.read_history(spark, _analysis(spark, sf_dir).folder("history"))
+    """Archive to history: the lines that one job leaves there, run twice as after a failure."""
+    job, landing = _analysis(spark, sf_dir)
+    for _ in range(2):
+        job.run(archives.archive_files(spark, landing), 0)
+    return trees.read_history(spark, job.folder("history"))
 
 
 def analyse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive to files: what became of each."""
-    return _analysis(spark, sf_dir).files(spark)
+    job, landing = _analysis(spark, sf_dir)
+    job.run(archives.archive_files(spark, landing), 0)
+    return job.files(spark)
+
+
+def stream_analyse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history from archives analysed as they arrive; a second call finds nothing new."""
+    job, landing = _analysis(spark, sf_dir)
+    checkpoint = fresh_folder(spark, "analyse-state")
+    for _ in range(2):
+        ingest.analyse_archives(spark, landing, job, checkpoint)
+    return trees.read_history(spark, job.folder("history"))
+
+
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of the line trees of all turns: some have a word more, another first word,
+    or a line less, and some are gone."""
+    c = spread(b.table(spark, sf_dir, "conversations"))
+    part, text = (F.col("conv_id") + F.col("turn")) % 5, F.col("text")
+    later = F.when(part == 0, F.concat(text, F.lit(" tail"))).when(part == 1, F.concat(F.lit("X"), text))
+    later = later.when(part == 2, F.regexp_replace(text, r"(?s)(^|\n)[^\n]*$", "")).otherwise(text)
+    after = c.filter((F.col("conv_id") * 3 + F.col("turn")) % 11 != 0).withColumn("text", later)
+    keys = ["conv_id", "turn"]
+    return snapshots.compare(line_trees.line_nodes(c, "text", tuple(keys)), line_trees.line_nodes(after, "text", tuple(keys)), keys)
 
 
 def stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -616,6 +639,8 @@ def queries() -> dict[str, Query]:
         "dumps_read": dumps_read,
         "analyse_history": analyse_history,
         "analyse_files": analyse_files,
+        "snapshot_diff": snapshot_diff,
+        "stream_analyse": stream_analyse,
         "snapshot_write": snapshot_write,
         "snapshot_json": snapshot_json,
         "stream_ingest": stream_ingest,

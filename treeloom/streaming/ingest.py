@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..fixed_values import BINARY_FILE_DDL
+from ..jobs.analyse import Analysis
 from ..session import durable
 from ..sinks.writers import write_history, write_runs
 from ..sources.archives import latest_archives
@@ -95,6 +96,12 @@ def read_newest(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).filter("row_kind = 'row'").drop("row_kind", "path", "modificationTime")
 
 
+def analyse_archives(spark: SparkSession, landing: str, job: Analysis, checkpoint: str) -> None:
+    """The whole analysis of each new archive, once: every batch of arrivals is a batch of the
+    job, whose folders a replay writes again."""
+    run_available(archive_stream(spark, landing), checkpoint, job.run)
+
+
 def append_runs(
     stream: DataFrame, records: Callable[[DataFrame], DataFrame], runs_folder: str, history_folder: str, checkpoint: str
 ) -> None:
