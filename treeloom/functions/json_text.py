@@ -59,8 +59,14 @@ def codes(pieces_: Column) -> Column:
             .when(F.octet_length(last) > 1, b.BAD)
             .otherwise(b.SCALAR)
         )
-        key = F.when(F.contains(piece, F.lit(":")), F.regexp_extract(piece, _KEY, 1)).otherwise("")
-        known = let(key, lambda k: F.when(k == "", 0).otherwise(b.KEYED + b.KEY * F.array_position(names, unescaped(k)).cast("int")))
+        # Without escapes the first quote before a colon ends the key, if another comes before it;
+        # blanks between the two are rare.
+        upto = F.substring_index(piece, '":', 1)
+        plain = F.contains(upto, F.lit('"')) & F.contains(piece, F.lit('":')) & ~F.contains(piece, F.lit("\\"))
+        quick = F.substring_index(upto, '"', -1)
+        slow = unescaped(F.nullif(F.regexp_extract(piece, _KEY, 1), F.lit("")))
+        key = F.when(plain, quick).when(F.contains(piece, F.lit(":")), slow)
+        known = let(key, lambda k: F.when(k.isNull(), 0).otherwise(b.KEYED + b.KEY * F.array_position(names, k).cast("int")))
         return sort + F.when(piece.startswith(",") & ~(single), b.COMMA).otherwise(0) + known
 
     return F.transform(pieces_, code)
