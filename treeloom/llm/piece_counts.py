@@ -90,7 +90,7 @@ def frequencies(docs: DataFrame) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
     rows = docs.select(F.monotonically_increasing_id().alias("row_"), "doc_id", size, "text")
     schema = f"row_ bigint, doc_id {kind}, n_bytes bigint, specials bigint, tokens array<string>, times array<int>"
-    return stored(rows.mapInArrow(_cut, schema), "frequencies")
+    return stored(rows.mapInArrow(_cut, schema), "frequencies", compression="zstd")
 
 
 def _key(token: Column) -> Column:

@@ -36,12 +36,12 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text), F.lit(""))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The same rows, written once to the shared folder and read from there. Cuts lineage, lets
     several uses share the work, and gives the planner true sizes."""
     spark = df.sparkSession
     folder = fresh_folder(spark, label)
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
