@@ -49,7 +49,7 @@ UNKNOWN = "und"
 # Words of a task whose hash is remembered.
 REMEMBERED = 400_000
 # Words counted at once.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 # Parts of a language's phrases ranked on their own first.
 SALTS = 64
 WORDS = ["w1", "w2", "w3", "w4"]
@@ -288,8 +288,10 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHAR
     # Spelling: only words that stand in a phrase.
     wanted = stored(kept.select(F.explode("p").alias("w")).distinct(), "wanted")
     pairs = dealt.filter("shard = -1").select(F.inline(F.arrays_zip("ids", "spelled")).alias("w", "word"))
-    words = pairs.join(small(wanted), "w", "left_semi").groupBy("w").agg(F.min("word").alias("word"), F.max("word").alias("other"))
-    words = stored(words, "spelled")
+    # Every task has spelled its own words. Each word once comes before the join, which as a
+    # semi-join would be moved below this.
+    every = pairs.groupBy("w").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    words = stored(every.join(small(wanted), "w"), "spelled")
     if not words.filter("word <> other").isEmpty():
         raise ValueError("two words share a hash")
     each = kept.select("id_", F.posexplode("p").alias("at", "w")).join(small(words.select("w", "word"), F.octet_length("word")), "w")
