@@ -70,3 +70,40 @@ def test_dump_lines(spark):
 )
 def test_url_path(spark, url, path):
     assert values(spark, paths.url_path, [url]) == [path]
+
+
+def test_workers_hold_no_more_for_larger_batches():
+    """What JSON and nesting need beside a batch follows the bytes looked at together, not the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from treeloom.functions import brackets, nesting
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    text = '{"type":"n","children":[' + ",".join(['{"type":"x","text":"t"}'] * 400) + "]}"
+    for scan in (brackets.tree_of, brackets.named_tree_of, brackets.root_of, brackets.object_sizes):
+        sizes = [peak(lambda: [None for _ in scan.func(iter([pa.array([text] * n)]))]) for n in (400, 1600)]
+        assert sizes[1] < 1.3 * sizes[0]
+    levels = [1] + [2, 3] * 2000
+    for nest, values in ((nesting.nest_by_levels, [levels]), (nesting.nest_marked, [levels, [1] * len(levels)])):
+        sizes = [peak(lambda: nest.func(*[pa.array([v] * n, pa.list_(pa.int32())) for v in values])) for n in (200, 800)]
+        # Its result, of 25 bytes a value, is all that grows.
+        assert sizes[1] - sizes[0] < 50 * 600 * len(levels)
+
+
+def test_positions_are_read_as_casts_do(spark):
+    from treeloom.functions.brackets import whole
+
+    said = ["5", "-7", "+8", " 12 ", "1.5", "-1.9", "1e2", "3000000000", "2147483647.5", "2147483648", "-2147483648.9", "1e400", "true", "null",
+            "", "x", "1d", "2.5F", "0x1p3", "NaN", "Infinity", "inf", ".5", "5.", "1e", "--1", "1_0", " 3", "\t4\n", "١"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    cast = rows.selectExpr("i", "coalesce(try_cast(s as int), try_cast(try_cast(s as double) as int)) as n").orderBy("i").collect()
+    assert [(s, whole(s)) for s in said] == [(s, r.n) for s, r in zip(said, cast)]
