@@ -364,3 +364,17 @@ def test_renest_gives_the_tree_back(spark):
     whole = {f: "".join(p.fragment for p in pieces if p.file_path == f) for f in "01"}
     assert json.loads(whole["0"]) == filled(CLASS)
     assert json.loads(whole["1"])["text"] == 'quote " \\ \n é'
+
+
+def test_renested_documents_are_whole(spark, tmp_path):
+    """A document a turn, also where turns repeat their keys."""
+    from treeloom.plans import queries
+
+    said = ["a b\nc", "a b\nc", "", 'quote " é', "one\n\ntwo three"]
+    rows = [(1, 1, said[0]), (1, 1, said[1]), (None, 2, said[2]), (2, 1, said[3]), (2, 1, said[4])]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.renest_json(spark, str(tmp_path)).collect()
+    trees = [json.loads(r.json) for r in found]
+    spelled = lambda t: "\n".join(" ".join(w["text"] for w in line["children"]) for line in t["children"]) if "children" in t else t["text"]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    assert sorted(((r.conv_id, r.turn, spelled(t)) for r, t in zip(found, trees)), key=key) == sorted(rows, key=key)

@@ -56,6 +56,14 @@ def json_fragments(nodes: DataFrame, keys: list[str], offsets: bool = False) ->
     )
 
 
+def nested_json(nodes: DataFrame, keys: list[str], offsets: bool = False) -> DataFrame:
+    """``keys`` and ``json``: each file's nodes nested again, as one document. A file's document
+    must fit one row; larger ones are written from their pieces (``writers.write_fragments``)."""
+    pieces = F.array_sort(F.collect_list(F.struct("node_id", "fragment")))
+    text = F.array_join(F.transform(pieces, lambda p: p["fragment"]), "")
+    return json_fragments(nodes, keys, offsets).groupBy(*keys).agg(text.alias("json"))
+
+
 def _place(path: Column, closing: bool = False) -> Column:
     """Sorts pieces into document order: folders before what they hold, closing brackets after
     it, children by name."""

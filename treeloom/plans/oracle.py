@@ -499,7 +499,7 @@ def oracle_sql() -> dict[str, str]:
         "dir_tree": f"WITH {PAGE_PATHS} SELECT DISTINCT 'web' AS repo, dir_path, parent_path, name, depth::INT AS depth FROM dirs",
         "dir_rollup": f"""WITH {PAGE_PATHS} SELECT 'web' AS repo, dir_path, count(*)::BIGINT AS files, sum(loc)::BIGINT AS loc
             FROM dirs GROUP BY dir_path""",
-        "renest_json": f"WITH {LINES}, {PIECE} SELECT conv_id, turn, node_id, fragment FROM pieces",
+        "renest_json": f"WITH {LINES}, {PIECE} SELECT conv_id, turn, string_agg(fragment, '' ORDER BY node_id) AS json FROM pieces GROUP BY conv_id, turn",
         "response_body": RESPONSE,
         "snapshot_json": f"SELECT repo, row_number() OVER (ORDER BY string_split(place, '/')) AS position, fragment FROM ({RESPONSE})",
         "status_counts": f"""WITH s AS (SELECT CASE event_type WHEN 'error' THEN 'raw' WHEN 'signup' THEN 'error' ELSE 'ok' END AS status,
