@@ -239,3 +239,17 @@ def test_analysis_counts_every_file_once(spark, landing):
     lines = {(r.repo, r.language): (r.files, r.loc, r.nodes, r.parse_sec) for r in trees.read_history(spark, job.folder("history")).collect()}
     assert lines == {("one", "javascript"): (1, 2, 6, 0.002), ("one", "python"): (1, 1, 3, 0.002), ("two", ".json"): (2, 2, 2, 0.002), ("two", "python"): (1, 0, 1, 0.002)}
     assert trees.read_runs(spark, job.folder("runs")).count() == 2
+
+
+def test_small_files_and_directories_share_a_batch(tmp_path):
+    """A batch a file or a directory costs more than reading it."""
+    import pandas as pd
+
+    names = [f"d{i}" for i in range(300)]
+    for name in names:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.py").write_text(name)
+    listed = list(walk._list(str(tmp_path))(iter([pd.DataFrame({"path": ["", *names, "gone"]})])))
+    assert len(listed) == 1 and len(listed[0]) == 300 + 1 + 300 * 2 + 1 and listed[0]["error"].notna().sum() == 1
+    read = list(walk._read(str(tmp_path))(iter([pd.DataFrame({"path": [f"{n}/a.py" for n in names]})])))
+    assert len(read) == 1 and list(read[0]["content"]) == names

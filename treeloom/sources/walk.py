@@ -27,25 +27,34 @@ COLUMNS = ["path", "is_dir", "size", "listed", "entries", "error"]
 # Bytes of files read by one task, and what opening a file costs beside them.
 TASK_BYTES = 64 * 1024 * 1024
 FILE_COST = 4096
+# Rows and bytes handed over per batch.
+BATCH_ROWS = 10_000
+BATCH_BYTES = 32 * 1024 * 1024
 
 
 def _list(root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, plain = open_path(root)
+        rows: list[tuple] = []
         for batch in batches:
             for path in batch["path"]:
                 here = f"{plain}/{path}" if path else plain
                 try:
                     found = system.get_file_info(fs.FileSelector(here))
                 except OSError as problem:
-                    yield pd.DataFrame([(path, True, None, True, 0, f"{type(problem).__name__}: {problem}")], columns=COLUMNS)
-                    continue
-                rows = [(path, True, None, True, len(found), None)]
+                    found = []
+                    rows.append((path, True, None, True, 0, f"{type(problem).__name__}: {problem}"))
+                else:
+                    rows.append((path, True, None, True, len(found), None))
                 for entry in found:
                     is_dir = entry.type == fs.FileType.Directory
                     below = f"{path}/{entry.base_name}" if path else entry.base_name
                     rows.append((below, is_dir, None if is_dir else entry.size, False, None, None))
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                    if len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=COLUMNS)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
@@ -74,14 +83,22 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
 def _read(root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, plain = open_path(root)
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
             for path in batch["path"]:
                 try:
                     with system.open_input_stream(f"{plain}/{path}") as handle:
-                        row = (path, handle.read().decode("utf-8", "replace"), None)
+                        data = handle.read()
+                    rows.append((path, data.decode("utf-8", "replace"), None))
+                    held += len(data)
                 except OSError as problem:
-                    row = (path, None, f"{type(problem).__name__}: {problem}")
-                yield pd.DataFrame([row], columns=["path", "content", "error"])
+                    rows.append((path, None, f"{type(problem).__name__}: {problem}"))
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content", "error"])
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
 
     return run
 
