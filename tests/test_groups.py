@@ -141,6 +141,20 @@ def test_every_file_has_a_result(spark):
     assert nodes.count() == 8 and "status" not in nodes.columns
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_are_counted_without_sorting_them(spark):
+    rows = [("r", "a", ".txt", "x y", "ok", None), ("r", "a", ".txt", "z", "error", "unread"), ("r", "b", ".txt", None, "ok", None), (None, None, ".txt", "x\n\ny", "ok", None)]
+    found = Dialects().register("lines", [".txt"], line_results).results(spark.createDataFrame(rows, RESULTS), ["repo", "file_path"])
+    made = file_results(found, ["repo", "file_path"])
+    # What stands lowest in the plan takes the nodes; strings are sorted above it, a row a file.
+    assert plan_of(made).rfind("HashAggregate") > plan_of(made).rfind("SortAggregate")
+    got = {(r.repo, r.file_path): (r.status, r.error, r.nodes, r.max_depth) for r in made.collect()}
+    assert got == {("r", "a"): ("ok", "unread", 4, 3), ("r", "b"): ("ok", None, 1, 1), (None, None): ("ok", None, 7, 3)}
+
+
 def test_answer_with_trees(spark, tmp_path):
     """Folders and nodes in one text, read back in order; a repeated path counts once."""
     rows = [("r", f"d{i % 3}/f{i}.txt", f"word{i} and\nmore", "bad" if i == 4 else None) for i in range(12)]

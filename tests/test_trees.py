@@ -378,3 +378,28 @@ def test_renested_documents_are_whole(spark, tmp_path):
     spelled = lambda t: "\n".join(" ".join(w["text"] for w in line["children"]) for line in t["children"]) if "children" in t else t["text"]
     key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
     assert sorted(((r.conv_id, r.turn, spelled(t)) for r, t in zip(found, trees)), key=key) == sorted(rows, key=key)
+
+
+def test_line_nodes_become_rows_before_they_have_fields(spark):
+    texts = ["", None, "a", "a b", "\n", " ", "é ü\n\n x  y\nz\n"]
+    df = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo string, file_path string, content string")
+    made = line_trees.line_nodes(df)
+    # Only a word and its place are built for each node before it is a row.
+    assert "posexplode(concat(" in made._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for i, text in enumerate(texts):
+        held = text.split("\n") if text else []
+        end = (max(len(held), 1), len(held[-1]) if held else 0)
+        want.add((str(i), 1, None, 1, 0, 0, "document", None, "" if not held else None, 1, 0, *end, 0, len(text or ""), not held))
+        at, node = 0, 2
+        for n, line in enumerate(held):
+            own, col, words = node, 0, line.split(" ")
+            want.add((str(i), own, 1, 2, n, 0, "line", "document", None, n + 1, 0, n + 1, len(line), at, at + len(line), False))
+            for j, w in enumerate(words):
+                closes = 0 if j < len(words) - 1 else 1 if n < len(held) - 1 else 2
+                want.add((str(i), own + 1 + j, own, 3, j, closes, "token", "line", w, n + 1, col, n + 1, col + len(w), at + col, at + col + len(w), True))
+                col += len(w) + 1
+            at, node = at + len(line) + 1, own + 1 + len(words)
+    names = ["file_path", "node_id", "parent_id", "depth", "ordinal", "closes", "kind", "parent_kind", "text", "start_line", "start_col", "end_line", "end_col", "start_off", "end_off", "is_leaf"]
+    rows = [tuple(r) for r in made.select(*names).collect()]
+    assert len(rows) == len(want) and set(rows) == want

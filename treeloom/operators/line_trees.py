@@ -9,11 +9,6 @@ from ..functions.nesting import starts_of
 from ..functions.text import lines
 from .node_table import as_nodes
 
-FIELDS = [
-    "node_id", "parent_id", "depth", "ordinal", "closes", "kind", "text",
-    "start_line", "start_col", "end_line", "end_col", "start_off", "end_off", "is_leaf",
-]
-
 
 def line_tree_sizes(files: DataFrame, text: str = "content") -> DataFrame:
     """Add ``nodes`` and ``max_depth`` of each file's line tree, where the nodes themselves are
@@ -54,8 +49,7 @@ def line_nodes(files: DataFrame, text: str = "content", keys: tuple[str, ...] =
         first, words = F.get("_first", i), F.get("_words", i)
         return F.struct(
             (first + 2).alias("node_id"),
-            (i + 1).alias("line"),
-            text.alias("text"),
+            F.char_length(text).alias("length"),
             F.get("_line_at", i).alias("at"),
             F.arrays_zip(
                 words.alias("word"), F.slice("_token_at", first - i + 1, F.size(words)).alias("at")
@@ -70,75 +64,54 @@ def line_nodes(files: DataFrame, text: str = "content", keys: tuple[str, ...] =
         "_chars",
         F.posexplode_outer(F.transform("_lines", line)).alias("_i", "_l"),
     )
-    l = F.col("_l")
-    length = F.char_length(l["text"])
-
-    def node(**fields: Column) -> Column:
-        return F.struct(*[fields[k].alias(k) for k in FIELDS])
-
-    one, zero = F.lit(1), F.lit(0)
-    root = node(
-        node_id=one,
-        parent_id=F.lit(None).cast("int"),
-        depth=one,
-        ordinal=zero,
-        closes=zero,
-        kind=F.lit("document"),
-        text=F.when(F.col("_count") == 0, ""),
-        start_line=one,
-        start_col=zero,
-        end_line=F.greatest(F.col("_count"), one),
-        end_col=F.col("_tail"),
-        start_off=zero,
-        end_off=F.col("_chars"),
-        is_leaf=F.col("_count") == 0,
-    )
-    line_node = node(
-        node_id=l["node_id"],
-        parent_id=one,
-        depth=F.lit(2),
-        ordinal=F.col("_i"),
-        closes=zero,
-        kind=F.lit("line"),
-        text=F.lit(None).cast("string"),
-        start_line=l["line"],
-        start_col=zero,
-        end_line=l["line"],
-        end_col=length,
-        start_off=l["at"],
-        end_off=l["at"] + length,
-        is_leaf=F.lit(False),
+    # A line's row holds its tokens behind an empty place for the line, and in the first row one
+    # more for the document; what a node is follows from its place, so that no node is built as
+    # a value of its own before it is a row.
+    empty = F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("at"))
+    heads = F.when(F.col("_l").isNull(), F.array(empty)).when(F.col("_i") == 0, F.array(empty, empty)).otherwise(F.array(empty))
+    tokens = F.coalesce(F.col("_l.tokens"), F.array().cast("array<struct<word:string,at:int>>"))
+    rows = per_line.select(
+        *keys,
+        "_count",
+        "_tail",
+        "_chars",
+        "_i",
+        F.when(F.coalesce(F.col("_i"), F.lit(0)) == 0, 2).otherwise(1).alias("_heads"),
+        F.col("_l.node_id").alias("_id"),
+        F.col("_l.length").alias("_length"),
+        F.col("_l.at").alias("_at"),
+        F.size("_l.tokens").alias("_size"),
+        F.col("_l.is_last").alias("_last"),
+        F.posexplode(F.concat(heads, tokens)).alias("_j", "_t"),
     )
+    # The place among the line's tokens; -1 for the line, -2 for the document.
+    k, at, size = F.col("_j") - F.col("_heads"), F.col("_t.at"), F.char_length("_t.word")
+    is_root, is_token = k == -2, k >= 0
 
-    def token_node(t: Column, j: Column) -> Column:
-        size = F.char_length(t["word"])
-        col = t["at"] - l["at"]
-        ends_line = j == F.size(l["tokens"]) - 1
-        return node(
-            node_id=l["node_id"] + 1 + j,
-            parent_id=l["node_id"],
-            depth=F.lit(3),
-            ordinal=j,
-            closes=F.when(ends_line & l["is_last"], 2).when(ends_line, 1).otherwise(0),
-            kind=F.lit("token"),
-            text=t["word"],
-            start_line=l["line"],
-            start_col=col,
-            end_line=l["line"],
-            end_col=col + size,
-            start_off=t["at"],
-            end_off=t["at"] + size,
-            is_leaf=F.lit(True),
-        )
+    def node(root: Column, line: Column, token: Column) -> Column:
+        return F.when(is_token, token).when(is_root, root).otherwise(line)
 
-    own = F.when(
-        l.isNotNull(), F.concat(F.array(line_node), F.transform(l["tokens"], token_node))
-    ).otherwise(F.filter(F.array(root), lambda n: F.lit(False)))
-    with_root = F.when(F.coalesce(F.col("_i"), zero) == 0, F.concat(F.array(root), own)).otherwise(own)
-    n = F.col("_n")
-    rows = per_line.select(*keys, F.explode(with_root).alias("_n"))
-    given = {k: n[k] for k in FIELDS}
-    parent_kind = F.when(n["depth"] == 3, "line").when(n["depth"] == 2, "document")
+    one, zero, none = F.lit(1), F.lit(0), F.lit(None)
+    number, ends_line = F.col("_i") + 1, k == F.col("_size") - 1
     return as_nodes(
-        rows, list(keys), "lines", parent_kind=parent_kind, is_named=F.lit(True), is_error=F.lit(False), **given
+        rows,
+        list(keys),
+        "lines",
+        node_id=F.when(is_root, one).otherwise(F.col("_id") + 1 + k),
+        parent_id=node(none, one, F.col("_id")),
+        depth=F.least(k, zero) + 3,
+        ordinal=node(zero, F.col("_i"), k),
+        closes=F.when(is_token & ends_line, F.when(F.col("_last"), 2).otherwise(1)).otherwise(0),
+        kind=node(F.lit("document"), F.lit("line"), F.lit("token")),
+        parent_kind=node(none, F.lit("document"), F.lit("line")),
+        is_named=F.lit(True),
+        text=F.when(is_root & (F.col("_count") == 0), "").otherwise(F.col("_t.word")),
+        start_line=F.when(is_root, one).otherwise(number),
+        start_col=F.when(is_token, at - F.col("_at")).otherwise(0),
+        end_line=F.when(is_root, F.greatest(F.col("_count"), one)).otherwise(number),
+        end_col=node(F.col("_tail"), F.col("_length"), at - F.col("_at") + size),
+        start_off=node(zero, F.col("_at"), at),
+        end_off=node(F.col("_chars"), F.col("_at") + F.col("_length"), at + size),
+        is_leaf=F.when(is_root, F.col("_count") == 0).otherwise(is_token),
+        is_error=F.lit(False),
     )
