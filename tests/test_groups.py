@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from treeloom.fixed_values import ENGINE_COLUMN
 from treeloom.functions.numbers import iso_millis
+from treeloom.jobs.analyse import Analysis
 from treeloom.operators import directories, files, ordering, renest, runs, snapshots
 from treeloom.operators.dispatch import Dialects, file_results, json_results, line_results, markup_results
 from treeloom.operators.line_trees import line_nodes
@@ -155,6 +156,21 @@ def test_nodes_are_counted_without_sorting_them(spark):
     assert got == {("r", "a"): ("ok", "unread", 4, 3), ("r", "b"): ("ok", None, 1, 1), (None, None): ("ok", None, 7, 3)}
 
 
+def test_analysis_counts_nodes_without_sorting_them(spark):
+    nodes = spark.createDataFrame(
+        [("r", "a", 1, 1, "ok"), ("r", "a", 2, 2, "ok"), ("r", "a", None, None, "error"), ("r", "b", None, None, "ok")],
+        "repo string, file_path string, node_id int, depth int, status string")
+    listed = spark.createDataFrame(
+        [("r", p, lang, status, 5, 7, 8, 9, 1) for p, lang, status in (("a", "x", "ok"), ("b", "y", "ok"), (None, None, "error"))],
+        "repo string, file_path string, language string, status string, loc bigint, parse_ns bigint, total_ns bigint, rss_bytes bigint, heap_bytes bigint",
+    ).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    made = Analysis("nowhere", "generic", Dialects(), lambda f: f)._per_file(nodes, listed)
+    plan = plan_of(made)
+    assert plan.rfind("HashAggregate") > plan.find("SortAggregate") and plan.count("HashAggregate") == 2
+    got = {r.file_path: (r.language, r.status, r.nodes, r.max_depth, r["loc"], r.parse_ns) for r in made.collect()}
+    assert got == {"a": ("x", "error", 2, 2, 5, 0), "b": ("y", "ok", 0, 0, 5, 7)}
+
+
 def test_answer_with_trees(spark, tmp_path):
     """Folders and nodes in one text, read back in order; a repeated path counts once."""
     rows = [("r", f"d{i % 3}/f{i}.txt", f"word{i} and\nmore", "bad" if i == 4 else None) for i in range(12)]

@@ -253,3 +253,22 @@ def test_small_files_and_directories_share_a_batch(tmp_path):
     assert len(listed) == 1 and len(listed[0]) == 300 + 1 + 300 * 2 + 1 and listed[0]["error"].notna().sum() == 1
     read = list(walk._read(str(tmp_path))(iter([pd.DataFrame({"path": [f"{n}/a.py" for n in names]})])))
     assert len(read) == 1 and list(read[0]["content"]) == names
+
+
+def test_a_listing_is_read_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    folder = str(seen)
+
+    def listed(batches):
+        import tempfile
+
+        import pandas as pd
+
+        for _ in batches:
+            tempfile.mkstemp(dir=folder)
+            yield pd.DataFrame([("gone.zip", "a", 0, False, None, None, None, None, None, None, "unread")], columns=[c.split()[0] for c in archives.ENTRY_DDL.split(", ")])
+
+    entries = spark.range(0, 1, 1, 1).mapInPandas(listed, archives.ENTRY_DDL)
+    assert [r.error for r in archives.entry_contents(entries).collect()] == ["unread"]
+    assert len(list(seen.iterdir())) == 1

@@ -68,17 +68,19 @@ class Analysis:
         return spark.read.schema(rows.schema).parquet(self.folder("nodes", batch_id))
 
     def _per_file(self, nodes: DataFrame, files: DataFrame) -> DataFrame:
-        """A row per file, nodes and files counted together, so that nothing is joined. An
+        """A row per file, nodes and files counted together, so that nothing is joined. Nodes are
+        counted on their own before: strings among the totals would have every node sorted. An
         archive that could not be opened has no file and no record; the table of files has its
         error."""
-        keys = ["repo", "file_path", "language"]
+        keys = ["repo", "file_path"]
         none = lambda kind: F.lit(None).cast(kind)
-        by_node = nodes.select("repo", "file_path", none("string").alias("language"), "node_id", "depth", "status", *[none("bigint").alias(c) for c in ("loc", *MEASURES[1:])], none("timestamp").alias("ts"))
-        by_file = files.filter(F.col("file_path").isNotNull()).select(*keys, none("int").alias("node_id"), none("int").alias("depth"), "status", "loc", *MEASURES[1:], "ts")
-        each = by_node.unionByName(by_file).groupBy("repo", "file_path").agg(
+        counted = nodes.groupBy(*keys, "status").agg(F.count("node_id").alias("nodes"), F.max("depth").alias("depth"))
+        by_node = counted.select(*keys, none("string").alias("language"), "nodes", "depth", "status", *[none("bigint").alias(c) for c in ("loc", *MEASURES[1:])], none("timestamp").alias("ts"))
+        by_file = files.filter(F.col("file_path").isNotNull()).select(*keys, "language", F.lit(0).cast("bigint").alias("nodes"), none("int").alias("depth"), "status", "loc", *MEASURES[1:], "ts")
+        each = by_node.unionByName(by_file).groupBy(*keys).agg(
             F.max("language").alias("language"),
             F.min("status").alias("status"),  # an error comes before ok
-            F.count("node_id").alias("nodes"),
+            F.sum("nodes").alias("nodes"),
             F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"),
             *[F.max(c).alias(c) for c in ("loc", *MEASURES)],
         )

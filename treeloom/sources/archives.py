@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, extension, is_pruned, without_zip
+from ..session import durable
 from .layout import dealt_by_bytes, open_path
 
 ENTRY_DDL = (
@@ -137,7 +138,8 @@ def entry_contents(entries: DataFrame, task_bytes: int = TASK_BYTES) -> DataFram
     their archives, so neighbours are read together, a very large archive is shared by many
     tasks, and many small ones by one. Archives that could not be listed pass through with
     their error."""
-    wanted = entries.filter(~F.col("is_dir")).withColumn("_cost", F.coalesce("packed", F.lit(0)) + ENTRY_COST)
+    # Kept, since dealing reads them twice and a listing opens every archive.
+    wanted = durable(entries.filter(~F.col("is_dir")).withColumn("_cost", F.coalesce("packed", F.lit(0)) + ENTRY_COST))
     dealt = dealt_by_bytes(wanted, "_cost", ["archive", "offset", "ordinal"], task_bytes)
     return dealt.select("archive", "entry_path", "offset", "packed", "size", "method", "flags", "crc", "error").mapInPandas(_read, CONTENT_DDL)
 
