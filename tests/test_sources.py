@@ -272,3 +272,18 @@ def test_a_listing_is_read_once(spark, tmp_path):
     entries = spark.range(0, 1, 1, 1).mapInPandas(listed, archives.ENTRY_DDL)
     assert [r.error for r in archives.entry_contents(entries).collect()] == ["unread"]
     assert len(list(seen.iterdir())) == 1
+
+
+def test_small_dumps_share_a_task(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"d {i}%.txt").write_text(f"A: '{i}'\n  B: 'é'\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / ".hidden").write_text("x")
+    (tmp_path / "empty").write_text("")
+    (tmp_path / "folder").mkdir()
+    found = trees.text_dumps(spark, str(tmp_path))
+    got = {r.file_path.rsplit("/", 1)[-1]: r.content for r in found.collect()}
+    assert got == {f"d {i}%.txt": f"A: '{i}'\n  B: 'é'\n" for i in range(200)} | {"empty": ""}
+    assert found.rdd.getNumPartitions() == 1
+    with pytest.raises(FileNotFoundError):
+        trees.text_dumps(spark, str(tmp_path / "nowhere"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import ENGINE_COLUMN, HISTORY_DDL, RUN_DDL
 from ..functions.paths import is_pruned
 from ..operators.ordering import numbered
+from . import walk
 
 
 def below(path: Column, root: str) -> Column:
@@ -34,9 +35,12 @@ def directory_files(spark: SparkSession, root: str, repo: str, extensions: list[
 
 
 def text_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Dumps, one file per row."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content")
+    """Dumps of a folder, one file per row. Small files share a task, as many as make up its
+    bytes; a file that cannot be read fails the job."""
+    read = walk.contents(walk.files_in(spark, path), path)
+    return read.select(
+        F.concat(F.lit(path.rstrip("/") + "/"), "path").alias("file_path"),
+        F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error("error")).alias("content"),
     )
 
 

@@ -80,6 +80,16 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return files.unionByName(counted)
 
 
+def files_in(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of one folder: path (relative to it), is_dir and size. Folders in it are not
+    entered, and names that begin with a dot or an underscore are left out, as Spark does."""
+    listed = durable(spark.createDataFrame([("",)], "path string").mapInPandas(_list(folder), ENTRY_DDL))
+    problem = listed.filter(F.col("error").isNotNull()).first()
+    if problem is not None:
+        raise FileNotFoundError(problem.error)
+    return listed.filter(~F.col("is_dir") & ~F.col("path").rlike("^[._]")).select("path", "is_dir", "size")
+
+
 def _read(root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, plain = open_path(root)
