@@ -255,6 +255,22 @@ def test_small_files_and_directories_share_a_batch(tmp_path):
     assert len(read) == 1 and list(read[0]["content"]) == names
 
 
+def test_only_the_folders_of_a_batch_are_opened(spark, tmp_path):
+    landing, out, state = str(tmp_path / "landing"), str(tmp_path / "out"), str(tmp_path / "state")
+    os.makedirs(landing)
+    for name in ("7", "007", "a b=c", "other"):
+        make_zip(f"{landing}/{name}.zip", [("a.py", "x", zipfile.ZIP_STORED)])
+    summarise = lambda batch: archives.archive_to_files(batch).groupBy("repo").agg(F.count("*").alias("files"))
+    ingest.ingest_newest(spark, landing, out, state, summarise)
+    held = ingest._stamps(spark, out, ["007", "a b=c", "unknown"])
+    assert {r.repo: r._held.path.rsplit("/", 1)[-1] for r in held.collect()} == {"007": "007.zip", "a b=c": "a b=c.zip"}
+    assert len({f.rsplit("/", 2)[-2] for f in held.inputFiles()}) == 2
+    assert ingest._stamps(spark, out, ["unknown"]) is None
+    assert ingest._stamps(spark, str(tmp_path / "nothing"), ["007"]) is None
+    # A repository's rows and mark are one file.
+    assert sum(len(list(d.glob("*.parquet"))) for d in (tmp_path / "out").iterdir() if d.is_dir()) == 4
+
+
 def test_a_listing_is_read_once(spark, tmp_path):
     seen = tmp_path / "seen"
     seen.mkdir()

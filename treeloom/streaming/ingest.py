@@ -4,8 +4,9 @@ run records appended batch by batch."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +16,7 @@ from ..jobs.analyse import Analysis
 from ..session import durable
 from ..sinks.writers import write_history, write_runs
 from ..sources.archives import latest_archives
+from ..sources.layout import open_path
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -55,13 +57,18 @@ def ingest_archives(
     run_available(archive_stream(spark, landing), checkpoint, handle)
 
 
-def _stamps(spark: SparkSession, out: str) -> DataFrame | None:
-    """repo and the time and path of the archive its rows come from; None before the first."""
-    try:
-        held = spark.read.parquet(out)
-    except AnalysisException:
+def _stamps(spark: SparkSession, out: str, repos: list[str]) -> DataFrame | None:
+    """repo and the time and path of the archive its rows come from, for those of ``repos`` that
+    have rows; None if none has. Only their folders are opened, however many there are."""
+    system, plain = open_path(out)
+    names = [entry.base_name for entry in system.get_file_info(fs.FileSelector(plain, allow_not_found=True))]
+    folders = {unquote(name.removeprefix("repo=")): name for name in names if name.startswith("repo=")}
+    held = [f"{out}/{folders[repo]}" for repo in repos if repo in folders]
+    if not held:
         return None
-    return held.filter("row_kind = 'archive'").select("repo", F.struct("modificationTime", "path").alias("_held"))
+    schema = "row_kind string, modificationTime timestamp, path string, repo string"
+    found = spark.read.schema(schema).option("basePath", out).parquet(*held)
+    return found.filter("row_kind = 'archive'").select("repo", F.struct("modificationTime", "path").alias("_held"))
 
 
 def ingest_newest(
@@ -73,19 +80,25 @@ def ingest_newest(
     they come from: the state by repository. A newer archive replaces its folder, an older one
     that arrives late is left out, and a replayed batch writes the same folders again. An
     archive without rows leaves its repository without rows.
+
+    A batch costs what its own archives cost, whatever is held already. Its repositories are
+    dealt over the cores, since opening their folders and files takes longer than their rows.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_archives(batch)
-        held = _stamps(spark, out)
+        tasks = spark.sparkContext.defaultParallelism
+        newest = durable(latest_archives(batch).repartition(tasks))
+        # No more names than archives of a batch.
+        held = _stamps(spark, out, [row.repo for row in newest.select("repo").collect()])
         if held is not None:
             met = newest.join(held, "repo", "left")
             newest = met.filter(F.col("_held").isNull() | (F.struct("modificationTime", "path") >= F.col("_held"))).drop("_held")
         # Which archives are taken must not change while their rows are written.
-        newest = durable(newest)
+        newest = durable(newest.repartition(tasks))
         marks = newest.withColumn("row_kind", F.lit("archive"))
         rows = summarise(newest.select("path", "modificationTime")).withColumn("row_kind", F.lit("row"))
         both = rows.unionByName(marks, allowMissingColumns=True)
+        both = both.repartition(tasks, "repo")
         both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(out)
 
     run_available(archive_stream(spark, landing), checkpoint, handle)
