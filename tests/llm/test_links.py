@@ -194,6 +194,41 @@ def test_phrases_of_nothing(spark, empty):
     assert mined(spark.createDataFrame([(None, None)], "text string, lang string")) == []
 
 
+@pytest.mark.parametrize("bits", [6, 7, 8])
+def test_phrases_of_shared_buckets(spark, monkeypatch, bits):
+    """A bucket opened early by another phrase does not end a longer phrase's probation before
+    its own shorter ones are counted."""
+    monkeypatch.setattr(itemset_phrases, "BITS", bits)
+    rnd = random.Random(bits)
+    rows = []
+    for i in range(40):
+        rows += [(" ".join([f"x{i}"] * 4), "en")] * rnd.randint(5, 9)
+        rows += [(f"a{i} b{i} c{i} d{i}", rnd.choice(["en", "fr"])) for _ in range(16)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert mined(df, threshold=5, top=500) == phrases_by_hand(rows, 5, 500)
+
+
+def test_phrases_in_blocks(spark, monkeypatch):
+    """Documents of a task are one block for a language and shard, unless it grows too large."""
+    rows = [(f"Some words, no {i % 7}! some\n", lang) for i in range(200) for lang in ("en", None)]
+    df = spark.createDataFrame([*rows, ("", "de"), (None, "de")], "text string, lang string").coalesce(1)
+    blocks = itemset_phrases.shards_of(df, 2).collect()
+    assert sorted((b.lang, b.shard, b.n) for b in blocks) == [("en", 0, 1000), ("und", 1, 1000)]
+    spelled = {}
+    for b in blocks:
+        for w, word in zip(b.new, b.spelled):
+            assert spelled.setdefault(w, (b.lang, word)) == (b.lang, word)
+    assert sorted(spelled.values()) == sorted((lang, w) for lang in ("en", "und") for w in ["some", "words", "no", *"0123456"])
+    for b in blocks:
+        ids, codes = np.frombuffer(b.ids, np.uint64), np.frombuffer(b.codes, np.uint16)
+        said = [spelled[w][1] if w else "|" for w in ids.view(np.int64)[codes].tolist()]
+        assert " ".join(said[:10]) == "some words | no 0 | some | some words"
+    monkeypatch.setattr(itemset_phrases, "BLOCK", 64)
+    parts = list(itemset_phrases._shards(1)(iter(df.limit(40).toArrow().to_batches())))
+    assert len(parts) > 5 and sum(p.column("n")[0].as_py() for p in parts) == 40 * 5
+
+
 def test_scores_are_exact(spark):
     rows = [(2**62, 2**62, 2**62 + 1), (10**17 + 7, 3 * 10**17, 10**17 + 9), (30, 30, 31)]
     df = spark.createDataFrame(rows, "a bigint, l bigint, r bigint")

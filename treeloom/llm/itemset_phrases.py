@@ -15,7 +15,8 @@ missed, and the counts themselves are kept by the words, so results are exact. C
 aggregation a step, over what tasks have counted beforehand; a common phrase is no hot key.
 
 Words are known by 64-bit hashes while they are counted and are spelled at the end; two words of
-one hash would be found there and reported as an error.
+one hash would be found there and reported as an error. The hash is of the language and the word,
+so phrases of different languages never meet and the language itself is not counted by.
 
 Null texts are empty; a null language is ``und``. Repeated rows count each. An empty table gives
 no rows. Other columns are not looked at.
@@ -23,19 +24,20 @@ no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
-from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_folder
-from .shared import small, stored, table
+from .shared import LOWER, UPPER, small, stored, table
 
 THRESHOLD = 30
 LONGEST = 4
@@ -48,27 +50,36 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
 # Words of a task whose hash is remembered.
 REMEMBERED = 400_000
-# Words counted at once.
-TOGETHER = 1 << 20
+# Bytes of text of a block, and of all blocks a task holds back.
+BLOCK = 4 << 20
+HELD_BACK = 32 << 20
+# Places in a phrase's mark of the step it was admitted in and of the step it was activated in.
+SINCE, ACTIVE = 40, 32
 # Parts of a language's phrases ranked on their own first.
 SALTS = 64
 WORDS = ["w1", "w2", "w3", "w4"]
+# Stands for an end of a piece; no byte of UTF-8.
+_END = b"\xff"
+_LOWER_CUT = bytes.maketrans(UPPER.encode() + PIECE_ENDS, LOWER.encode() + _END * len(PIECE_ENDS))
 
 
 # Shards ------------------------------------------------------------------------------------
 
 
 class _Hashes(dict):
-    """Hashes by word, worked out when first asked for. The first ``REMEMBERED`` words are kept;
-    ``new`` holds those worked out since it was taken."""
+    """Hashes by word of one language, worked out when first asked for; zero for what ends a
+    piece. They are kept while there is room, which all languages share; ``new`` holds those
+    worked out since it was taken."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, lang: str, room: list[int]):
+        super().__init__({_END: 0, b"": 0})
+        self.seed, self.room = xxhash.xxh64_intdigest(lang.encode()), room
         self.new: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        known = self.new[word] = xxhash.xxh64_intdigest(word) or 1
-        if len(self) < REMEMBERED:
+        known = self.new[word] = xxhash.xxh64_intdigest(word, self.seed) or 1
+        if self.room[0] > 0:
+            self.room[0] -= 1
             self[word] = known
         return known
 
@@ -77,41 +88,80 @@ class _Hashes(dict):
         return new
 
 
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The words of texts of one language, with an end of a piece between texts: numbers, and
+    the word of each number."""
+    said = _END.join(texts).translate(_LOWER_CUT).replace(_END, b" " + _END + b" ")
+    one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(said)])), pa.py_buffer(said)])
+    words = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary.cast(pa.large_binary()).to_pylist()
+
+
+def _block(lang: str, shard: int, texts: list[bytes], hashes: _Hashes) -> pa.RecordBatch:
+    codes, words = _numbered(texts)
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    ends = (ids == 0)[codes]
+    n = len(codes) - int(np.count_nonzero(ends))
+    codes = codes[np.r_[True, ~(ends[1:] & ends[:-1])]]
+    new = hashes.taken()
+    row = {
+        "lang": pa.array([lang], pa.string()),
+        "n": pa.array([n], pa.int64()),
+        "codes": pa.array([codes.astype(_code_type(len(ids))).tobytes()], pa.binary()),
+        "ids": pa.array([ids.tobytes()], pa.binary()),
+        # Words met for the first time, and their spelling.
+        "new": pa.array([np.fromiter(new.values(), np.uint64, len(new)).view(np.int64)], pa.list_(pa.int64())),
+        "spelled": pa.array([[w.decode() for w in new]], pa.list_(pa.string())),
+        "shard": pa.array([shard], pa.int32()),
+    }
+    return pa.RecordBatch.from_arrays(list(row.values()), list(row))
+
+
+def _code_type(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _shards(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, row = _Hashes(), 0
-        cut = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
+        known, room, row = {}, [REMEMBERED], 0
+        held, sizes = defaultdict(list), Counter()
+
+        def block(key) -> pa.RecordBatch:
+            lang, shard = key
+            if lang not in known:
+                known[lang] = _Hashes(lang, room)
+            sizes.pop(key)
+            return _block(lang, shard, held.pop(key), known[lang])
+
         for batch in batches:
-            flat, ends = array("Q"), [0]
-            for text in batch.column("text").to_pylist():
-                for piece in (text or "").encode().lower().translate(cut).split(b"\n"):
-                    words = piece.split()
-                    if words:
-                        flat.extend(map(hashes.__getitem__, words))
-                        flat.append(0)
-                ends.append(len(flat))
-            n = batch.num_rows
-            numbers = (np.arange(row, row + n) % shards).astype(np.int32)
-            row += n
-            # The spelling of words met for the first time is a row of its own.
-            new = hashes.taken()
-            flat.extend(new.values())
-            ends.append(len(flat))
-            spelled = pa.array([None] * n + [[w.decode() for w in new]], pa.list_(pa.string()))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int64)))
-            lang = pa.array([x if x is not None else UNKNOWN for x in batch.column("lang").to_pylist()] + [None], pa.string())
-            yield pa.RecordBatch.from_arrays([lang, lists, spelled, pa.array(np.r_[numbers, np.int32(-1)], pa.int32())], ["lang", "ids", "spelled", "shard"])
+            batch.column("text").validate(full=True)
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for text, lang in zip(texts, batch.column("lang").to_pylist()):
+                key = (UNKNOWN if lang is None else lang, row % shards)
+                row += 1
+                if text:
+                    held[key].append(text)
+                    sizes[key] += len(text)
+                    if sizes[key] >= BLOCK:
+                        yield block(key)
+            if sizes.total() >= HELD_BACK:
+                yield from map(block, list(sizes))
+        yield from map(block, list(sizes))
 
     return run
 
 
 def shards_of(docs: DataFrame, shards: int) -> DataFrame:
-    """Stored rows of ``docs`` (text, lang): lang, ids (hashes of the words, a zero after each
-    piece) and shard; and on shard -1 the hashes and spellings of the words."""
+    """Stored blocks of ``docs`` (text, lang), each of one language and one shard: lang, n (its
+    words), codes (places in ids, one a word and one an end of a piece), ids (hashes of the words
+    in their language, zero for the end), new and spelled (hashes and spellings of words that a
+    task meets first), shard."""
     spark = docs.sparkSession
-    schema = "lang string, ids array<bigint>, spelled array<string>, shard int"
+    schema = "lang string, n bigint, codes binary, ids binary, new array<bigint>, spelled array<string>, shard int"
     folder = fresh_folder(spark, "shards")
-    docs.select("text", "lang").mapInArrow(_shards(shards), schema).write.partitionBy("shard").parquet(folder)
+    # A reader holds the blocks of one group of rows at once.
+    options = {"parquet.block.row.count.limit": 32, "parquet.enable.dictionary": "false", "compression": "zstd"}
+    docs.select("text", "lang").mapInArrow(_shards(shards), schema).write.options(**options).partitionBy("shard").parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
@@ -124,35 +174,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _occurrences(words: np.ndarray, seeds: np.ndarray, lang: np.ndarray, reached: np.ndarray, admitted: np.ndarray, step: int, shards: int):
-    """Every active phrase of a run of words with its number of occurrences: columns lang (its
-    number), w1 to w4, active (the step it was activated in), bucket, n."""
-    shift = np.uint64(64 - BITS)
-    key = _mix(words ^ seeds)
-    there = words != 0
-    step_of = None
-    for k in range(1, LONGEST + 1):
-        if k > 1:
-            if not there.any():
-                return
-            # The key, place and reach of the phrase without its last and without its first word.
-            at = reached[key >> shift]
-            step_of = np.maximum(at[:-1], at[1:])
-            there = there[:-1] & (words[k - 1 :] != 0) & (at[:-1] > 0) & (at[1:] > 0)
-            key = _mix(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[k - 1 :])
-        active = np.zeros(len(words), np.int64) if step_of is None else step_of.astype(np.int64)
-        since = admitted[key >> shift].astype(np.int64)
-        here = np.flatnonzero(there & ((step <= active + shards) | (since > 0) & (step < since + shards)))
-        if not len(here):
-            continue
-        here = here[np.argsort(key[here], kind="stable")]
-        columns = [lang[here]] + [words[here + i] if i < k else np.zeros(len(here), np.uint64) for i in range(LONGEST)]
-        new = np.zeros(len(here) - 1, bool)
-        for c in columns[: k + 1]:
-            new |= c[1:] != c[:-1]
-        first = np.flatnonzero(np.r_[True, new])
-        n = np.diff(np.r_[first, len(here)])
-        yield [c[first] for c in columns] + [active[here][first], (key[here][first] >> shift).astype(np.int64), n]
+def _shift(buckets: np.ndarray) -> np.uint64:
+    """By how much a hash is shifted for its bucket."""
+    return np.uint64(65 - len(buckets).bit_length())
+
+
+def _occurrences(codes: np.ndarray, ids: np.ndarray, reached: np.ndarray, admitted: np.ndarray, oldest: int):
+    """Every active phrase of a block with its number of occurrences: columns w1 to w4, mark
+    (the step it was activated in, and its bucket) and n. ``admitted`` tells the buckets to count
+    whatever their step, ``oldest`` is the first step whose phrases are on probation."""
+    shift = _shift(reached)
+    bucket = ids >> shift
+    here = np.flatnonzero((ids != 0) & ((oldest <= 0) | admitted[bucket]))
+    if len(here):
+        n = np.bincount(codes, minlength=len(ids))[here]
+        yield [ids[here]] + [np.zeros(len(here), np.uint64)] * (LONGEST - 1) + [bucket[here].astype(np.int64), n]
+    words = ids[codes]
+    reach = np.where(ids != 0, reached[bucket], 0)[codes]
+    # Where the phrases of k words that reached the threshold begin, with their keys.
+    at = np.flatnonzero(reach)
+    key, reach = words[at], reach[at]
+    for k in range(2, LONGEST + 1):
+        # Both the phrase without its last and the one without its first word.
+        both = np.flatnonzero(at[1:] - at[:-1] == 1)
+        if not len(both):
+            return
+        active = np.maximum(reach[both], reach[both + 1])
+        at = at[both]
+        key = _mix(key[both] * np.uint64(0x9E3779B97F4A7C15) + words[at + (k - 1)])
+        bucket = key >> shift
+        here = np.flatnonzero((active >= max(oldest, 0)) | admitted[bucket])
+        if len(here):
+            here = here[np.argsort(key[here])]
+            sorted_, begins = key[here], at[here]
+            new = sorted_[1:] != sorted_[:-1]
+            for i in range(k):
+                said = codes[begins + i]
+                new |= said[1:] != said[:-1]
+            first = np.flatnonzero(np.r_[True, new])
+            n = np.diff(np.r_[first, len(here)])
+            one, begins = here[first], begins[first]
+            columns = [words[begins + i] if i < k else np.zeros(len(first), np.uint64) for i in range(LONGEST)]
+            yield columns + [active[one].astype(np.int64) << ACTIVE | bucket[one].astype(np.int64), n]
+        # A bucket may have been opened by another phrase before this one was active: longer ones
+        # are activated by whichever came last.
+        opened = reached[bucket]
+        there = np.flatnonzero(opened)
+        at, key, reach = at[there], key[there], np.maximum(active, opened)[there]
 
 
 def packed(*arrays: np.ndarray) -> tuple[bytes, ...]:
@@ -170,62 +238,54 @@ def unpacked(parts: tuple[bytes, ...]) -> list[np.ndarray]:
 
 def _count(arrays, step: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, admitted = unpacked(arrays.value)
-        seeds = {}
+        reached, since = unpacked(arrays.value)
+        admitted = (since > 0) & (since > max(step - shards, 0))
         for batch in batches:
-            begin = 0
-            sizes = pa.compute.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)
-            upto = np.r_[0, np.cumsum(sizes)]
-            while begin < batch.num_rows:
-                end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + TOGETHER, "right")) - 1)
-                part = batch.slice(begin, end - begin)
-                names = pa.compute.dictionary_encode(part.column("lang"))
-                langs = names.dictionary.to_pylist()
-                code = np.repeat(names.indices.to_numpy(zero_copy_only=False), sizes[begin:end])
-                for name in langs:
-                    seeds.setdefault(name, xxhash.xxh64_intdigest(name.encode()))
-                seed = np.array([seeds[name] for name in langs], np.uint64)[code]
-                words = part.column("ids").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                for found in _occurrences(words, seed, code, reached, admitted, step, shards):
-                    lang = pa.array(langs, pa.string()).take(pa.array(found[0]))
-                    rest = [pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c, pa.int64()) for c in found[1:]]
-                    yield pa.RecordBatch.from_arrays([lang, *rest], ["lang", *WORDS, "active", "bucket", "n"])
-                begin = end
+            for codes, ids in zip(batch.column("codes"), batch.column("ids")):
+                ids = np.frombuffer(ids.as_buffer(), np.uint64).copy()
+                codes = np.frombuffer(codes.as_buffer(), _code_type(len(ids))).astype(np.intp)
+                for found in _occurrences(codes, ids, reached, admitted, step - shards):
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in found], [*WORDS, "mark", "n"])
 
     return run
 
 
-_COUNTED = "lang string, " + ", ".join(f"{w} bigint" for w in WORDS) + ", active bigint, bucket bigint, n bigint"
+_COUNTED = ", ".join(f"{name} bigint" for name in [*WORDS, "mark", "n"])
 
 
 def frequent_phrases(dealt: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS) -> DataFrame:
-    """lang, w1 to w4 (0 where the phrase is shorter) and n of every phrase of up to ``LONGEST``
-    words that occurs ``threshold`` times or more."""
+    """w1 to w4 (0 where the phrase is shorter) and n of every phrase of up to ``LONGEST`` words
+    that occurs ``threshold`` times or more."""
     spark = dealt.sparkSession
     reached, admitted = (np.zeros(1 << BITS, np.uint8) for _ in range(2))
     held, done, last, step = None, [], 0, 0
+    # What is known of a phrase is one number: the step it was admitted in (0: not yet), the step
+    # it was activated in, its bucket.
+    since, active = F.shiftright("mark", SINCE), F.shiftright("mark", ACTIVE).bitwiseAND(F.lit((1 << SINCE - ACTIVE) - 1))
+    bucket_ = F.col("mark").bitwiseAND(F.lit((1 << ACTIVE) - 1))
     while True:
         step += 1
         sent = spark.sparkContext.broadcast(packed(reached, admitted))
-        mine = dealt.filter(F.col("shard") == (step - 1) % shards).select("lang", "ids")
-        seen = mine.mapInArrow(_count(sent, step, shards), _COUNTED).withColumns({"before": F.lit(0).cast("bigint"), "since": F.lit(None).cast("int")})
+        mine = dealt.filter(F.col("shard") == (step - 1) % shards).select("codes", "ids")
+        seen = mine.mapInArrow(_count(sent, step, shards), _COUNTED)
         both = seen if held is None else seen.unionByName(held)
-        total = both.groupBy("lang", *WORDS).agg(
-            F.sum("n").alias("n"), F.sum("before").alias("before"), F.max("since").alias("since"), F.max("active").alias("active"), F.max("bucket").alias("bucket")
+        # Tasks have counted beforehand: rows are dealt first and added up once.
+        total = both.repartition(*WORDS).groupBy(*WORDS).agg(
+            F.sum("n").alias("n"), F.sum(F.when(since > 0, F.col("n")).otherwise(F.lit(0))).alias("before"), F.max("mark").alias("mark")
         )
         # On probation a phrase is admitted where it has its share of the threshold.
-        fresh = (F.col("n") * shards >= threshold) & (F.col("active") + shards >= step)
-        state = total.filter(F.col("since").isNotNull() | fresh).select(
-            "lang", *WORDS, (F.col("n") + F.col("before")).alias("n"), "before", F.coalesce("since", F.lit(step)).alias("since"), "active", "bucket"
+        fresh = (F.col("n") * shards >= threshold) & (active + shards >= step)
+        state = total.filter((since > 0) | fresh).select(
+            *WORDS, "n", "before", F.when(since > 0, F.col("mark")).otherwise(F.col("mark") + (step << SINCE)).alias("mark")
         )
         state = stored(state, f"step-{step}")
         sent.destroy()
-        over = F.col("since") + shards - 1 <= step
-        done.append(state.filter(over & (F.col("n") >= threshold)).select("lang", *WORDS, "n"))
-        held = state.filter(~over).select("lang", *WORDS, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("before"), "since", "active", "bucket")
+        over = since + shards - 1 <= step
+        done.append(state.filter(over & (F.col("n") >= threshold)).select(*WORDS, "n"))
+        held = state.filter(~over).select(*WORDS, "mark", "n")
         # No more rows than buckets reach the driver.
         hits = (F.col("n") >= threshold) & (F.col("before") < threshold) & (F.col(WORDS[-1]) == 0)
-        news = state.select("bucket", hits.alias("hit"), (F.col("since") == step).alias("new")).filter("hit or new")
+        news = state.select(bucket_.alias("bucket"), hits.alias("hit"), (since == step).alias("new")).filter("hit or new")
         news = news.groupBy("bucket").agg(F.max("hit").alias("hit"), F.max("new").alias("new")).toArrow()
         bucket = news["bucket"].to_numpy()
         hit, new = (bucket[news[c].to_numpy()] for c in ("hit", "new"))
@@ -247,25 +307,25 @@ def score(a: Column, left: Column, right: Column) -> Column:
 
 
 def scored(frequent: DataFrame) -> DataFrame:
-    """The candidates that stay, from ``frequent`` (lang, p: an array of words, n): lang, p, a,
+    """The candidates that stay, from ``frequent`` (p: an array of words of one language, n): p, a,
     l, r and score of the lowest-scoring cut."""
-    frequent = stored(frequent.select("lang", "p", "n"), "phrases")
-    long_ = frequent.filter(F.size("p") > 1).select("lang", "p", F.col("n").alias("a"))
-    cuts = long_.select("lang", "p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
+    frequent = stored(frequent.select("p", "n"), "phrases")
+    long_ = frequent.filter(F.size("p") > 1).select("p", F.col("n").alias("a"))
+    cuts = long_.select("p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
     cuts = cuts.withColumns({"head_": F.slice("p", F.lit(1), F.col("k")), "rest_": F.slice("p", F.col("k") + 1, F.size("p") - F.col("k"))})
-    part = lambda key, n: small(frequent.select("lang", F.col("p").alias(key), F.col("n").alias(n)), F.lit(64))
-    cuts = cuts.join(part("head_", "l"), ["lang", "head_"]).join(part("rest_", "r"), ["lang", "rest_"])
+    part = lambda key, n: small(frequent.select(F.col("p").alias(key), F.col("n").alias(n)), F.lit(64))
+    cuts = cuts.join(part("head_", "l"), "head_").join(part("rest_", "r"), "rest_")
     cuts = cuts.withColumn("score", score(F.col("a"), F.col("l"), F.col("r")))
-    lowest = cuts.groupBy("lang", "p", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    lowest = cuts.groupBy("p", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     # The highest count of a longer phrase around each phrase.
     spans = [(i, n) for n in range(2, LONGEST) for i in range(LONGEST - n + 1)]
     inner = F.array(*[F.when(F.size("p") >= i + n, F.when(F.size("p") > n, F.slice("p", i + 1, n))) for i, n in spans])
-    around = long_.filter(F.size("p") > 2).select("lang", "a", F.explode(F.filter(inner, lambda x: x.isNotNull())).alias("p"))
-    around = stored(around.groupBy("lang", "p").agg(F.max("a").alias("most")), "around")
-    met = lowest.join(small(around, F.lit(64)), ["lang", "p"], "left")
+    around = long_.filter(F.size("p") > 2).select("a", F.explode(F.filter(inner, lambda x: x.isNotNull())).alias("p"))
+    around = stored(around.groupBy("p").agg(F.max("a").alias("most")), "around")
+    met = lowest.join(small(around, F.lit(64)), "p", "left")
     wide = lambda name: F.col(name).cast("decimal(20,0)")
     stays = F.col("most").isNull() | (100 * wide("most") < 80 * wide("a"))
-    return met.filter(stays).select("lang", "p", "a", "cut.l", "cut.r", "cut.score")
+    return met.filter(stays).select("p", "a", "cut.l", "cut.r", "cut.score")
 
 
 def best(rows: DataFrame, top: int = TOP) -> DataFrame:
@@ -284,20 +344,19 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHAR
     dealt = shards_of(docs, shards)
     frequent = stored(frequent_phrases(dealt, threshold, shards), "frequent")
     p = F.filter(F.array(*WORDS), lambda w: w != 0)
-    kept = stored(scored(frequent.select("lang", p.alias("p"), "n")).withColumn("id_", F.monotonically_increasing_id()), "scored")
+    kept = stored(scored(frequent.select(p.alias("p"), "n")).withColumn("id_", F.monotonically_increasing_id()), "scored")
     # Spelling: only words that stand in a phrase.
     wanted = stored(kept.select(F.explode("p").alias("w")).distinct(), "wanted")
-    pairs = dealt.filter("shard = -1").select(F.inline(F.arrays_zip("ids", "spelled")).alias("w", "word"))
+    pairs = dealt.select("lang", F.inline(F.arrays_zip("new", "spelled")).alias("w", "word"))
     # Every task has spelled its own words. Each word once comes before the join, which as a
     # semi-join would be moved below this.
-    every = pairs.groupBy("w").agg(F.min("word").alias("word"), F.max("word").alias("other"))
-    words = stored(every.join(small(wanted), "w"), "spelled")
-    if not words.filter("word <> other").isEmpty():
+    words = stored(pairs.distinct().join(small(wanted), "w"), "spelled")
+    if not words.groupBy("w").count().filter("count > 1").isEmpty():
         raise ValueError("two words share a hash")
-    each = kept.select("id_", F.posexplode("p").alias("at", "w")).join(small(words.select("w", "word"), F.octet_length("word")), "w")
+    each = kept.select("id_", F.posexplode("p").alias("at", "w")).join(small(words, F.octet_length("word")), "w")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
-    phrases = each.groupBy("id_").agg(said.alias("phrase"))
-    totals = dealt.filter("shard >= 0").groupBy("lang").agg(F.sum(F.size(F.filter("ids", lambda w: w != 0))).cast("bigint").alias("n"))
+    phrases = each.groupBy("id_").agg(said.alias("phrase"), F.first("lang").alias("lang"))
+    totals = dealt.groupBy("lang").agg(F.sum("n").alias("n"))
     found = best(kept.join(phrases, "id_"), top).join(F.broadcast(totals.filter("n > 0")), "lang")
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
