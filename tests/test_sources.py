@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from treeloom.fixed_values import ENGINE_COLUMN, HISTORY_DDL
 from treeloom.operators import files, json_trees
 from treeloom.sinks import writers
+from treeloom.jobs import analyse
 from treeloom.jobs.analyse import Analysis
 from treeloom.operators.dispatch import Dialects, json_results, line_results
 from treeloom.sources import archives, trees, walk
@@ -241,6 +242,35 @@ def test_analysis_counts_every_file_once(spark, landing):
     assert trees.read_runs(spark, job.folder("runs")).count() == 2
 
 
+def test_nodes_are_written_where_they_are_built(spark, tmp_path, monkeypatch):
+    """Nodes are many times their files: neither shuffled nor sorted by folder, but where a task
+    meets more repositories than it may keep open."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for i in range(7):
+        make_zip(landing / f"r{i}.zip", [(f"{k}.py", "x y\n" * (i + k), zipfile.ZIP_DEFLATED) for k in range(3)])
+    measure = lambda found: found.selectExpr("*", "timestamp'2024-01-01' ts", "1L parse_ns", "1L total_ns", "1L rss_bytes", "1L heap_bytes")
+    limits = dict(analyse.NODES_SETTINGS)
+    found, plans = [], []
+
+    def write(nodes, *rest, **more):
+        writers.write_snapshot(nodes, *rest, **more)
+        done = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans.append(done.last().physicalPlanDescription())
+
+    monkeypatch.setattr(analyse, "write_snapshot", write)
+    for name, most in (("many", limits["spark.sql.maxConcurrentOutputFileWriters"]), ("two", "2")):
+        monkeypatch.setattr(analyse, "NODES_SETTINGS", limits | {"spark.sql.maxConcurrentOutputFileWriters": most})
+        job = Analysis(str(tmp_path / name), "generic", Dialects().register("lines", [".py"], line_results), measure)
+        job.run(archives.archive_files(spark, str(landing)), 0)
+        nodes = spark.read.parquet(job.folder("nodes"))
+        assert len(nodes.inputFiles()) == 7
+        found.append(sorted(nodes.select("repo", "file_path", "node_id", "parent_id", "text", "start_off", "status").collect(), key=str))
+    assert all("batch_id=0" in p and "Exchange" not in p and "Sort" not in p for p in plans)
+    assert found[0] == found[1] and len({(r.repo, r.file_path) for r in found[0]}) == 21
+    assert all(spark.conf.get(key, None) is None for key in limits)
+
+
 def test_small_files_and_directories_share_a_batch(tmp_path):
     """A batch a file or a directory costs more than reading it."""
     import pandas as pd

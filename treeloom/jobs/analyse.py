@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 from ..fixed_values import ENGINE_COLUMN
 from ..operators.dispatch import FAILED, Dialects
 from ..operators.files import run_records, with_dimensions, with_language, with_line_count
+from ..session import unless_set
 from ..sinks.writers import write_history, write_runs, write_snapshot
 from ..sources.archives import archive_to_files
 
 # Adds ts, parse_ns, total_ns, rss_bytes and heap_bytes to files (repo, file_path, content, loc).
 Measure = Callable[[DataFrame], DataFrame]
 MEASURES = ["ts", "parse_ns", "total_ns", "rss_bytes", "heap_bytes"]
+# Stored bytes of files, with Spark's cost of opening one, whose nodes one task builds, and folders it
+# keeps open. A task that meets more repositories sorts what is left.
+NODES_SETTINGS = {"spark.sql.files.maxPartitionBytes": "16m", "spark.sql.maxConcurrentOutputFileWriters": "100"}
 
 
 @dataclass
@@ -63,8 +67,12 @@ class Analysis:
         return spark.read.schema(kept.schema).parquet(folder)
 
     def _nodes(self, spark: SparkSession, files: DataFrame, batch_id: int) -> DataFrame:
+        """Archives are dealt in their order, so a repository's files lie together in few files of
+        their table. Its nodes, of many times their size, are written where they are built, unsorted:
+        a task takes few files and keeps open the folders of the repositories that it meets."""
         rows = self.dialects.results(files, ["repo", "file_path"]).withColumn("engine", F.lit(self.engine))
-        write_snapshot(rows, self.folder("nodes"), batch_id)
+        with unless_set(spark, NODES_SETTINGS):
+            write_snapshot(rows, self.folder("nodes"), batch_id, gathered=True)
         return spark.read.schema(rows.schema).parquet(self.folder("nodes", batch_id))
 
     def _per_file(self, nodes: DataFrame, files: DataFrame) -> DataFrame:

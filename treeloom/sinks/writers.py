@@ -23,11 +23,13 @@ def _mode(batch_id: int | None) -> str:
     return "append" if batch_id is None else "overwrite"
 
 
-def write_snapshot(nodes: DataFrame, folder: str, batch_id: int | None = None) -> None:
+def write_snapshot(nodes: DataFrame, folder: str, batch_id: int | None = None, gathered: bool = False) -> None:
     """Node table by engine and repository. Rows are gathered by folder first so that small
-    repositories get few files, and a large one is split over as many tasks as it needs."""
-    gathered = nodes.hint("rebalance", "engine", "repo")
-    gathered.write.mode(_mode(batch_id)).partitionBy("engine", "repo").parquet(_batch(folder, batch_id))
+    repositories get few files, and a large one is split over as many tasks as it needs. Rows that
+    are ``gathered`` already, each task holding few repositories, are written where they are."""
+    placed = nodes if gathered else nodes.hint("rebalance", "engine", "repo")
+    writer = placed.write.mode(_mode(batch_id)).partitionBy("engine", "repo")
+    writer.parquet(_batch(folder, batch_id))
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
