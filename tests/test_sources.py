@@ -112,6 +112,20 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert sorted(back.select(nodes.columns).collect(), key=str) == sorted(nodes.collect(), key=str)
 
 
+def test_snapshots_hold_numbers_as_differences(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([("r", f"f{i}", '{"type":"a","children":[{"type":"b","text":"x"},{"type":"c"}]}') for i in range(50)], "repo string, file_path string, content string")
+    nodes = json_trees.json_nodes(json_trees.parse_or_raw(df)).withColumn("engine", F.lit("generic"))
+    writers.write_snapshot(nodes, str(tmp_path / "s"))
+    part = pq.ParquetFile(next((tmp_path / "s").rglob("*.parquet"))).metadata.row_group(0)
+    kept = {(c := part.column(i)).path_in_schema: c for i in range(part.num_columns)}
+    assert {c.compression for c in kept.values()} == {"ZSTD"}
+    assert "DELTA_BINARY_PACKED" in kept["node_id"].encodings and "RLE_DICTIONARY" in kept["kind"].encodings
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(back.select(nodes.columns).collect(), key=str) == sorted(nodes.collect(), key=str)
+
+
 def test_each_archive_is_ingested_once(spark, landing, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
 

@@ -63,7 +63,7 @@ class Analysis:
         measured = self.measure(with_line_count(with_language(found, self.labels)))
         kept = measured.select("repo", "file_path", "content", "status", "error", "language", "loc", *MEASURES, "ext")
         folder = self.folder("files", batch_id)
-        kept.write.mode("overwrite").partitionBy("ext").parquet(folder)
+        kept.write.mode("overwrite").option("compression", "zstd").partitionBy("ext").parquet(folder)
         return spark.read.schema(kept.schema).parquet(folder)
 
     def _nodes(self, spark: SparkSession, files: DataFrame, batch_id: int) -> DataFrame:
