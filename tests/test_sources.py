@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from treeloom.fixed_values import ENGINE_COLUMN, HISTORY_DDL
 from treeloom.operators import files, json_trees
+from treeloom.session import unless_set
 from treeloom.sinks import writers
 from treeloom.jobs import analyse
 from treeloom.jobs.analyse import Analysis
@@ -285,6 +286,22 @@ def test_nodes_are_written_where_they_are_built(spark, tmp_path, monkeypatch):
     assert all(spark.conf.get(key, None) is None for key in limits)
 
 
+def test_a_large_file_of_the_table_is_shared_by_tasks(spark, tmp_path):
+    import random
+
+    numbers = random.Random(1)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    make_zip(landing / "r.zip", [(f"{i}.py", f"{numbers.getrandbits(80_000):x}", zipfile.ZIP_STORED) for i in range(800)])
+    measure = lambda found: found.selectExpr("*", "timestamp'2024-01-01' ts", "1L parse_ns", "1L total_ns", "1L rss_bytes", "1L heap_bytes")
+    job = Analysis(str(tmp_path / "job"), "generic", Dialects().register("lines", [".py"], line_results), measure)
+    found = job._files(spark, archives.archive_files(spark, str(landing)), 0)
+    assert len(found.inputFiles()) == 1 and found.count() == 800
+    with unless_set(spark, analyse.NODES_SETTINGS):
+        held = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 2 and max(held) < 400
+
+
 def test_small_files_and_directories_share_a_batch(tmp_path):
     """A batch a file or a directory costs more than reading it."""
     import pandas as pd

@@ -29,9 +29,11 @@ from ..sources.archives import archive_to_files
 # Adds ts, parse_ns, total_ns, rss_bytes and heap_bytes to files (repo, file_path, content, loc).
 Measure = Callable[[DataFrame], DataFrame]
 MEASURES = ["ts", "parse_ns", "total_ns", "rss_bytes", "heap_bytes"]
-# Stored bytes of files, with Spark's cost of opening one, whose nodes one task builds, and folders it
-# keeps open. A task that meets more repositories sorts what is left.
-NODES_SETTINGS = {"spark.sql.files.maxPartitionBytes": "16m", "spark.sql.maxConcurrentOutputFileWriters": "100"}
+# Stored bytes of files whose nodes one task builds, and folders it keeps open. A task that meets more
+# repositories sorts what is left.
+NODES_SETTINGS = {"spark.sql.files.maxPartitionBytes": "2m", "spark.sql.maxConcurrentOutputFileWriters": "100"}
+# A file of their table is cut between its row groups, so these are small.
+FILES_OPTIONS = {"compression": "zstd", "parquet.block.size": str(4 * 1024 * 1024)}
 
 
 @dataclass
@@ -63,7 +65,7 @@ class Analysis:
         measured = self.measure(with_line_count(with_language(found, self.labels)))
         kept = measured.select("repo", "file_path", "content", "status", "error", "language", "loc", *MEASURES, "ext")
         folder = self.folder("files", batch_id)
-        kept.write.mode("overwrite").option("compression", "zstd").partitionBy("ext").parquet(folder)
+        kept.write.mode("overwrite").options(**FILES_OPTIONS).partitionBy("ext").parquet(folder)
         return spark.read.schema(kept.schema).parquet(folder)
 
     def _nodes(self, spark: SparkSession, files: DataFrame, batch_id: int) -> DataFrame:
